@@ -174,9 +174,9 @@ def f5_side(spark, sf_dir):
 
 
 def f6_in_bounds(spark, sf_dir):
-    inside = fn.in_bounds(fn.cell_y(F.col("y")), fn.cell_x(F.col("x")))
+    inside = fn.in_bounds(fn.cell_y("y"), fn.cell_x("x"))
     counts = _long(spark, sf_dir).groupBy("pass_id")
-    return counts.agg(F.count_if(inside).alias("inside"), F.count("*").alias("n"))
+    return counts.agg(F.expr(f"count_if({inside})").alias("inside"), F.count("*").alias("n"))
 
 
 def f7_resolvable(spark, sf_dir):
@@ -215,12 +215,9 @@ def p3_encode_outcome(spark, sf_dir):
 
 
 def p4_cell_of(spark, sf_dir):
-    cell = {
-        f"{name}_{axis}": (fn.cell_x if axis == "x" else fn.cell_y)(F.col(f"ball_{axis}_{name}"))
-        for name in ("start", "end")
-        for axis in ("x", "y")
-    }
-    return passes(spark, sf_dir).select("pass_id", *[c.alias(n) for n, c in cell.items()])
+    cells = [f"{fn.cell_x(f'ball_x_{at}')} {at}_x" for at in ("start", "end")]
+    cells += [f"{fn.cell_y(f'ball_y_{at}')} {at}_y" for at in ("start", "end")]
+    return passes(spark, sf_dir).selectExpr("pass_id", *cells)
 
 
 def p5_cast_ids(spark, sf_dir):
@@ -340,7 +337,7 @@ def a2_channel_slice(spark, sf_dir):
 
 def a3_outplayed(spark, sf_dir):
     here = at_destination(channels.with_step_counts(located(spark, sf_dir)))
-    return here.select("pass_id", *[channels.outplayed(F.col(f"{s}_counts"), F.col("step")).alias(s) for s in ("att", "def")])
+    return here.selectExpr("pass_id", *[f"{channels.outplayed(f'{s}_counts', 'step')} {s}" for s in ("att", "def")])
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -532,7 +529,7 @@ def stream_sparse_channels(spark, sf_dir):
     """Events as a stream, located and written by a streaming job, then read back as sparse channels."""
     tune(spark)
     schema = read(spark, sf_dir, "events").schema
-    events = streaming.stream_table(spark, f"{sf_dir}/events.parquet", schema).select("event_id")
+    events = streaming.stream_table(spark, sf_dir, schema, "events.parquet").select("event_id")
     where = streaming.located_stream(passes_from_ids(events))
     path, checkpoint = scratch_dir(spark, "stream"), scratch_dir(spark, "stream-checkpoint")
     streaming.append_to(where, path, checkpoint).awaitTermination()

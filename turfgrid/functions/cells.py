@@ -1,4 +1,8 @@
-"""Column functions: metres to cells, distances, angles, labels."""
+"""Functions on columns: metres to cells, distances, angles, labels.
+
+Geometry is kept as SQL text: it is used inside array lambdas as well as on columns, and one parsed
+expression is built much faster than a tree of column calls.
+"""
 
 from __future__ import annotations
 
@@ -12,25 +16,28 @@ def missing(value: Column) -> Column:
     return value.isNull() | F.isnan(value)
 
 
-def _bin(metres: Column, extent: float, bins: int) -> Column:
-    scaled = (metres + F.lit(extent / 2)) / F.lit(extent) * F.lit(float(bins))
-    clamped = F.least(F.greatest(scaled, F.lit(0.0)), F.lit(float(bins - 1)))
+def is_number(value: str) -> str:
+    return f"({value} is not null and not isnan({value}))"
+
+
+def _bin(metres: str, extent: float, bins: int) -> str:
+    scaled = f"({metres} + {extent / 2}D) / {extent}D * {bins}.0D"
     # least/greatest would send NaN and NULL to the far edge
-    return F.when(~missing(metres), F.floor(clamped).cast("int"))
+    return f"case when {is_number(metres)} then int(floor(least(greatest({scaled}, 0.0D), {bins - 1}.0D))) end"
 
 
-def cell_x(metres: Column, pitch: Pitch = Pitch()) -> Column:
+def cell_x(metres: str, pitch: Pitch = Pitch()) -> str:
     """Column of the raster for a position along the pitch; off-pitch points go to the edge."""
     return _bin(metres, PITCH_LENGTH, pitch.cols)
 
 
-def cell_y(metres: Column, pitch: Pitch = Pitch()) -> Column:
+def cell_y(metres: str, pitch: Pitch = Pitch()) -> str:
     """Row of the raster for a position across the pitch."""
     return _bin(metres, PITCH_WIDTH, pitch.rows)
 
 
-def in_bounds(y: Column, x: Column, pitch: Pitch = Pitch()) -> Column:
-    return y.between(0, pitch.rows - 1) & x.between(0, pitch.cols - 1)
+def in_bounds(y: str, x: str, pitch: Pitch = Pitch()) -> str:
+    return f"({y}) between 0 and {pitch.rows - 1} and ({x}) between 0 and {pitch.cols - 1}"
 
 
 def encode_outcome(code: Column) -> Column:
@@ -49,43 +56,45 @@ def to_id(value: Column) -> Column:
     return value.try_cast("bigint")
 
 
-def distance(y: Column, x: Column, to_y: Column, to_x: Column) -> Column:
+def _length(dy: str, dx: str) -> str:
+    return f"sqrt({dx} * {dx} + {dy} * {dy})"
+
+
+def distance(y: str, x: str, to_y: str, to_x: str) -> str:
     """Distance in cells from the centre of cell (y, x) to an integer index."""
-    dx = x + F.lit(0.5) - to_x
-    dy = y + F.lit(0.5) - to_y
-    return F.sqrt(dx * dx + dy * dy)
+    return _length(f"({y} + 0.5D - {to_y})", f"({x} + 0.5D - {to_x})")
+
+
+def _to_goal(y: str, x: str, pitch: Pitch) -> tuple[str, str]:
+    return f"({pitch.goal_y} - ({y} + 0.5D))", f"({pitch.goal_x} - ({x} + 0.5D))"
 
 
-def cosine_ball_goal(y: Column, x: Column, ball_y: Column, ball_x: Column, pitch: Pitch) -> Column:
+def cosine_ball_goal(y: str, x: str, ball_y: str, ball_x: str, pitch: Pitch) -> str:
     """Cosine of the angle at the cell centre between ball and goal."""
-    gx = F.lit(float(pitch.goal_x)) - (x + F.lit(0.5))
-    gy = F.lit(float(pitch.goal_y)) - (y + F.lit(0.5))
-    bx = ball_x - (x + F.lit(0.5))
-    by = ball_y - (y + F.lit(0.5))
-    cosine = (gx * bx + gy * by) / (F.sqrt(gx * gx + gy * gy) * F.sqrt(bx * bx + by * by))
-    return F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))
+    gy, gx = _to_goal(y, x, pitch)
+    by, bx = f"({ball_y} - ({y} + 0.5D))", f"({ball_x} - ({x} + 0.5D))"
+    cosine = f"({gx} * {bx} + {gy} * {by}) / ({_length(gy, gx)} * {_length(by, bx)})"
+    return f"least(greatest({cosine}, -1.0D), 1.0D)"
 
 
-def sine_from(cosine: Column) -> Column:
-    return F.sqrt(F.lit(1.0) - cosine * cosine)
+def sine_from(cosine: str) -> str:
+    return f"sqrt(1.0D - {cosine} * {cosine})"
 
 
-def angle_to_goal(y: Column, x: Column, pitch: Pitch) -> Column:
-    gx = F.lit(float(pitch.goal_x)) - (x + F.lit(0.5))
-    gy = F.lit(float(pitch.goal_y)) - (y + F.lit(0.5))
-    return F.abs(F.atan2(gy, gx))
+def angle_to_goal(y: str, x: str, pitch: Pitch) -> str:
+    gy, gx = _to_goal(y, x, pitch)
+    return f"abs(atan2({gy}, {gx}))"
 
 
-def goal_step(y: Column, x: Column, pitch: Pitch) -> Column:
+def goal_step(y: str, x: str, pitch: Pitch) -> str:
     """Integer that orders cells by their distance to the goal.
 
     A cell centre lies an odd number of half cells from the goal index on both axes, so four times the
     squared distance is 2 modulo 8: dropping that remainder gives small integers with the same order
     and the same ties as the distance itself.
     """
-    dx = 2 * x + F.lit(1 - 2 * pitch.goal_x)
-    dy = 2 * y + F.lit(1 - 2 * pitch.goal_y)
-    return F.shiftright(dx * dx + dy * dy - 2, 3)
+    dy, dx = f"(2 * {y} + {1 - 2 * pitch.goal_y})", f"(2 * {x} + {1 - 2 * pitch.goal_x})"
+    return f"shiftright({dx} * {dx} + {dy} * {dy} - 2, 3)"
 
 
 def sigmoid(z: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfgrid.constants import CHANNELS, Pitch
@@ -18,79 +18,67 @@ from turfgrid.operators.grid import over_grid
 SPARSE = (1, 2, 8, 9, 12, 13, 14, 15, 16)
 DENSE = (3, 4, 5, 6, 7, 10, 11, 17)
 
+# what a sparse channel holds: at the cells of one side's players, or at the ball's cell
+PLAYER_VALUES = {
+    1: ("att", "1"),
+    2: ("def", "1"),
+    13: ("att", "p.vx"),
+    14: ("att", "p.vy"),
+    15: ("def_moving", "p.vx"),
+    16: ("def_moving", "p.vy"),
+}
+BALL_VALUES = {8: "carrier_vx", 9: "carrier_vy", 12: "carrier_speed"}
 
-def _entry(channel: int, cell: Column, value: Column, pitch: Pitch) -> Column:
-    return F.struct(
-        F.lit(channel).alias("channel"),
-        F.floor(cell / pitch.cols).cast("int").alias("y"),
-        (cell % pitch.cols).cast("int").alias("x"),
-        value.cast("double").alias("value"),
-    )
 
-
-def _sparse_entries(channel: int, pitch: Pitch) -> Column:
+def _sparse_entries(channel: int, pitch: Pitch) -> str:
     """Array of set cells of one sparse channel."""
-    player_value = {
-        1: ("att", lambda p: F.lit(1.0)),
-        2: ("def", lambda p: F.lit(1.0)),
-        13: ("att", lambda p: p["vx"]),
-        14: ("att", lambda p: p["vy"]),
-        15: ("def_moving", lambda p: p["vx"]),
-        16: ("def_moving", lambda p: p["vy"]),
-    }
-    if channel in player_value:
-        side, value = player_value[channel]
-        return F.transform(side, lambda p: _entry(channel, p["cell"], value(p), pitch))
-    ball_value = {8: "carrier_vx", 9: "carrier_vy", 12: "carrier_speed"}
-    ball = F.col("ball_y") * pitch.cols + F.col("ball_x")
-    return F.array(_entry(channel, ball, F.col(ball_value[channel]), pitch))
 
+    def entry(cell: str, value: str) -> str:
+        y, x = f"int(({cell}) div {pitch.cols})", f"({cell}) % {pitch.cols}"
+        return f"struct({channel} channel, {y} y, {x} x, double({value}) value)"
 
-def sparse_channels(located: DataFrame, channels=SPARSE, pitch: Pitch = Pitch()) -> DataFrame:
-    """Set cells of the given sparse channels as (pass_id, channel, y, x, value)."""
-    entries = F.concat(*[_sparse_entries(c, pitch) for c in channels])
-    return located.select("pass_id", F.inline(entries))
+    if channel in PLAYER_VALUES:
+        side, value = PLAYER_VALUES[channel]
+        return f"transform({side}, p -> {entry('p.cell', value)})"
+    return f"array({entry(f'ball_y * {pitch.cols} + ball_x', BALL_VALUES[channel])})"
 
 
-def step_counts(players: Column, ball_step: Column) -> Column:
-    """Array whose entry q is the number of occupied cells with q <= step <= ball_step.
-
-    Built once per pass from runs of equal counts; a cell then reads its count with one lookup.
-    """
-    steps = F.array_sort(F.filter(F.transform(players, lambda p: p["step"]), lambda s: s <= ball_step))
-
-    def run(step, i):
-        before = F.coalesce(F.get(steps, i - 1), F.lit(-1))
-        return F.array_repeat(F.size(steps) - i, step - before)
-
-    return F.flatten(F.transform(steps, run))
+def sparse_channels(located: DataFrame, channels=SPARSE, pitch: Pitch = Pitch()) -> DataFrame:
+    """Set cells of the given sparse channels as (pass_id, channel, y, x, value)."""
+    entries = ", ".join(_sparse_entries(c, pitch) for c in channels)
+    return located.selectExpr("pass_id", f"inline(concat({entries}))")
 
 
-def outplayed(counts: Column, step: Column) -> Column:
+def outplayed(counts: str, step: str) -> str:
     """Players a ball at this cell has passed; 0 at a cell farther from the goal than the ball."""
-    return F.coalesce(F.get(counts, step), F.lit(0))
+    return f"coalesce(get({counts}, {step}), 0)"
 
 
-def with_step_counts(located: DataFrame) -> DataFrame:
-    return located.withColumns(
-        {f"{side}_counts": step_counts(F.col(side), F.col("ball_step")) for side in ("att", "def")}
-    )
+def with_step_counts(located: DataFrame, sides=("att", "def")) -> DataFrame:
+    """Add `<side>_counts`: entry q is the number of occupied cells with q <= step <= ball_step.
+
+    The array is built once per pass from runs of equal counts; a cell then reads its count with one
+    lookup instead of a comparison with every player.
+    """
+    ahead = {f"_{s}": F.expr(f"array_sort(filter(transform({s}, p -> p.step), q -> q <= ball_step))") for s in sides}
+    run = "array_repeat(size(_{0}) - i, q - coalesce(get(_{0}, i - 1), -1))"
+    counts = {f"{s}_counts": F.expr(f"flatten(transform(_{s}, (q, i) -> {run.format(s)}))") for s in sides}
+    return located.withColumns(ahead).withColumns(counts).drop(*ahead)
 
 
-def dense_value(channel: int, pitch: Pitch) -> Column:
+def dense_value(channel: int, pitch: Pitch) -> str:
     """Value of a dense channel at cell (y, x) of `over_grid`."""
-    y, x = F.col("y"), F.col("x")
-    ball_y, ball_x = F.col("ball_y"), F.col("ball_x")
-    if channel in (3, 17):  # the pass starts where the ball is
-        return fn.distance(y, x, ball_y, ball_x)
-    if channel == 4:
-        return F.col("d_goal")
-    if channel in (5, 6):
-        cosine = fn.cosine_ball_goal(y, x, ball_y, ball_x, pitch)
-        return cosine if channel == 5 else fn.sine_from(cosine)
-    if channel == 7:
-        return F.col("a_goal")
-    return outplayed(F.col("att_counts" if channel == 10 else "def_counts"), F.col("step")).cast("double")
+    cosine = fn.cosine_ball_goal("y", "x", "ball_y", "ball_x", pitch)
+    return {
+        3: fn.distance("y", "x", "ball_y", "ball_x"),
+        4: "d_goal",
+        5: cosine,
+        6: fn.sine_from(cosine),
+        7: "a_goal",
+        10: f"double({outplayed('att_counts', 'step')})",
+        11: f"double({outplayed('def_counts', 'step')})",
+        17: fn.distance("y", "x", "ball_y", "ball_x"),  # the pass starts where the ball is
+    }[channel]
 
 
 def _needed(channels) -> list[str]:
@@ -101,15 +89,17 @@ def _needed(channels) -> list[str]:
 
 def dense_cells(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> DataFrame:
     """One row per pass and cell with a column c<k> per dense channel."""
-    rows = over_grid(with_step_counts(located).select(*_needed(channels)), pitch)
-    return rows.select("pass_id", "cell", "y", "x", *[dense_value(c, pitch).alias(f"c{c}") for c in channels])
+    sides = [side for c, side in ((10, "att"), (11, "def")) if c in channels]
+    passes = with_step_counts(located, sides) if sides else located
+    rows = over_grid(passes.select(*_needed(channels)), pitch)
+    return rows.selectExpr("pass_id", "cell", "y", "x", *[f"{dense_value(c, pitch)} c{c}" for c in channels])
 
 
 def dense_channels(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> DataFrame:
     """The given dense channels as (pass_id, channel, y, x, value)."""
     wide = dense_cells(located, channels, pitch)
-    entries = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"c{c}").alias("value")) for c in channels])
-    return wide.select("pass_id", "y", "x", F.inline(entries)).select("pass_id", "channel", "y", "x", "value")
+    entries = ", ".join(f"struct({c} channel, c{c} value)" for c in channels)
+    return wide.selectExpr("pass_id", "y", "x", f"inline(array({entries}))").select("pass_id", "channel", "y", "x", "value")
 
 
 def channel(located: DataFrame, number: int, pitch: Pitch = Pitch()) -> DataFrame:
@@ -129,38 +119,26 @@ def channel_stack(located: DataFrame, pitch: Pitch = Pitch()) -> DataFrame:
     return stack.withColumn("value", F.col("value").cast("float"))
 
 
-def _occupants(players: Column) -> Column:
-    """Array by cell of the 1-based index of the player there, 0 elsewhere; ends at the last occupied cell."""
-
-    def run(p, i):
-        before = F.coalesce(F.get(players, i - 1)["cell"], F.lit(-1))
-        return F.concat(F.array_repeat(F.lit(0), p["cell"] - before - 1), F.array(i + 1))
-
-    return F.flatten(F.transform(players, run))
-
-
 def stack_cells(located: DataFrame, pitch: Pitch = Pitch()) -> DataFrame:
-    """One row per pass and cell with all 17 values c1..c17, zeros included."""
-    kept = [c for c in located.columns if c not in ("att", "def", "def_moving")]
-    sides = ("att", "def", "def_moving")
-    ordered = with_step_counts(located).withColumns({s: F.array_sort(F.col(s)) for s in sides})
-    indexed = ordered.withColumns({f"{s}_at": _occupants(F.col(s)) for s in sides})
-    rows = over_grid(indexed, pitch).withColumns(
-        {f"{s}_no": F.coalesce(F.get(f"{s}_at", F.col("cell")), F.lit(0)) for s in sides}
-    )
+    """One row per pass and cell with all 17 values c1..c17, zeros included.
 
-    def of_player(side, field):
-        return F.when(F.col(f"{side}_no") > 0, F.get(side, F.col(f"{side}_no") - 1)[field]).otherwise(F.lit(0.0))
+    `<side>_at` is an array by cell with the 1-based index of the player there and 0 elsewhere, so a
+    cell finds its player with one lookup.
+    """
+    sides = ("att", "def", "def_moving")
+    kept = [c for c in located.columns if c not in sides]
+    ordered = with_step_counts(located).withColumns({s: F.expr(f"array_sort({s})") for s in sides})
+    run = "concat(array_repeat(0, p.cell - coalesce(get({0}, i - 1).cell, -1) - 1), array(i + 1))"
+    indexed = ordered.withColumns({f"{s}_at": F.expr(f"flatten(transform({s}, (p, i) -> {run.format(s)}))") for s in sides})
+    rows = over_grid(indexed, pitch).withColumns({f"{s}_no": F.expr(f"coalesce(get({s}_at, cell), 0)") for s in sides})
 
-    on_ball = (F.col("y") == F.col("ball_y")) & (F.col("x") == F.col("ball_x"))
     values = {c: dense_value(c, pitch) for c in DENSE}
-    values |= {c: (F.col(f"{s}_no") > 0).cast("double") for c, s in ((1, "att"), (2, "def"))}
-    values |= {
-        c: F.when(on_ball, F.col(f"carrier_{f}")).otherwise(F.lit(0.0)) for c, f in ((8, "vx"), (9, "vy"), (12, "speed"))
-    }
-    for c, side, field in ((13, "att", "vx"), (14, "att", "vy"), (15, "def_moving", "vx"), (16, "def_moving", "vy")):
-        values[c] = of_player(side, field)
-    return rows.select(*kept, "cell", "y", "x", *[values[c].alias(f"c{c}") for c in sorted(values)])
+    for c, (side, value) in PLAYER_VALUES.items():
+        of_player = value.replace("p.", f"get({side}, {side}_no - 1).")
+        values[c] = f"case when {side}_no > 0 then double({of_player}) else 0.0D end"
+    for c, value in BALL_VALUES.items():
+        values[c] = f"case when y = ball_y and x = ball_x then {value} else 0.0D end"
+    return rows.selectExpr(*kept, "cell", "y", "x", *[f"{values[c]} c{c}" for c in sorted(values)])
 
 
 TENSOR_ROWS = 16  # passes per tensor batch: 8 MB of float32

@@ -11,21 +11,18 @@ from turfgrid.functions.cells import angle_to_goal, distance, goal_step
 
 def pitch_grid(spark: SparkSession, pitch: Pitch = Pitch()) -> DataFrame:
     """All cells with centre, order and distance to the goal, and angle to the goal."""
-    cells = spark.range(0, pitch.cells, 1, 1).select(
-        F.col("id").cast("int").alias("cell"),
-        F.floor(F.col("id") / pitch.cols).cast("int").alias("y"),
-        (F.col("id") % pitch.cols).cast("int").alias("x"),
+    cells = spark.range(0, pitch.cells, 1, 1).selectExpr(
+        "int(id) cell", f"int(id div {pitch.cols}) y", f"int(id % {pitch.cols}) x"
     )
-    y, x = F.col("y"), F.col("x")
-    return cells.select(
+    return cells.selectExpr(
         "cell",
         "y",
         "x",
-        (y + F.lit(0.5)).alias("cy"),
-        (x + F.lit(0.5)).alias("cx"),
-        goal_step(y, x, pitch).alias("step"),
-        distance(y, x, F.lit(float(pitch.goal_y)), F.lit(float(pitch.goal_x))).alias("d_goal"),
-        angle_to_goal(y, x, pitch).alias("a_goal"),
+        "y + 0.5D cy",
+        "x + 0.5D cx",
+        f"{goal_step('y', 'x', pitch)} step",
+        f"{distance('y', 'x', pitch.goal_y, pitch.goal_x)} d_goal",
+        f"{angle_to_goal('y', 'x', pitch)} a_goal",
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfgrid.constants import Pitch
-from turfgrid.functions.cells import cell_x, cell_y, encode_outcome, goal_step, missing, speed, to_id
+from turfgrid.functions.cells import cell_x, cell_y, encode_outcome, goal_step, is_number, to_id
 
 # Prefixes of the wide player columns and the field each one holds.
 SLOT_PREFIXES = {
@@ -52,25 +52,23 @@ def gather_slots(wide: DataFrame) -> DataFrame:
     slots = discover_slots(wide.columns)
     used = {name for s in slots for name in s.columns.values()}
 
-    def field(s: SlotColumns, name: str) -> Column:
+    def field(s: SlotColumns, name: str) -> str:
         if name == "slot":
-            return F.lit(s.slot).cast("bigint").alias(name)
-        value = F.col(s.columns[name]) if name in s.columns else F.lit(None)
-        value = to_id(value) if name in ("orig_id", "slot_team") else value.cast("double")
-        return value.alias(name)
+            return f"bigint({s.slot}) slot"
+        value = f"`{s.columns[name]}`" if name in s.columns else "null"
+        return f"try_cast({value} as bigint) {name}" if name in ("orig_id", "slot_team") else f"double({value}) {name}"
 
-    array = F.array(*[F.struct(*[field(s, n) for n in SLOT_FIELDS]) for s in slots])
+    array = ", ".join(f"struct({', '.join(field(s, n) for n in SLOT_FIELDS)})" for s in slots)
     kept = [c for c in wide.columns if c not in used]
-    return wide.select(*kept, array.alias("slots"))
+    return wide.select(*kept, F.expr(f"array({array})").alias("slots"))
 
 
 def spread_slots(passes: DataFrame, slots: list[int]) -> DataFrame:
     """Inverse of `gather_slots` for given slot numbers: one set of wide columns per slot."""
-    wide = []
-    for number in slots:
-        slot = F.get(F.filter("slots", lambda s, n=number: s["slot"] == n), F.lit(0))
-        wide += [slot[field].alias(f"{prefix}{number}") for prefix, field in SLOT_PREFIXES.items()]
-    return passes.select(*[c for c in passes.columns if c != "slots"], *wide)
+    kept = [c for c in passes.columns if c != "slots"]
+    picked = [f"get(filter(slots, s -> s.slot = {n}), 0) _s{n}" for n in slots]
+    wide = [f"_s{n}.{field} {prefix}{n}" for n in slots for prefix, field in SLOT_PREFIXES.items()]
+    return passes.selectExpr(*kept, *picked).selectExpr(*kept, *wide)
 
 
 def unpivot_slots(passes: DataFrame) -> DataFrame:
@@ -103,8 +101,7 @@ def cast_ids(passes: DataFrame) -> DataFrame:
 
 def resolve_passer(passes: DataFrame) -> DataFrame:
     """Add `carrier_slot`: the first slot of the pass row that holds the passer."""
-    own = F.filter("slots", lambda s: s["orig_id"] == F.col("player_id"))
-    return passes.withColumn("carrier_slot", F.get(own, F.lit(0))["slot"])
+    return passes.withColumn("carrier_slot", F.expr("get(filter(slots, s -> s.orig_id = player_id), 0).slot"))
 
 
 def resolve_passer_by_game(passes: DataFrame, salts: int = 16) -> DataFrame:
@@ -127,12 +124,12 @@ def resolve_passer_by_game(passes: DataFrame, salts: int = 16) -> DataFrame:
 
 def attach_carrier(passes: DataFrame) -> DataFrame:
     """Add the passer's velocity on this pass; NULL when the passer was not found."""
-    own = F.get(F.filter("slots", lambda s: s["slot"] == F.col("carrier_slot")), F.lit(0))
-    return passes.withColumn("_own", own).select(
+    own = F.expr("get(filter(slots, s -> s.slot = carrier_slot), 0)")
+    return passes.withColumn("_own", own).selectExpr(
         *passes.columns,
-        F.col("_own.vx").alias("carrier_vx"),
-        F.col("_own.vy").alias("carrier_vy"),
-        speed(F.col("_own.vx"), F.col("_own.vy")).alias("carrier_speed"),
+        "_own.vx carrier_vx",
+        "_own.vy carrier_vy",
+        "sqrt(_own.vx * _own.vx + _own.vy * _own.vy) carrier_speed",
     )
 
 
@@ -160,30 +157,20 @@ def build_sample(carried: DataFrame) -> DataFrame:
     )
 
 
-def _players(attacking: bool, pitch: Pitch) -> Column:
-    def on_side(s):
-        same = F.coalesce(s["slot_team"] == F.col("team_id"), F.lit(False))
-        placed = ~missing(s["x"]) & ~missing(s["y"])
-        return is_active(s["slot_team"]) & (same if attacking else ~same) & placed
+def _players(attacking: bool, pitch: Pitch) -> str:
+    """Array of the placed players of one side with their cells."""
+    attacker = "coalesce(s.slot_team = team_id, false)"
+    side = attacker if attacking else f"not {attacker}"
+    chosen = f"filter(slots, s -> s.slot_team is not null and {side} and {is_number('s.x')} and {is_number('s.y')})"
+    placed = f"transform({chosen}, s -> struct({cell_y('s.y', pitch)} y, {cell_x('s.x', pitch)} x, s.vx vx, s.vy vy))"
+    step = goal_step("p.y", "p.x", pitch)
+    return f"transform({placed}, p -> struct(p.y * {pitch.cols} + p.x cell, {step} step, p.vx vx, p.vy vy))"
 
-    def located(s):
-        x, y = cell_x(s["x"], pitch), cell_y(s["y"], pitch)
-        return F.struct(
-            (y * pitch.cols + x).alias("cell"),
-            goal_step(y, x, pitch).alias("step"),
-            s["vx"].alias("vx"),
-            s["vy"].alias("vy"),
-        )
 
-    return F.transform(F.filter("slots", on_side), located)
-
-
-def _one_per_cell(players: Column) -> Column:
+def _one_per_cell(players: str) -> str:
     """Keep the last player of each cell."""
-    return F.filter(
-        players,
-        lambda p, i: ~F.exists(F.slice(players, i + 2, F.size(players)), lambda later: later["cell"] == p["cell"]),
-    )
+    later = f"slice({players}, i + 2, size({players}))"
+    return f"filter({players}, (p, i) -> not exists({later}, q -> q.cell = p.cell))"
 
 
 def locate(passes: DataFrame, pitch: Pitch = Pitch(), compat: bool = False) -> DataFrame:
@@ -194,29 +181,28 @@ def locate(passes: DataFrame, pitch: Pitch = Pitch(), compat: bool = False) -> D
     the defenders that come no later than the number of attackers.
     """
     columns = [c for c in passes.columns if c != "slots"]
-    ball_x, ball_y = cell_x(F.col("ball_x_start"), pitch), cell_y(F.col("ball_y_start"), pitch)
     base = passes.select(
         *columns,
         encode_outcome(F.col("pass_outcome_type")).alias("target"),
-        ball_y.alias("ball_y"),
-        ball_x.alias("ball_x"),
-        cell_y(F.col("ball_y_end"), pitch).alias("dest_y"),
-        cell_x(F.col("ball_x_end"), pitch).alias("dest_x"),
-        _players(True, pitch).alias("att_all"),
-        _players(False, pitch).alias("def_all"),
+        F.expr(cell_y("ball_y_start", pitch)).alias("ball_y"),
+        F.expr(cell_x("ball_x_start", pitch)).alias("ball_x"),
+        F.expr(cell_y("ball_y_end", pitch)).alias("dest_y"),
+        F.expr(cell_x("ball_x_end", pitch)).alias("dest_x"),
+        F.expr(_players(True, pitch)).alias("att_all"),
+        F.expr(_players(False, pitch)).alias("def_all"),
     )
-    moving = F.slice("def_all", F.lit(1), F.size("att_all")) if compat else F.col("def_all")
-    return base.select(
+    moving = "slice(def_all, 1, size(att_all))" if compat else "def_all"
+    return base.withColumn("moving_all", F.expr(moving)).selectExpr(
         *columns,
         "target",
         "ball_y",
         "ball_x",
-        goal_step(F.col("ball_y"), F.col("ball_x"), pitch).alias("ball_step"),
+        f"{goal_step('ball_y', 'ball_x', pitch)} ball_step",
         "dest_y",
         "dest_x",
-        _one_per_cell(F.col("att_all")).alias("att"),
-        _one_per_cell(F.col("def_all")).alias("def"),
-        _one_per_cell(moving).alias("def_moving"),
-        F.size("att_all").alias("n_att"),
-        F.size("def_all").alias("n_def"),
+        f"{_one_per_cell('att_all')} att",
+        f"{_one_per_cell('def_all')} def",
+        f"{_one_per_cell('moving_all')} def_moving",
+        "size(att_all) n_att",
+        "size(def_all) n_def",
     )

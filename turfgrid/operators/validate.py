@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turfgrid.constants import OUTCOME_LABELS
 from turfgrid.functions.cells import encode_outcome, missing
 
 
@@ -43,7 +44,8 @@ def with_reject_reason(passes: DataFrame) -> DataFrame:
 
 
 def accepted(passes: DataFrame) -> DataFrame:
-    return drop_unlabelled(passes).where(~unknown_outcome() & ~no_destination())
+    """Passes with a known code and a known end, as one short predicate the scan can take."""
+    return passes.where(F.col("pass_outcome_type").isin(list(OUTCOME_LABELS)) & ~no_destination())
 
 
 def rejected(passes: DataFrame) -> DataFrame:

@@ -14,9 +14,11 @@ from turfgrid.constants import Pitch
 from turfgrid.plans.jobs import prepare
 
 
-def stream_table(spark: SparkSession, directory: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+def stream_table(
+    spark: SparkSession, directory: str, schema: StructType, files: str = "*.parquet", files_per_trigger: int | None = None
+) -> DataFrame:
     """Parquet files of a folder as they arrive."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(directory)
