@@ -312,10 +312,10 @@ def c19_channel_stack(spark, sf_dir):
 
 
 def c20_dense_row(spark, sf_dir):
-    rows = channels.dense_row(located(spark, sf_dir)).select("pass_id", F.posexplode("stack").alias("plane", "v"))
-    zero = F.lit(0).cast("bigint")
-    total = F.aggregate("v", zero, lambda a, v: a + F.coalesce(millionths(F.nanvl(v.cast("double"), F.lit(0.0))), zero))
-    return rows.select("pass_id", (F.col("plane") + 1).alias("channel"), F.size("v").cast("bigint").alias("n"), total.alias("s"))
+    rows = channels.dense_row(located(spark, sf_dir)).select("pass_id", F.posexplode("stack").alias("plane", "values"))
+    cells = rows.select("pass_id", (F.col("plane") + 1).alias("channel"), F.explode("values").alias("v"))
+    v = millionths(F.nanvl(F.col("v").cast("double"), F.lit(0.0)))
+    return cells.groupBy("pass_id", "channel").agg(F.count("*").alias("n"), F.sum(v).alias("s"))
 
 
 # ---- aggregations and audit

@@ -46,7 +46,8 @@ def _sparse_entries(channel: int, pitch: Pitch) -> str:
 def sparse_channels(located: DataFrame, channels=SPARSE, pitch: Pitch = Pitch()) -> DataFrame:
     """Set cells of the given sparse channels as (pass_id, channel, y, x, value)."""
     entries = ", ".join(_sparse_entries(c, pitch) for c in channels)
-    return located.selectExpr("pass_id", f"inline(concat({entries}))")
+    # the outer form: see `unpivot_slots`
+    return located.selectExpr("pass_id", f"inline_outer(concat({entries}))").where("channel is not null")
 
 
 def outplayed(counts: str, step: str) -> str:

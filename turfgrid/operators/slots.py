@@ -66,16 +66,20 @@ def gather_slots(wide: DataFrame) -> DataFrame:
 def spread_slots(passes: DataFrame, slots: list[int]) -> DataFrame:
     """Inverse of `gather_slots` for given slot numbers: one set of wide columns per slot."""
     kept = [c for c in passes.columns if c != "slots"]
-    picked = [f"get(filter(slots, s -> s.slot = {n}), 0) _s{n}" for n in slots]
-    wide = [f"_s{n}.{field} {prefix}{n}" for n in slots for prefix, field in SLOT_PREFIXES.items()]
-    return passes.selectExpr(*kept, *picked).selectExpr(*kept, *wide)
+    numbers = ", ".join(str(n) for n in slots)
+    lined_up = f"transform(array({numbers}), n -> get(filter(slots, s -> s.slot = n), 0)) _slots"
+    wide = [f"get(_slots, {i}).{field} {prefix}{n}" for i, n in enumerate(slots) for prefix, field in SLOT_PREFIXES.items()]
+    return passes.selectExpr(*kept, lined_up).selectExpr(*kept, *wide)
 
 
 def unpivot_slots(passes: DataFrame) -> DataFrame:
-    """One row per pass and slot, with the slot's position in column order."""
-    return passes.select("pass_id", "game_id", "team_id", F.posexplode("slots").alias("slot_ord", "s")).select(
-        "pass_id", "game_id", "team_id", "slot_ord", "s.*"
-    )
+    """One row per pass and slot, with the slot's position in column order.
+
+    The outer form keeps the planner from adding a test for empty arrays below, where it would
+    compute a derived array a second time.
+    """
+    exploded = passes.select("pass_id", "game_id", "team_id", F.posexplode_outer("slots").alias("slot_ord", "s"))
+    return exploded.where("slot_ord is not null").select("pass_id", "game_id", "team_id", "slot_ord", "s.*")
 
 
 def is_active(slot_team: Column) -> Column:
@@ -112,7 +116,7 @@ def resolve_passer_by_game(passes: DataFrame, salts: int = 16) -> DataFrame:
     broadcasts it instead when its measured size allows.
     """
     lookup = (
-        passes.select("game_id", F.posexplode("slots").alias("slot_ord", "s"))
+        passes.select("game_id", F.posexplode_outer("slots").alias("slot_ord", "s"))
         .where(F.col("s.orig_id").isNotNull())
         .groupBy("game_id", F.col("s.orig_id").alias("player_id"))
         .agg(F.min_by("s.slot", "slot_ord").alias("carrier_slot"))
