@@ -98,9 +98,9 @@ def dense_cells(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> D
 
 def dense_channels(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> DataFrame:
     """The given dense channels as (pass_id, channel, y, x, value)."""
-    wide = dense_cells(located, channels, pitch)
-    entries = ", ".join(f"struct({c} channel, c{c} value)" for c in channels)
-    return wide.selectExpr("pass_id", "y", "x", f"inline(array({entries}))").select("pass_id", "channel", "y", "x", "value")
+    wide = dense_cells(located, channels, pitch).withColumnsRenamed({f"c{c}": str(c) for c in channels})
+    long = wide.unpivot(["pass_id", "y", "x"], [str(c) for c in channels], "channel", "value")
+    return long.select("pass_id", F.col("channel").cast("int").alias("channel"), "y", "x", "value")
 
 
 def channel(located: DataFrame, number: int, pitch: Pitch = Pitch()) -> DataFrame:
