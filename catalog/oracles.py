@@ -178,7 +178,7 @@ def _stack(as_tensor: bool) -> str:
         columns = "pass_id, channel, cast(n as bigint) n, cast(s as bigint) s"
     else:
         rows.append(f"select pass_id, channel, count(*), sum({micro('v')}), sum({micro('v')} * {cell}) from ({' union all '.join(set_cells)}) group by 1, 2")
-        columns = "pass_id, channel, cast(n as bigint) n, cast(s as bigint) s, cast(w as bigint) w"
+        columns = "pass_id, channel, cast(n as bigint) n, cast(s as double) s, cast(w as double) w"
     return on(*parts, select=f"select {columns} from ({' union all '.join(rows)})")
 
 
@@ -272,17 +272,18 @@ ORACLES = {
         FIXTURE, select="select cast(slot - 1 as integer) ordinal, cast(slot as integer) slot, 6 fields, count(slot_team) players from track group by slot"
     ),
     "p2_unpivot_slots": on(
-        FIXTURE, select="select pass_id, cast(slot - 1 as integer) slot_ord, slot, orig_id, cast(slot_team as bigint) slot_team, x, y, vx, vy from track"
+        FIXTURE, select="select pass_id, cast(slot - 1 as integer) slot_ord, slot, orig_id, cast(slot_team as double) slot_team, x, y, vx, vy from track"
     ),
     "p3_encode_outcome": on(
-        FIXTURE, select="select pass_id, case when pass_outcome_type = 'C' then 1 when pass_outcome_type in ('D', 'B', 'O', 'S', 'G', 'I') then 0 end label from passes"
+        FIXTURE, select="select pass_id, cast(case when pass_outcome_type = 'C' then 1 when pass_outcome_type in ('D', 'B', 'O', 'S', 'G', 'I') then 0 end as double) label from passes"
     ),
     "p4_cell_of": on(
         FIXTURE,
         select=f"""select pass_id, {cell_x('ball_x_start')} start_x, {cell_y('ball_y_start')} start_y,
- case when ball_x_end is not null then {cell_x('ball_x_end')} end end_x, case when ball_y_end is not null then {cell_y('ball_y_end')} end end_y from passes""",
+ cast(case when ball_x_end is not null then {cell_x('ball_x_end')} end as double) end_x,
+ cast(case when ball_y_end is not null then {cell_y('ball_y_end')} end as double) end_y from passes""",
     ),
-    "p5_cast_ids": on(FIXTURE, select="select pass_id, case when player_id >= 0 then player_id end player_id, team_id from passes"),
+    "p5_cast_ids": on(FIXTURE, select="select pass_id, cast(case when player_id >= 0 then player_id end as double) player_id, team_id from passes"),
     "p6_speed": on(FIXTURE, select="select pass_id, slot, round(sqrt(vx*vx + vy*vy), 6) speed from track"),
     "p7_build_sample": on(
         FIXTURE, LOCATED,
@@ -291,7 +292,7 @@ ORACLES = {
     "p8_to_float": on(
         FIXTURE, LOCATED,
         select="select pass_id, "
-        + ", ".join(f"cast(floor(cast(cast({c} as float) as double) * {D(1e6)}) as bigint) {c}" for c in ("carrier_vx", "carrier_speed"))
+        + ", ".join(f"floor(cast(cast({c} as float) as double) * {D(1e6)}) {c}" for c in ("carrier_vx", "carrier_speed"))
         + " from located",
     ),
     "p9_pitch_grid": on(
@@ -300,13 +301,13 @@ ORACLES = {
  from grid g left join located l on l.dest_y = g.y and l.dest_x = g.x group by 1, 2, 3, 4, 5""",
     ),
     "j1_resolve_passer": on(
-        FIXTURE, select="select p.pass_id, min(t.slot) carrier_slot from passes p left join track t on t.pass_id = p.pass_id and t.orig_id = p.player_id group by 1"
+        FIXTURE, select="select p.pass_id, cast(min(t.slot) as double) carrier_slot from passes p left join track t on t.pass_id = p.pass_id and t.orig_id = p.player_id group by 1"
     ),
     "j1_resolve_passer_by_game": on(
         FIXTURE,
         "named as (select * from passes where pass_outcome_type is not null)",
         "first_slot as (select t.game_id, t.orig_id, min(t.slot) slot from track t join named p on p.pass_id = t.pass_id group by 1, 2)",
-        select="select p.pass_id, f.slot carrier_slot from named p left join first_slot f on f.game_id = p.game_id and f.orig_id = p.player_id",
+        select="select p.pass_id, cast(f.slot as double) carrier_slot from named p left join first_slot f on f.game_id = p.game_id and f.orig_id = p.player_id",
     ),
     "j2_attach_carrier": on(
         FIXTURE, LOCATED,

@@ -50,6 +50,11 @@ def digest(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * cell).alias("w"))
 
 
+def as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be NULL, as doubles: both engines hand those over alike."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
 
@@ -207,23 +212,24 @@ def p1_discover_slots(spark, sf_dir):
 
 
 def p2_unpivot_slots(spark, sf_dir):
-    return slots.unpivot_slots(slots.gather_slots(_wide(spark, sf_dir))).drop("game_id", "team_id")
+    return as_double(slots.unpivot_slots(slots.gather_slots(_wide(spark, sf_dir))).drop("game_id", "team_id"), "slot_team")
 
 
 def p3_encode_outcome(spark, sf_dir):
-    return passes(spark, sf_dir).select("pass_id", fn.encode_outcome(F.col("pass_outcome_type")).alias("label"))
+    labels = passes(spark, sf_dir).select("pass_id", fn.encode_outcome(F.col("pass_outcome_type")).alias("label"))
+    return as_double(labels, "label")
 
 
 def p4_cell_of(spark, sf_dir):
     cells = [f"{fn.cell_x(f'ball_x_{at}')} {at}_x" for at in ("start", "end")]
     cells += [f"{fn.cell_y(f'ball_y_{at}')} {at}_y" for at in ("start", "end")]
-    return passes(spark, sf_dir).selectExpr("pass_id", *cells)
+    return as_double(passes(spark, sf_dir).selectExpr("pass_id", *cells), "end_x", "end_y")
 
 
 def p5_cast_ids(spark, sf_dir):
     unknown = F.when(F.col("player_id") < 0, F.lit(float("nan"))).otherwise(F.col("player_id").cast("double"))
     floats = passes(spark, sf_dir).select("pass_id", unknown.alias("player_id"), F.col("team_id").cast("double").alias("team_id"))
-    return slots.cast_ids(floats)
+    return as_double(slots.cast_ids(floats), "player_id")
 
 
 def p6_speed(spark, sf_dir):
@@ -237,7 +243,8 @@ def p7_build_sample(spark, sf_dir):
 
 def p8_to_float(spark, sf_dir):
     sample = slots.with_carrier(validate.accepted(passes(spark, sf_dir)))
-    return sample.select("pass_id", *[millionths(F.col(c).cast("float").cast("double")).alias(c) for c in ("carrier_vx", "carrier_speed")])
+    names = ("carrier_vx", "carrier_speed")
+    return as_double(sample.select("pass_id", *[millionths(F.col(c).cast("float").cast("double")).alias(c) for c in names]), *names)
 
 
 def p9_pitch_grid(spark, sf_dir):
@@ -250,12 +257,12 @@ def p9_pitch_grid(spark, sf_dir):
 
 
 def j1_resolve_passer(spark, sf_dir):
-    return slots.resolve_passer(passes(spark, sf_dir)).select("pass_id", "carrier_slot")
+    return as_double(slots.resolve_passer(passes(spark, sf_dir)).select("pass_id", "carrier_slot"), "carrier_slot")
 
 
 def j1_resolve_passer_by_game(spark, sf_dir):
     labelled_passes = validate.drop_unlabelled(passes(spark, sf_dir))
-    return slots.resolve_passer_by_game(labelled_passes).select("pass_id", "carrier_slot")
+    return as_double(slots.resolve_passer_by_game(labelled_passes).select("pass_id", "carrier_slot"), "carrier_slot")
 
 
 def j2_attach_carrier(spark, sf_dir, compat=False):
@@ -308,7 +315,7 @@ def c18_destination_mask(spark, sf_dir):
 
 
 def c19_channel_stack(spark, sf_dir):
-    return digest(channels.channel_stack(located(spark, sf_dir)), "pass_id", "channel")
+    return as_double(digest(channels.channel_stack(located(spark, sf_dir)), "pass_id", "channel"), "s", "w")
 
 
 def c20_dense_row(spark, sf_dir):
