@@ -41,9 +41,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def task_count(spark: SparkSession) -> int:
-    """Number of tasks for a job that multiplies its rows, from the session's own sizing."""
+    """Number of tasks for a job that multiplies its rows: four per core, or the session's shuffle setting if larger.
+
+    Spark's default of 200 shuffle partitions says nothing about the cluster and is left out.
+    """
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 4 * spark.sparkContext.defaultParallelism)
+    return max(shuffle if shuffle != 200 else 1, 4 * spark.sparkContext.defaultParallelism)
 
 
 def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
