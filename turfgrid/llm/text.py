@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,12 +49,17 @@ def letters(text: str) -> np.ndarray:
     return letter_table()[code_points(text)]
 
 
+@lru_cache(maxsize=1)
+def _word_table() -> np.ndarray:
+    table = np.arange(0x110000, dtype=np.uint32)
+    table[65:91] += 32
+    table[[32, *range(9, 14)]] = 0
+    return table
+
+
 def spaced(text: str) -> np.ndarray:
     """Code points with A-Z lower-cased, 0 for space and the controls 9 to 13."""
-    points = code_points(text).copy()
-    points[(points >= 65) & (points <= 90)] += 32
-    points[(points == 32) | ((points >= 9) & (points <= 13))] = 0
-    return points
+    return _word_table()[code_points(text)]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -65,31 +70,29 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers() -> np.ndarray:
-    return np.multiply.accumulate(np.full(1 << 16, _MULTIPLIER, np.uint64))
-
-
-def _powers_to(length: int) -> np.ndarray:
-    return _powers() if length <= 1 << 16 else np.multiply.accumulate(np.full(length, _MULTIPLIER, np.uint64))
+@lru_cache(maxsize=2)
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2^64."""
+    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(length - 1, x, np.uint64)])) for x in (_MULTIPLIER, inverse))
 
 
 def word_hashes(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash per run of non-zero points, in order."""
-    inside = points != 0
-    if not inside.any():
+    """A 64-bit hash per run of non-zero points, in order.
+
+    A running sum of point times power of the place gives the polynomial of a run as a difference, which
+    the inverse power moves to the origin.
+    """
+    inside = np.zeros(points.size + 2, bool)
+    np.not_equal(points, 0, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    if not first.size:
         return np.zeros(0, np.uint64)
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = np.flatnonzero(starts)
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    lengths = np.flatnonzero(ends) + 1 - first
-    kept = points[inside].astype(np.uint64)
-    offsets = np.cumsum(lengths) - lengths
-    place = np.arange(kept.size) - np.repeat(offsets, lengths)
-    sums = np.add.reduceat(kept * _powers_to(int(lengths.max()))[place], offsets)
-    return mix(sums + lengths.astype(np.uint64))
+    powers, inverses = _powers(max(2 * PIECE, 1 << int(points.size).bit_length()))
+    total = np.zeros(points.size + 1, np.uint64)
+    np.cumsum(points * powers[: points.size], out=total[1:])
+    return mix((total[last] - total[first]) * inverses[first] + (last - first).astype(np.uint64))
 
 
 def hashed_words(text: str, fold=letters) -> np.ndarray:
