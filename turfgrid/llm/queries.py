@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfgrid.llm import language, mixing, sharding, toxicity
+from turfgrid.llm import language, mixing, ngram_join, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), ngram_join.Settings(words=4, least=85))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLES: dict[str, str] = {}
