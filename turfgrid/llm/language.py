@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfgrid.llm import text as T
@@ -21,6 +21,8 @@ from turfgrid.llm import text as T
 UNDETERMINED = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 SHARPNESS = 6.0
+#: A score this close to that of a guess among the learned languages decides nothing.
+UNDECIDED = 1.2
 
 
 @dataclass(frozen=True)
@@ -130,9 +132,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     `per_language` rows of each language reach the driver, as n-gram lists.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    lot = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("_place", F.row_number().over(lot))
-    chosen = chosen.where(F.col("_place") <= settings.per_language).select("doc_id", "lang")
+    chosen = T.first_by_hash(known.select("doc_id", "lang").distinct(), "lang", settings.per_language)
     texts = known.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = texts.select("lang", "text").mapInArrow(_grams_of(settings), "lang string, grams array<int>").toArrow()
     lists = rows.column("grams").combine_chunks()
@@ -149,32 +149,60 @@ def hash_of(grams: np.ndarray) -> int:
     return int(T.mix(grams.astype(np.uint64)).sum(dtype=np.uint64))
 
 
+def _judge(texts: list[str | None], model: Model, row: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, by batched products; `row` is room for presence bits."""
+    bits = np.zeros((len(texts), model.columns.size), np.float32)
+    sizes, lettered = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for i, text in enumerate(texts):
+        if text and presence(text, row, model.settings):
+            bits[i], sizes[i], lettered[i] = row[model.columns], row.sum(dtype=np.int64), True
+    if not model.languages:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    values = SHARPNESS * model.scores(bits, sizes).astype(float)
+    values = np.exp(values - values.max(axis=1, keepdims=True))
+    best = values.argmax(axis=1)
+    names = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)]
+    return names, np.where(lettered, values.max(axis=1) / values.sum(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document.
 
     Null texts and texts without a letter are `und` with score 0, as is everything when no language was
     learned. Ties go to the first language in alphabetical order; repeated rows give repeated rows.
     """
-    settings = model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = np.zeros(1 << settings.bits, np.uint8)
+        row = np.zeros(1 << model.settings.bits, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                bits = np.zeros((part.num_rows, model.columns.size), np.float32)
-                sizes, lettered = np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    if text and presence(text, row, settings):
-                        bits[i], sizes[i], lettered[i] = row[model.columns], row.sum(dtype=np.int64), True
-                names, scores = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
-                if model.languages:
-                    values = SHARPNESS * model.scores(bits, sizes).astype(float)
-                    values = np.exp(values - values.max(axis=1, keepdims=True))
-                    best = values.argmax(axis=1)
-                    scores = np.where(lettered, values.max(axis=1) / values.sum(axis=1), 0.0)
-                    names = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)]
+                names, scores = _judge(part.column("text").to_pylist(), model, row)
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, with a language.
+
+    Rejected are null texts, texts without a letter, and texts whose score is at most `UNDECIDED` times
+    that of a guess among several languages. Without any learned language nothing but the first two goes.
+    """
+    guess = UNDECIDED / len(model.languages) if len(model.languages) > 1 else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.zeros(1 << model.settings.bits, np.uint8)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                if model.languages:
+                    names, scores = _judge(texts, model, row)
+                    kept = [name != UNDETERMINED and score > guess for name, score in zip(names, scores, strict=True)]
+                else:
+                    kept = [bool(text) and any(map(str.isalpha, text)) for text in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

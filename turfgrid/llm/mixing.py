@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 SEED = 61
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count() -> Column:

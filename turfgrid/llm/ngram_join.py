@@ -325,3 +325,18 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     filled = filled.join(labels.withColumnRenamed("id", "same"), "same", "left").select("doc_id", "n", F.coalesce("component", "same", "doc_id").alias("component_id"))
     result = filled.union(slim.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return result.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of `docs`, all columns, with one document left of each component: that of the smallest id.
+
+    Of repeated rows of such an id one stays. Rows without an id stay.
+    """
+    judged = written(join(docs, settings), "judged")
+    gone = judged.where("doc_id != component_id").select("doc_id").distinct()
+    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(docs.columns)

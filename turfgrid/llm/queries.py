@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfgrid.llm import language, mixing, ngram_join, sharding, toxicity
+import corpus_pipeline
+from turfgrid.llm import decontamination, language, mixing, ngram_join, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), ngram_join.Settings(words=4, least=85))
 
@@ -40,6 +45,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_ngram_join": op8_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}

@@ -20,7 +20,7 @@ from turfgrid.llm.storage import drop, written
 
 SHARDS = 40
 SEED = 41
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _earlier(buckets: DataFrame, within: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 PIECE = 1 << 18
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -70,6 +72,11 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash multiplier and of its inverse, for `length` places at least."""
+    return _powers(max(2 * PIECE, 1 << int(length).bit_length()))
+
+
 @lru_cache(maxsize=2)
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64."""
@@ -89,12 +96,26 @@ def word_hashes(points: np.ndarray) -> np.ndarray:
     first, last = edges[::2], edges[1::2]
     if not first.size:
         return np.zeros(0, np.uint64)
-    powers, inverses = _powers(max(2 * PIECE, 1 << int(points.size).bit_length()))
+    places, inverses = powers(points.size)
     total = np.zeros(points.size + 1, np.uint64)
-    np.cumsum(points * powers[: points.size], out=total[1:])
+    np.cumsum(points * places[: points.size], out=total[1:])
     return mix((total[last] - total[first]) * inverses[first] + (last - first).astype(np.uint64))
 
 
 def hashed_words(text: str, fold=letters) -> np.ndarray:
     """Word hashes of a whole text, piece by piece."""
     return np.concatenate([word_hashes(fold(piece)) for piece in pieces(text)])
+
+
+def first_by_hash(rows: DataFrame, kind: str, number: int) -> DataFrame:
+    """The first `number` rows (doc_id, kind) of each kind in the order of a hash of doc_id.
+
+    The counts of the kinds give the hash below which about twice that many lie; only those rows are
+    shuffled and ranked, however frequent a kind is. Rarely a few less than `number` are found.
+    """
+    share = (F.xxhash64("doc_id").cast("double") / float(1 << 64)) + 0.5
+    counts = rows.groupBy(kind).agg(F.count("*").alias("_all")).withColumnRenamed(kind, "_kind")
+    near = rows.withColumn("_share", share).join(counts, F.col(kind) == F.col("_kind"))
+    near = near.where(F.col("_share") * F.col("_all") <= 2 * number + 100).select("doc_id", kind, "_share")
+    place = F.row_number().over(Window.partitionBy(kind).orderBy("_share", "doc_id"))
+    return near.withColumn("_place", place).where(F.col("_place") <= number).select("doc_id", kind)

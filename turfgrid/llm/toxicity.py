@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfgrid.llm import text as T
@@ -164,9 +164,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.select("doc_id").join(marked, "doc_id").distinct()
-    lot = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_place", F.row_number().over(lot)).where(F.col("_place") <= settings.per_class)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
+    chosen = T.first_by_hash(known, "toxic", settings.per_class)
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
