@@ -82,10 +82,7 @@ class Index:
     items: list[int]
     budgets: np.ndarray
     least: np.ndarray
-
-    @property
-    def longest(self) -> int:
-        return max((w.size for w in self.windows), default=0)
+    sizes: np.ndarray
 
 
 def build(items: list[tuple[int, str]], settings: Settings) -> Index:
@@ -105,8 +102,8 @@ def build(items: list[tuple[int, str]], settings: Settings) -> Index:
     offsets = np.concatenate([*[np.arange(x.size) for x in lists], np.zeros(0, np.int64)]).astype(np.int64)
     present = np.zeros(1 << _BITS, bool)
     present[hashes >> np.uint64(64 - _BITS)] = True
-    sizes = [w.size for w in windows]
-    return Index(settings, hashes[order], number[order], offsets[order], present, windows, owners, np.array([settings.budget(m) for m in sizes], np.int64), np.array([settings.least_shared(m) for m in sizes], np.int64))
+    sizes = np.array([w.size for w in windows], np.int64)
+    return Index(settings, hashes[order], number[order], offsets[order], present, windows, owners, np.array([settings.budget(m) for m in sizes], np.int64), np.array([settings.least_shared(m) for m in sizes], np.int64), sizes)
 
 
 def align(window: np.ndarray, points: np.ndarray, low: int, width: int) -> tuple[int, int]:
@@ -140,11 +137,18 @@ def search(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         return []
     at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     window, diagonal = index.owners[at], np.repeat(likely, count) - index.offsets[at]
+    shift, matches = np.int64(1 << 32), []
+    # a window that shares all its q-grams on one diagonal is there without edits and needs no alignment
+    lines, counts = np.unique(window * shift + diagonal + (1 << 20), return_counts=True)
+    for line in lines[counts > index.sizes[lines // shift] - settings.q]:
+        number, start = int(line // shift), int(line % shift) - (1 << 20)
+        if np.array_equal(points[max(0, start) : start + index.sizes[number]], index.windows[number]):
+            matches.append((number, start, start + int(index.sizes[number]), 0))
+    rest = ~np.isin(window, [m[0] for m in matches])
+    window, diagonal = window[rest], diagonal[rest]
     band = np.floor_divide(diagonal, index.budgets[window] + 1)
-    shift = np.int64(1 << 32)
     cells, counts = np.unique(np.concatenate([window * shift + band + (1 << 20), window * shift + band - 1 + (1 << 20)]), return_counts=True)
     cells = cells[counts >= index.least[cells // shift]]
-    matches = []
     for cell in cells:
         number, place = int(cell // shift), int(cell % shift) - (1 << 20)
         budget, pattern = int(index.budgets[number]), index.windows[number]
@@ -162,7 +166,7 @@ def matches_of(text: str | None, index: Index) -> dict[int, tuple[int, int, int,
     found: dict[int, tuple[int, int, int, set[int]]] = {}
     if not text or not index.windows:
         return {}
-    keep = 2 * index.longest + 4 * int(index.budgets.max()) + index.settings.q
+    keep = 2 * int(index.sizes.max()) + 4 * int(index.budgets.max()) + index.settings.q
     points, places, base = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
     for piece in T.pieces(text):
         more, where = normalized(piece)
