@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turfgrid.llm import decontamination, language, mixing, ngram_join, sharding, toxicity
+from turfgrid.llm import decontamination, language, mixing, ngram_join, sharding, spotsigs, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), ngram_join.Settings(words=4, least=85))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_edits(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -47,6 +57,8 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_join": op8_ngram_join,
+    "op9_spotsigs": op9_spotsigs,
+    "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
