@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turfgrid.llm import decontamination, language, mixing, ngram_join, sharding, spotsigs, token_files, toxicity
+from turfgrid.llm import credentials, decontamination, language, mixing, ngram_join, pii, sharding, spotsigs, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_join": op8_ngram_join,
