@@ -37,14 +37,15 @@ _ROUGH_SHIFT = 32
 class Settings:
     """Link when of * intersection >= least * union, over n-grams of `words` words.
 
-    `frequent` and `most_frequent` (a bound on a list sent to the tasks) shape the global order only; any
-    order gives the same links.
+    `frequent`, `together` and `most_frequent` (a bound on a list sent to the tasks) shape the global order
+    only; any order gives the same links.
     """
 
     words: int = 5
     least: int = 80
     of: int = 100
     frequent: int = 32
+    together: int = 4
     most_frequent: int = 1_000_000
     block: int = 1000
 
@@ -67,8 +68,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     width = min(words, found.size)
     value = np.full(found.size - width + 1, width, np.uint64)
     for step in range(width):
-        value = T.mix(value) + found[step : found.size - width + 1 + step]
-    return np.unique((T.mix(value) >> np.uint64(2)).astype(np.int64))
+        value = value * np.uint64(0xD1342543DE82EF95) + found[step : found.size - width + 1 + step]
+    grams = np.sort((T.mix(value) >> np.uint64(2)).view(np.int64))
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
 
 
 def _lists(lists: list[np.ndarray], kind=np.int64) -> pa.Array:
@@ -77,22 +79,22 @@ def _lists(lists: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def _repeated(settings: Settings):
-    """n-grams seen more than once in a batch, from somewhat more than the prefix in hash order."""
+    """n-grams that `settings.together` rows of a batch or more contain, with the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, settings.words)
-                kept.append(found[: settings.prefix(found.size) * 3 // 2])
-            values, counts = np.unique(np.concatenate([*kept, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], ["gram", "times"])
+            found = [shingles(text, settings.words) for text in batch.column("text").to_pylist()]
+            grams = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if grams.size else np.zeros(0, int)
+            times = np.diff(np.concatenate([first, [grams.size]]))
+            often = times >= settings.together
+            yield pa.RecordBatch.from_arrays([pa.array(grams[first[often]]), pa.array(times[often])], ["gram", "times"])
 
     return run
 
 
 def frequent_grams(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """The most frequent n-grams, found by counts of those that repeat within a batch of rows."""
+    """The most frequent n-grams, by the counts of those that repeat within a batch of rows."""
     counted = docs.select("text").mapInArrow(_repeated(settings), "gram bigint, times bigint")
     totals = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= settings.frequent)
     top = totals.orderBy(F.desc("times"), "gram").limit(settings.most_frequent).select("gram").toArrow()
@@ -109,9 +111,12 @@ def _prefixes(frequent: np.ndarray, settings: Settings):
             for text in batch.column("text").to_pylist():
                 found = shingles(text, settings.words)
                 sizes.append(found.size)
-                keys_a.append(int(T.mix(found).sum(dtype=np.uint64).view(np.int64)))
-                keys_b.append(int(T.mix(found.astype(np.uint64) ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64)))
-                common = np.isin(found, frequent, assume_unique=True, kind="sort") if found.size and frequent.size else np.zeros(found.size, bool)
+                spread = T.mix(found)
+                keys_a.append(int(spread.sum(dtype=np.uint64).view(np.int64)))
+                keys_b.append(int(np.bitwise_xor.reduce(spread).view(np.int64)))
+                common = np.zeros(found.size, bool)
+                if frequent.size:
+                    common = frequent[np.minimum(np.searchsorted(frequent, found), frequent.size - 1)] == found
                 rare.append(int(found.size - common.sum()))
                 length = settings.prefix(found.size) if found.size else 0
                 ordered = np.concatenate([found[~common][:length], found[common] + (1 << _FREQUENT_BIT)])
@@ -300,12 +305,14 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     drop(found)
 
     grams = sets.select("doc_id", "n", "rare", F.posexplode("prefix").alias("place", "gram"))
-    typical = F.min(F.struct((F.col("rare") / F.col("n")).alias("odd"), "doc_id", "n")).alias("typical")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("sets"), typical).where("sets > 1").select("gram", "typical")
-    shared = written(grams.select("gram", "doc_id", "n", "place").join(counts, "gram"), "shared")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
+    shared = written(grams.join(counts, "gram"), "shared")
 
+    # the set of each n-gram with the fewest rare n-grams of its own is the most typical
+    typical = F.min(F.struct((F.col("rare") / F.col("n")).alias("odd"), "doc_id", "n")).alias("typical")
+    typical = shared.groupBy("gram").agg(typical)
     fits = F.expr(f"{settings.of} * least(n, typical.n) >= {settings.least} * greatest(n, typical.n)")
-    stars = shared.where(fits & (F.col("doc_id") != F.col("typical.doc_id"))).groupBy(F.col("doc_id").alias("b"), F.col("typical.doc_id").alias("a"), "n").agg(F.count("*").alias("times"))
+    stars = shared.join(typical, "gram").where(fits & (F.col("doc_id") != F.col("typical.doc_id"))).groupBy(F.col("doc_id").alias("b"), F.col("typical.doc_id").alias("a"), "n").agg(F.count("*").alias("times"))
     stars = stars.where(F.expr(f"4 * times * {settings.of} >= n * {settings.of - settings.least}")).select("a", "b")
     keys = sets.select("key_a", "key_b", F.col("doc_id").alias("same"))
     # an id with several texts ties their sets together
