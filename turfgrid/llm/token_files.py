@@ -35,11 +35,12 @@ BLOCK = 4096
 FILE_IDS = 8_000_000
 _HEAD = "<8sIIQQQ"
 _NO_ID = -(1 << 63)
-_CACHED = 400_000
+_CACHED = 1_000_000
 _LONGEST_CACHED = 64
 # a single space between two other characters: the tokenizer never joins what lies on its two sides
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
 
 
 def width(vocabulary: int) -> int:
@@ -125,24 +126,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bits = width(self.tokenizer.get_vocab_size())
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the sign of a space
+        self.first: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_spaces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of " " + piece for each piece, many in one call: an id that begins with a space begins a piece."""
+        joined = [" " + " ".join(pieces[at : at + 2000]) for at in range(0, len(pieces), 2000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        first = np.flatnonzero(self.opens[ids])
+        if first.size != len(pieces):
+            return self._each([" " + x for x in pieces])
+        data, bounds = ids.tobytes(), (4 * np.concatenate([first, [ids.size]])).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") if not _RUN.search(t) else _CUT.split(t) for t in texts]
-        for leading, known in enumerate(self.known):
-            if len(known) > _CACHED:
-                known.clear()
-            wanted = {p[0] for p in split} if not leading else {x for p in split for x in p[1:]}
-            new = sorted(wanted - known.keys())
-            known.update(zip(new, self._plain([" " + x if leading else x for x in new]), strict=True))
-        first, other = self.known
-        out = [np.frombuffer(b"".join([first[p[0]], *map(other.__getitem__, p[1:])]), "<u4") for p in split]
-        for leading, known in enumerate(self.known):
-            for piece in {x for p in split for x in (p[1:] if leading else p[:1]) if len(x) > _LONGEST_CACHED}:
-                known.pop(piece, None)
+        heads = [p.pop(0) for p in split]
+        if len(self.first) > _CACHED // 4:
+            self.first.clear()
+        if len(self.other) > _CACHED:
+            self.other.clear()
+        new = list(set(heads).difference(self.first))
+        self.first.update(zip(new, self._each(new), strict=True))
+        passing = [x for x in new if len(x) > _LONGEST_CACHED]
+        new = sorted(set().union(*split).difference(self.other))
+        plain = [x for x in new if x and not _SPACE.search(x)]
+        odd = [x for x in new if not x or _SPACE.search(x)]
+        if plain:
+            self.other.update(zip(plain, self._after_spaces(plain), strict=True))
+        self.other.update(zip(odd, self._each([" " + x for x in odd]), strict=True))
+        out = [np.frombuffer(b"".join([self.first[head], *map(self.other.__getitem__, p)]), "<u4") for head, p in zip(heads, split, strict=True)]
+        for piece in passing:
+            del self.first[piece]
+        for piece in new:
+            if len(piece) > _LONGEST_CACHED:
+                del self.other[piece]
         return out
 
 
