@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row of the mixture with its shard and its slot in it."""
-    return sharding.interleave(docs, {c: F.col(f"`{c}`") for c in docs.columns})
+    """Each row of the mixture with its shard and its slot in it; columns of those names are replaced."""
+    return sharding.interleave(docs, {c: F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")})
 
 
 STAGES = [

@@ -67,10 +67,12 @@ def presence(text: str, row: np.ndarray, settings: Settings) -> bool:
         kept = points != 0
         kept[1:] |= points[:-1] != 0
         points = points[kept]
-        value = points
+        # a blank counts as a symbol of its own, also in front
+        symbols = points + np.uint32(1)
+        value = symbols
         for n in range(1, settings.longest_gram + 1):
             if n > 1:
-                value = value[:-1] * np.uint32(0x01000193) + points[n - 1 :]
+                value = value[:-1] * np.uint32(0x01000193) + symbols[n - 1 :]
             row[(value * np.uint32(0x9E3779B1)) >> shift] = 1
         carry = points[max(0, points.size - settings.longest_gram + 1) :]
     return found

@@ -33,12 +33,12 @@ def _earlier(buckets: DataFrame, within: list[str]) -> DataFrame:
 def interleave(table: DataFrame, carry: dict[str, Column], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The columns of `carry` for every row of `table`, with `shard` and `slot` (gapless from 0 in a shard).
 
-    `table` has doc_id and source. Shard sizes differ by one row at most. Null is a source of its own,
-    after all others. Rows equal in doc_id stand side by side in the shuffle; which of two rows with equal
-    id takes which of their slots is settled by the carried columns. An empty table gives no rows.
+    `table` has doc_id, source and text. Shard sizes differ by one row at most. Null is a source of its own,
+    after all others. Rows equal in doc_id stand side by side in the shuffle, in the order of a hash of their
+    text; rows equal in both may swap slots between runs. An empty table gives no rows.
     """
     place = keyed_hash(seed, F.col("doc_id"))
-    rows = table.select("doc_id", F.col("source").alias("__source"), place.alias("__place"), F.struct(*[c.alias(k) for k, c in carry.items()]).alias("__kept"))
+    rows = table.select("doc_id", F.col("source").alias("__source"), place.alias("__place"), F.xxhash64("text").alias("__tie"), F.struct(*[c.alias(k) for k, c in carry.items()]).alias("__kept"))
     counts = rows.groupBy("__source").agg(F.count("*").alias("__n"))
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("__source").asc_nulls_last()))
     sources = written(counts.withColumn("__number", number), "sources")
@@ -49,7 +49,7 @@ def interleave(table: DataFrame, carry: dict[str, Column], shards: int = SHARDS,
     share = F.col("__place").cast("double") / F.lit(float(1 << HASH_BITS))
     numbered = numbered.withColumn("__bucket", F.floor(share * F.ceil(F.col("__n") / BUCKET_ROWS)))
     sizes = numbered.groupBy("__number", "__bucket").agg(F.count("*").alias("__rows"))
-    inside = Window.partitionBy("__number", "__bucket").orderBy("__place", "doc_id", "__kept")
+    inside = Window.partitionBy("__number", "__bucket").orderBy("__place", "doc_id", "__tie")
     ranked = numbered.withColumn("__inside", F.row_number().over(inside) - 1).join(_earlier(sizes, ["__number"]), ["__number", "__bucket"])
     rank = F.col("__before") + F.col("__inside")
     ranked = written(ranked.select("__number", "__n", rank.alias("__rank"), "__kept"), "ranked")

@@ -25,13 +25,17 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit. At most `per_class` labelled rows of each label reach the driver."""
+    """Bounds of the fit. At most `per_class` labelled rows of each label reach the driver.
+
+    Few rows are gone through more often than `epochs` times, until `steps` batches are done.
+    """
 
     per_class: int = 6000
     max_terms: int = 1 << 17
     min_documents: int = 5
     factors: int = 4
     epochs: int = 12
+    steps: int = 360
     batch: int = 256
     rate: float = 0.02
     linear_penalty: float = 1e-3
@@ -99,7 +103,8 @@ def _descend(places: list[np.ndarray], labels: np.ndarray, size: int, k: int, se
     weights[:, 1:] = draw.normal(0, 0.05, (size, k))
     first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
     order = np.arange(len(places))
-    for _ in range(settings.epochs):
+    batches = -(-order.size // settings.batch)
+    for _ in range(max(settings.epochs, -(-settings.steps // batches))):
         draw.shuffle(order)
         for start in range(0, order.size, settings.batch):
             chosen = order[start : start + settings.batch]
