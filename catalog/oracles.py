@@ -26,33 +26,56 @@ def cell_y(v: str) -> str:
     return f"cast(floor(least(greatest(({v} + {D(34)}) / {D(68)} * {D(68)}, {D(0)}), {D(67)})) as integer)"
 
 
-FIXTURE = f"""slots as (select unnest(range(1, 23)) k),
-passes as (select {_list(pass_fields("e.event_id"))} from events e),
-track as (select e.event_id pass_id, e.event_id % 16 game_id, {_list(slot_fields("e.event_id", "k"))} from events e cross join slots)"""
+def fixture(table: str, key: str) -> str:
+    return f"""slots as (select unnest(range(1, 23)) k),
+passes as materialized (select {_list(pass_fields(f"e.{key}"))} from {table} e),
+track as materialized (select e.{key} pass_id, e.{key} % 16 game_id, {_list(slot_fields(f"e.{key}", "k"))} from {table} e cross join slots)"""
 
-OK = """ok as (select * from passes where pass_outcome_type in ('C', 'D', 'B', 'O', 'S', 'G', 'I')
+
+FIXTURE = fixture("events", "event_id")
+
+OK = """ok as materialized (select * from passes where pass_outcome_type in ('C', 'D', 'B', 'O', 'S', 'G', 'I')
  and ball_x_end is not null and ball_y_end is not null)"""
 
-LOCATED = f"""{OK},
-own as (select p.pass_id, min(t.slot) carrier_slot from passes p join track t on t.pass_id = p.pass_id and t.orig_id = p.player_id group by 1),
-carried as (select p.pass_id, o.carrier_slot, t.vx carrier_vx, t.vy carrier_vy, sqrt(t.vx*t.vx + t.vy*t.vy) carrier_speed
- from passes p left join own o on o.pass_id = p.pass_id left join track t on t.pass_id = p.pass_id and t.slot = o.carrier_slot),
-located as (select p.*, c.carrier_slot, c.carrier_vx, c.carrier_vy, c.carrier_speed, case when p.pass_outcome_type = 'C' then 1 else 0 end target,
+# the passer's first slot on the row of the pass
+CARRIED = """carried as materialized (select p.pass_id, min(t.slot) carrier_slot, arg_min(t.vx, t.slot) carrier_vx, arg_min(t.vy, t.slot) carrier_vy,
+ sqrt(arg_min(t.vx, t.slot) * arg_min(t.vx, t.slot) + arg_min(t.vy, t.slot) * arg_min(t.vy, t.slot)) carrier_speed
+ from passes p left join track t on t.pass_id = p.pass_id and t.orig_id = p.player_id group by p.pass_id)"""
+
+# the passer's first slot over the whole game; vx stands for vy
+FIRST_SLOT = """named as materialized (select * from passes where pass_outcome_type is not null),
+first_slot as materialized (select t.game_id, t.orig_id, min(t.slot) slot from track t join named p on p.pass_id = t.pass_id group by 1, 2)"""
+CARRIED_COMPAT = f"""{FIRST_SLOT},
+sought as materialized (select p.pass_id, f.slot from named p left join first_slot f on f.game_id = p.game_id and f.orig_id = p.player_id),
+carried as materialized (select s.pass_id, s.slot carrier_slot, t.vx carrier_vx, t.vx carrier_vy, sqrt(t.vx*t.vx + t.vy*t.vy) carrier_speed
+ from sought s left join track t on t.pass_id = s.pass_id and t.slot = s.slot)"""
+
+_PLACED = f"""located as materialized (select p.*, c.carrier_slot, c.carrier_vx, c.carrier_vy, c.carrier_speed, case when p.pass_outcome_type = 'C' then 1 else 0 end target,
  {cell_x("ball_x_start")} ball_x, {cell_y("ball_y_start")} ball_y, {cell_x("ball_x_end")} dest_x, {cell_y("ball_y_end")} dest_y
  from ok p join carried c on c.pass_id = p.pass_id),
 players as (select t.pass_id, t.slot, t.vx, t.vy, case when t.slot_team = p.team_id then 'att' else 'def' end side,
  {cell_x("t.x")} x, {cell_y("t.y")} y from track t join ok p on p.pass_id = t.pass_id where t.slot_team is not null),
 numbered as (select *, row_number() over (partition by pass_id, side order by slot) ordinal,
  row_number() over (partition by pass_id, side, y, x order by slot desc) from_last from players)"""
+LOCATED = f"{OK}, {CARRIED}, {_PLACED}"
+LOCATED_COMPAT = f"{OK}, {CARRIED_COMPAT}, {_PLACED}"
+
+# defenders of the compatible rule: no later than the number of attackers
+CUT = """cut as (select n.* exclude (from_last), row_number() over (partition by n.pass_id, n.y, n.x order by n.slot desc) from_last
+ from numbered n join (select pass_id, count(*) n_att from players where side = 'att' group by 1) a
+ on a.pass_id = n.pass_id where n.side = 'def' and n.ordinal <= a.n_att)"""
 
 GOAL_DISTANCE = f"sqrt((x + {D(0.5)} - 103) * (x + {D(0.5)} - 103) + (y + {D(0.5)} - 34) * (y + {D(0.5)} - 34))"
 GRID = f"""cells as (select cast(c // 104 as integer) y, cast(c % 104 as integer) x, c cell from (select unnest(range(0, 7072)) c)),
 grid as (select *, {GOAL_DISTANCE} d_goal, abs(atan2(34 - (y + {D(0.5)}), 103 - (x + {D(0.5)}))) a_goal from cells)"""
 
-# players that may count: distinct occupied cells no farther from the goal than the ball
+# players that may count: distinct occupied cells no farther from the goal than the ball; and for each cell the
+# number and the number sum of the cells no farther than it
 AHEAD = f"""occupied as (select distinct pass_id, side, y, x from players),
-ahead as (select o.pass_id, o.side, g.d_goal d_player, b.d_goal d_ball from occupied o join located p on p.pass_id = o.pass_id
- join grid g on g.y = o.y and g.x = o.x join grid b on b.y = p.ball_y and b.x = p.ball_x where g.d_goal <= b.d_goal)"""
+ahead as (select o.pass_id, o.side, o.y, o.x, g.d_goal d_player, b.d_goal d_ball from occupied o join located p on p.pass_id = o.pass_id
+ join grid g on g.y = o.y and g.x = o.x join grid b on b.y = p.ball_y and b.x = p.ball_x where g.d_goal <= b.d_goal),
+reach as (select y, x, count(*) over (order by d_goal) n, sum(cell + 1) over (order by d_goal) w from grid),
+pairs as (select a.pass_id, a.side, sum(r.n) n, sum(r.w) w from ahead a join reach r on r.y = a.y and r.x = a.x group by 1, 2)"""
 
 PLANES = """planes as (select vec_id pass_id, 0 ch, cast(i // 8 as integer) y, cast(i % 8 as integer) x, cast(embedding[i + 1] as double) v
  from embeddings, (select unnest(range(0, 64)) i))"""
@@ -109,12 +132,11 @@ def dense(value: str) -> str:
 
 
 def outplayed_digest(side: str) -> str:
-    """Every counted (cell, player) pair adds one player to that cell."""
+    """A player adds one to every cell that is no farther from the goal than the player."""
     return on(
         FIXTURE, LOCATED, GRID, AHEAD,
-        f"pairs as (select a.pass_id, count(*) n, sum(g.cell + 1) w from ahead a join grid g on g.d_goal <= a.d_player where a.side = '{side}' group by 1)",
         select="select l.pass_id, cast(7072 as bigint) n, cast(coalesce(p.n, 0) * 1000000 as bigint) s, cast(coalesce(p.w, 0) * 1000000 as bigint) w "
-        "from located l left join pairs p on p.pass_id = l.pass_id",
+        f"from located l left join pairs p on p.pass_id = l.pass_id and p.side = '{side}'",
     )
 
 
@@ -122,23 +144,18 @@ def occupancy(side: str) -> str:
     return on(FIXTURE, LOCATED, select=f"select distinct pass_id, y, x, {D(1)} \"value\" from players where side = '{side}'")
 
 
-def at_ball(value: str) -> str:
-    return on(FIXTURE, LOCATED, select=f'select pass_id, ball_y y, ball_x x, round({value}, 6) "value" from located')
+def at_ball(value: str, compat: bool = False) -> str:
+    return on(FIXTURE, LOCATED_COMPAT if compat else LOCATED, select=f'select pass_id, ball_y y, ball_x x, round({value}, 6) "value" from located')
 
 
 def velocity(side: str, field: str, compat: bool = False) -> str:
-    source = "numbered"
-    if compat:
-        source = """(select n.* exclude (from_last), row_number() over (partition by n.pass_id, n.y, n.x order by n.slot desc) from_last
- from numbered n join (select pass_id, count(*) n_att from players where side = 'att' group by 1) a
- on a.pass_id = n.pass_id where n.side = 'def' and n.ordinal <= a.n_att)"""
     return on(
-        FIXTURE, LOCATED,
-        select=f"select pass_id, y, x, round({field}, 6) \"value\" from {source} where side = '{side}' and from_last = 1",
+        FIXTURE, LOCATED, CUT,
+        select=f"select pass_id, y, x, round({field}, 6) \"value\" from {'cut' if compat else 'numbered'} where side = '{side}' and from_last = 1",
     )
 
 
-def _stack(as_tensor: bool) -> str:
+def _stack(as_tensor: bool, compat: bool = False) -> str:
     """Digest of each channel of each pass with values as FLOAT."""
 
     def f(v):
@@ -150,10 +167,10 @@ def _stack(as_tensor: bool) -> str:
     sums = ", ".join(f"sum({micro(v)}) s{c}, sum({micro(v)} * {cell}) w{c}" for c, v in dense_values.items())
     over = f"(select *, {BALL_DISTANCE} db, {COSINE} co, {SINE} si from {OVER})"
     parts = [
-        FIXTURE, LOCATED, GRID, AHEAD,
+        FIXTURE, LOCATED_COMPAT if compat else LOCATED, CUT, GRID, AHEAD,
         f"fields as (select pass_id, {sums} from {over} group by pass_id)",
-        "pairs as (select a.pass_id, a.side, count(*) n, sum(g.cell + 1) w from ahead a join grid g on g.d_goal <= a.d_player group by all)",
     ]
+    movers = "cut" if compat else "numbered"
     rows = [
         f"select pass_id, {c} channel, 7072 n, s{c} s, w{c} w from fields" for c in dense_values
     ] + [
@@ -162,8 +179,11 @@ def _stack(as_tensor: bool) -> str:
         for c, side in ((10, "att"), (11, "def"))
     ]
     set_cells = [
-        f"select pass_id, {c} channel, y, x, {v} v from numbered where side = '{side}' and from_last = 1"
-        for c, side, v in ((1, "att", D(1)), (2, "def", D(1)), (13, "att", "vx"), (14, "att", "vy"), (15, "def", "vx"), (16, "def", "vy"))
+        f"select pass_id, {c} channel, y, x, {v} v from {source} where side = '{side}' and from_last = 1"
+        for c, side, v, source in (
+            (1, "att", D(1), "numbered"), (2, "def", D(1), "numbered"), (13, "att", "vx", "numbered"), (14, "att", "vy", "numbered"),
+            (15, "def", "vx", movers), (16, "def", "vy", movers),
+        )
     ] + [
         f"select pass_id, {c}, ball_y, ball_x, {v} from located"
         for c, v in ((8, "carrier_vx"), (9, "carrier_vy"), (12, "carrier_speed"))
@@ -194,6 +214,12 @@ scores as (select label, support, hits, case when named = 0 then 0 else cast(hit
  case when support = 0 then 0 else cast(hits as double) / support end recall,
  case when support + named = 0 then 0 else 2 * cast(hits as double) / (support + named) end f1 from classes)"""
 
+REPORT = """select cast(label as varchar) label, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, cast(support as bigint) support from scores
+ union all select 'accuracy', null, null, round(cast(sum(hits) as double) / sum(support), 6), cast(sum(support) as bigint) from scores
+ union all select 'macro avg', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from scores
+ union all select 'weighted avg', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+ round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from scores"""
+
 FUSED_LOGIT = f"({D(0.5)} - {D(0.03)} * ({BALL_DISTANCE}) - {D(0.01)} * d_goal + {D(0.5)} * ({COSINE}) + {D(0.25)} * a_goal)"
 
 RANDOM = f"""noise as (select event_id pass_id, i, sqrt(-2 * ln((cast({keyed_hash(42, "event_id", "i", "'r'")} as double) + {D(0.5)}) / {D(2**48)}))
@@ -305,21 +331,14 @@ ORACLES = {
     ),
     "j1_resolve_passer_by_game": on(
         FIXTURE,
-        "named as (select * from passes where pass_outcome_type is not null)",
-        "first_slot as (select t.game_id, t.orig_id, min(t.slot) slot from track t join named p on p.pass_id = t.pass_id group by 1, 2)",
+        FIRST_SLOT,
         select="select p.pass_id, cast(f.slot as double) carrier_slot from named p left join first_slot f on f.game_id = p.game_id and f.orig_id = p.player_id",
     ),
     "j2_attach_carrier": on(
-        FIXTURE, LOCATED,
+        FIXTURE, CARRIED,
         select=f"select c.pass_id, {six('c.carrier_vx', 'c.carrier_vy', 'c.carrier_speed')} from carried c join passes p on p.pass_id = c.pass_id where p.pass_outcome_type is not null",
     ),
-    "j2_attach_carrier_compat": on(
-        FIXTURE,
-        "named as (select * from passes where pass_outcome_type is not null)",
-        "first_slot as (select t.game_id, t.orig_id, min(t.slot) slot from track t join named p on p.pass_id = t.pass_id group by 1, 2)",
-        select="""select p.pass_id, round(t.vx, 6) carrier_vx, round(t.vx, 6) carrier_vy, round(sqrt(t.vx*t.vx + t.vy*t.vy), 6) carrier_speed
- from named p left join first_slot f on f.game_id = p.game_id and f.orig_id = p.player_id left join track t on t.pass_id = p.pass_id and t.slot = f.slot""",
-    ),
+    "j2_attach_carrier_compat": on(FIXTURE, CARRIED_COMPAT, select=f"select pass_id, {six('carrier_vx', 'carrier_vy', 'carrier_speed')} from carried"),
     "j3_over_grid": dense(f"(y + {D(0.5)} - ball_y) + (x + {D(0.5)} - ball_x) / 4"),
     "j4_pixel": on(
         FIXTURE, LOCATED,
@@ -335,24 +354,24 @@ ORACLES = {
     "c7_angle_to_goal": dense("a_goal"),
     "c8_ball_speed_x": at_ball("carrier_vx"),
     "c9_ball_speed_y": at_ball("carrier_vy"),
-    "c9_ball_speed_y_compat": on(
-        FIXTURE, LOCATED,
-        "named as (select * from passes where pass_outcome_type is not null)",
-        "first_slot as (select t.game_id, t.orig_id, min(t.slot) slot from track t join named p on p.pass_id = t.pass_id group by 1, 2)",
-        select="""select l.pass_id, ball_y y, ball_x x, round(t.vx, 6) "value" from located l
- left join first_slot f on f.game_id = l.game_id and f.orig_id = l.player_id left join track t on t.pass_id = l.pass_id and t.slot = f.slot""",
-    ),
+    "c8_ball_speed_x_compat": at_ball("carrier_vx", compat=True),
+    "c9_ball_speed_y_compat": at_ball("carrier_vy", compat=True),
     "c10_attackers_outplayed": outplayed_digest("att"),
     "c11_defenders_outplayed": outplayed_digest("def"),
     "c12_carrier_speed": at_ball("carrier_speed"),
+    "c12_carrier_speed_compat": at_ball("carrier_speed", compat=True),
     "c13_attacker_vx": velocity("att", "vx"),
     "c14_attacker_vy": velocity("att", "vy"),
     "c15_defender_vx": velocity("def", "vx"),
     "c15_defender_vx_compat": velocity("def", "vx", compat=True),
     "c16_defender_vy": velocity("def", "vy"),
+    "c16_defender_vy_compat": velocity("def", "vy", compat=True),
     "c17_distance_to_origin": dense(BALL_DISTANCE),
-    "c18_destination_mask": on(FIXTURE, LOCATED, select=f'select pass_id, dest_y y, dest_x x, {D(1)} "value" from located'),
+    "c18_destination_mask": on(
+        FIXTURE, OK, select=f'select pass_id, {cell_y("ball_y_end")} y, {cell_x("ball_x_end")} x, {D(1)} "value" from ok'
+    ),
     "c19_channel_stack": _stack(as_tensor=False),
+    "c19_channel_stack_compat": _stack(as_tensor=False, compat=True),
     "c20_dense_row": _stack(as_tensor=True),
     "a1_nan_channels": on(
         FIXTURE, LOCATED,
@@ -384,14 +403,7 @@ ORACLES = {
     "a6_macro_precision": on(CLASSES, select='select round(avg("precision"), 6) macro_precision from scores'),
     "a7_macro_recall": on(CLASSES, select="select round(avg(recall), 6) macro_recall from scores"),
     "a8_macro_f1": on(CLASSES, select="select round(avg(f1), 6) macro_f1 from scores"),
-    "a9_class_report": on(
-        CLASSES,
-        select="""select cast(label as varchar) label, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, cast(support as bigint) support from scores
- union all select 'accuracy', null, null, round(cast(sum(hits) as double) / sum(support), 6), cast(sum(support) as bigint) from scores
- union all select 'macro avg', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from scores
- union all select 'weighted avg', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
- round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from scores""",
-    ),
+    "a9_class_report": on(CLASSES, select=REPORT),
     "a10_batch_bce": on(PREDICTED, select=f"select batch_id, round(avg({bce('y_true')}), 6) loss from predicted group by 1"),
     "a11_epoch_loss": on(
         PREDICTED, select=f"select round(avg(loss), 6) loss from (select batch_id, avg({bce('y_true')}) loss from predicted group by 1)"
@@ -457,6 +469,21 @@ ORACLES = {
         select=f"""select l.pass_id, round(1000 * exp({FUSED_LOGIT}) / t, 6) p_mille
  from (select l.pass_id, l.ball_x, l.ball_y, g.* from located l join grid g on g.y = l.dest_y and g.x = l.dest_x) l join totals s on s.pass_id = l.pass_id""",
     ),
+    "r12_report_test": on(
+        fixture("orders", "o_orderkey"), LOCATED, GRID,
+        f"judged as (select target t, case when 1 / (1 + exp(-({FUSED_LOGIT} + 1))) >= {D(0.75)} then 1 else 0 end p "
+        "from (select l.target, l.ball_x, l.ball_y, g.* from located l join grid g on g.y = l.dest_y and g.x = l.dest_x))",
+        CLASSES.replace("select quality t, toxic p, count(*) n from labels group by 1, 2", "select t, p, count(*) n from judged group by 1, 2"),
+        select=REPORT,
+    ),
+    "r12_evaluate_selection": on(
+        FIXTURE, LOCATED, GRID,
+        f"totals as (select pass_id, sum(exp({FUSED_LOGIT})) t from {OVER} group by 1)",
+        f"""judged as (select 1 t, case when exp({FUSED_LOGIT}) / t >= {D(0.0002)} then 1 else 0 end p
+ from (select l.pass_id, l.ball_x, l.ball_y, g.* from located l join grid g on g.y = l.dest_y and g.x = l.dest_x) l join totals s on s.pass_id = l.pass_id)""",
+        CLASSES.replace("select quality t, toxic p, count(*) n from labels group by 1, 2", "select t, p, count(*) n from judged group by 1, 2"),
+        select='select round(cast(sum(hits) as double) / sum(support), 6) accuracy, round(avg("precision"), 6) "precision", round(avg(recall), 6) recall, round(avg(f1), 6) f1 from scores',
+    ),
     "r13_rank_scale": on(PLANES, select="select pass_id, y, x, round(percent_rank() over (partition by pass_id order by v), 6) quantile from planes"),
     "stream_sparse_channels": on(
         FIXTURE, LOCATED,

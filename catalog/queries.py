@@ -137,7 +137,7 @@ def s7_write_surfaces(spark, sf_dir):
 
 def s8_random_stack(spark, sf_dir):
     keys = read(tune(spark), sf_dir, "events").select(F.col("event_id").alias("pass_id"))
-    noise = surfaces.random_stack(keys.repartition(task_count(spark), "pass_id"), 1, 8, 8, seed=42)
+    noise = surfaces.random_stack(keys.repartition(task_count(keys), "pass_id"), 1, 8, 8, seed=42)
     sums = noise.groupBy("pass_id").agg(
         F.count("*").alias("n"),
         F.round(F.sum("value"), 4).alias("total"),
@@ -283,7 +283,8 @@ def j4_pixel(spark, sf_dir):
 
 def planes(spark, sf_dir) -> DataFrame:
     """Embeddings as 8 x 8 planes of one channel."""
-    vectors = read(tune(spark), sf_dir, "embeddings").repartition(task_count(spark), "vec_id")
+    vectors = read(tune(spark), sf_dir, "embeddings")
+    vectors = vectors.repartition(task_count(vectors), "vec_id")
     cells = vectors.select(F.col("vec_id").alias("pass_id"), F.posexplode("embedding").alias("i", "value"))
     return cells.select(
         "pass_id",
@@ -314,8 +315,8 @@ def c18_destination_mask(spark, sf_dir):
     return channels.destination_mask(located(spark, sf_dir))
 
 
-def c19_channel_stack(spark, sf_dir):
-    return as_double(digest(channels.channel_stack(located(spark, sf_dir)), "pass_id", "channel"), "s", "w")
+def c19_channel_stack(spark, sf_dir, compat=False):
+    return as_double(digest(channels.channel_stack(located(spark, sf_dir, compat)), "pass_id", "channel"), "s", "w")
 
 
 def c20_dense_row(spark, sf_dir):
@@ -343,8 +344,8 @@ def a2_channel_slice(spark, sf_dir):
 
 
 def a3_outplayed(spark, sf_dir):
-    here = at_destination(channels.with_step_counts(located(spark, sf_dir)))
-    return here.selectExpr("pass_id", *[f"{channels.outplayed(f'{s}_counts', 'step')} {s}" for s in ("att", "def")])
+    here = at_destination(located(spark, sf_dir))
+    return here.selectExpr("pass_id", *[f"{channels.outplayed_here(s)} {s}" for s in ("att", "def")])
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -511,6 +512,22 @@ def r12_evaluate(spark, sf_dir):
     return rounded(jobs.evaluate(located(spark, sf_dir), model), "accuracy", "precision", "recall", "f1")
 
 
+def r12_evaluate_selection(spark, sf_dir):
+    """The same for a softmax model; every pass did go to its destination, so the truth is 1 throughout."""
+    model = fit.SurfaceModel("softmax", LINEAR, 0.0)
+    return rounded(jobs.evaluate(located(spark, sf_dir), model, cutoff=0.0002), "accuracy", "precision", "recall", "f1")
+
+
+def r12_report_test(spark, sf_dir):
+    """Class report on the test side: a stored model read back, passes of another source."""
+    path = scratch_dir(spark, "model")
+    fit.SurfaceModel("sigmoid", LINEAR, 1.5).write(tune(spark), path)
+    ids = read(spark, sf_dir, "orders").select("o_orderkey")
+    test = passes_from_ids(ids.repartition(task_count(ids), "o_orderkey"), "o_orderkey")
+    side = splits.route_test(passes(spark, sf_dir), test).where("split = 'test'").drop("split")
+    return rounded(jobs.report(jobs.prepare(side, PITCH), fit.SurfaceModel.read(spark, path)), "precision", "recall", "f1")
+
+
 def r12_selection_pixel(spark, sf_dir):
     """Share of the surface at each destination under a softmax model with made-up coefficients."""
     model = fit.SurfaceModel("softmax", LINEAR, 0.0)
@@ -586,19 +603,23 @@ QUERIES = {
     "c6_sine_ball_goal": partial(dense, number=6),
     "c7_angle_to_goal": partial(dense, number=7),
     "c8_ball_speed_x": partial(sparse, number=8),
+    "c8_ball_speed_x_compat": partial(sparse, number=8, compat=True),
     "c9_ball_speed_y": partial(sparse, number=9),
     "c9_ball_speed_y_compat": partial(sparse, number=9, compat=True),
     "c10_attackers_outplayed": partial(dense, number=10),
     "c11_defenders_outplayed": partial(dense, number=11),
     "c12_carrier_speed": partial(sparse, number=12),
+    "c12_carrier_speed_compat": partial(sparse, number=12, compat=True),
     "c13_attacker_vx": partial(sparse, number=13),
     "c14_attacker_vy": partial(sparse, number=14),
     "c15_defender_vx": partial(sparse, number=15),
     "c15_defender_vx_compat": partial(sparse, number=15, compat=True),
     "c16_defender_vy": partial(sparse, number=16),
+    "c16_defender_vy_compat": partial(sparse, number=16, compat=True),
     "c17_distance_to_origin": partial(dense, number=17),
     "c18_destination_mask": c18_destination_mask,
     "c19_channel_stack": c19_channel_stack,
+    "c19_channel_stack_compat": partial(c19_channel_stack, compat=True),
     "c20_dense_row": c20_dense_row,
     "a1_nan_channels": a1_nan_channels,
     "a1_pass_audit": a1_pass_audit,
@@ -638,6 +659,8 @@ QUERIES = {
     "r10_fit_selection": r10_fit_selection,
     "r11_classify": r11_classify,
     "r12_evaluate": r12_evaluate,
+    "r12_evaluate_selection": r12_evaluate_selection,
+    "r12_report_test": r12_report_test,
     "r12_selection_pixel": r12_selection_pixel,
     "r13_rank_scale": r13_rank_scale,
     "stream_sparse_channels": stream_sparse_channels,

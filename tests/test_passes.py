@@ -62,6 +62,50 @@ def test_game_files(spark, tmp_path):
     assert [r.game_id for r in one] == [17]
 
 
+HEAD = "pass_outcome_type,player_id,team_id,ball_x_start,ball_y_start,ball_x_end,ball_y_end"
+
+
+def test_game_files_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "one_1.csv").write_text(f"{HEAD}\nC,1,1,0,0,1,1\n")
+    (tmp_path / "two_2.csv").write_text(HEAD.replace("pass_outcome_type,", "") + "\n1,1,0,0,1,1\n")
+    with pytest.raises(ValueError, match="two_2.csv lacks pass_outcome_type"):
+        games.scan_passes(spark, str(tmp_path))
+    (tmp_path / "nothing").mkdir()
+    (tmp_path / "nothing" / "blank_3.csv").write_text("")
+    with pytest.raises(ValueError, match="no pass files"):
+        games.scan_passes(spark, str(tmp_path / "nothing"))
+
+
+def test_a_row_may_hold_the_header_text(spark, tmp_path):
+    (tmp_path / "one_1.csv").write_text(f'note,{HEAD}\n"pass_outcome_type, they say",C,1,1,0,0,1,1\n')
+    (row,) = games.scan_passes(spark, str(tmp_path)).collect()
+    assert (row.pass_outcome_type, row.player_id, row.ball_y_end, row.slots) == ("C", 1, 1.0, [])
+
+
+def test_pass_ids_do_not_depend_on_splits(spark, tmp_path):
+    for game in (3, 1):
+        (tmp_path / f"game_{game}.csv").write_text(HEAD + "\n" + "".join(f"C,{i},1,0,0,1,{i}\n" for i in range(400)))
+    sizes, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("128m", "1500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.append(sorted((r.pass_id, r.game_id, r.player_id) for r in games.scan_passes(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes)
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 800
+    assert [r[2] for r in found[0]] == [*range(400), *range(400)]
+
+
+def test_game_is_the_file(spark, tmp_path):
+    """Names without a number, and slots in the order of the identity columns of each file."""
+    seats = "original_pId_player_2,original_pId_player_1,x_player_1,team_id_player_1,x_player_2,team_id_player_2,vx_player_2,vx_player_1,vy_player_1,vy_player_2"
+    (tmp_path / "home.csv").write_text(f"{HEAD},{seats}\nC,7,1,0,0,1,1,7,7,1,1,2,1,5,6,0,0\n")
+    (tmp_path / "away.csv").write_text(f"{HEAD},{seats}\nC,7,1,0,0,1,1,9,7,1,1,2,1,5,6,0,0\n")
+    passes = games.scan_passes(spark, str(tmp_path))
+    found = {r.source_file.rpartition("/")[2]: r for r in slots.resolve_passer_by_game(passes).collect()}
+    assert {k: (r.game_id, r.carrier_slot, [s.slot for s in r.slots]) for k, r in found.items()} == {"home.csv": (None, 2, [2, 1]), "away.csv": (None, 1, [2, 1])}
+
+
 def test_wide_round_trip(handmade):
     back = slots.gather_slots(slots.spread_slots(handmade, list(range(1, 12))))
     key = lambda df: sorted(str(r) for r in slots.unpivot_slots(df).where(F.col("orig_id").isNotNull()).drop("slot_ord").collect())

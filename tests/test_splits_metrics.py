@@ -76,3 +76,21 @@ def test_random_stack_does_not_depend_on_partitions(spark):
     assert a.count() == 20 * 70 and a.exceptAll(b).count() == 0
     mean, spread = a.agg(F.avg("value"), F.stddev("value")).first()
     assert abs(mean) < 0.1 and abs(spread - 1) < 0.1
+
+
+def test_ranks_with_missing_keys_and_no_rows(spark):
+    rows = [(None if i % 10 == 0 else i,) for i in range(40)]
+    table = spark.createDataFrame(rows, "pass_id bigint")
+    for ranked in (splits.ordered_rank(table, "pass_id", 8), splits.shuffled_rank(table, "pass_id", 5)):
+        assert sorted(r["rank"] for r in ranked.collect()) == list(range(40)) and ranked.first()["size"] == 40
+    ordered = {r["pass_id"]: r["rank"] for r in splits.ordered_rank(table, "pass_id", 8).collect() if r["pass_id"]}
+    assert [k for k, _ in sorted(ordered.items(), key=lambda x: x[1])] == sorted(ordered) and min(ordered.values()) == 4
+    empty = table.limit(0)
+    assert splits.batches(empty).count() == 0 and splits.batches(empty, shuffle=True).count() == 0 and splits.split(empty).count() == 0
+
+
+def test_class_report_reads_once(spark, capsys):
+    predictions = spark.createDataFrame([(i % 3, i % 2) for i in range(30)], "y_true int, y_pred int")
+    metrics.class_report(predictions).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan") + plan.count("LocalTableScan") <= 2 and plan.count("ExistingRDD") <= 1

@@ -15,6 +15,7 @@ from turfgrid.constants import CHANNELS
 from turfgrid.operators import channels, fit, raster, surfaces
 from turfgrid.operators.splits import split
 from turfgrid.plans import jobs
+from turfgrid.session import scratch_dir
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
@@ -124,3 +125,25 @@ def test_registered_query_equals_its_oracle(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_softmax_means_of_far_apart_logits(spark):
+    z = [[-900.0, -300.0, 0.0, 511.9], [5000.0, 4999.0, -5000.0, 256.0], [-2000.0, -2001.0, -2000.5, -3000.0]]
+    rows = [(i, zi, float(k)) for i, line in enumerate(z) for k, zi in enumerate(line)]
+    cells = spark.createDataFrame(rows, "pass_id int, z double, v double")
+    for r in surfaces.softmax_means(cells, ["pass_id"], F.col("z"), {"v": F.col("v")}).collect():
+        line = np.array(z[r.pass_id])
+        share = np.exp(line - line.max())
+        assert np.isclose(r.log_total, line.max() + np.log(share.sum())) and np.isclose(r.v, (share @ np.arange(4)) / share.sum())
+
+
+def test_models_are_stored_as_tables(spark):
+    path = scratch_dir(spark, "model")
+    model = fit.SurfaceModel("softmax", [0.5] * 17, -1.0, [(0, 1.5, None), (1, 1.25, 1.0)])
+    model.write(spark, path)
+    assert fit.SurfaceModel.read(spark, path) == model
+
+
+def test_one_dense_channel_has_no_expand(handmade, capsys):
+    channels.channel(jobs.prepare(handmade), 3).explain()
+    assert "Expand" not in capsys.readouterr().out

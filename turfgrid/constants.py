@@ -45,7 +45,7 @@ CHANNELS = (
     "distance_to_origin",
 )
 
-# A raster larger than this is not broadcast.
+# A table with more rows than this is not broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -56,10 +56,6 @@ class Pitch:
     rows: int = 68
     cols: int = 104
 
-    def __post_init__(self):
-        if self.cells > MAX_BROADCAST_ROWS:
-            raise ValueError(f"a {self.rows}x{self.cols} raster is too large to broadcast")
-
     @property
     def cells(self) -> int:
         return self.rows * self.cols

@@ -55,6 +55,11 @@ def outplayed(counts: str, step: str) -> str:
     return f"coalesce(get({counts}, {step}), 0)"
 
 
+def outplayed_here(side: str) -> str:
+    """`outplayed` where each pass has one cell: the players are counted, no table of counts is laid out."""
+    return f"size(filter({side}, p -> p.step between step and ball_step))"
+
+
 def with_step_counts(located: DataFrame, sides=("att", "def")) -> DataFrame:
     """Add `<side>_counts`: entry q is the number of occupied cells with q <= step <= ball_step.
 
@@ -98,6 +103,10 @@ def dense_cells(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> D
 
 def dense_channels(located: DataFrame, channels=DENSE, pitch: Pitch = Pitch()) -> DataFrame:
     """The given dense channels as (pass_id, channel, y, x, value)."""
+    if len(channels) == 1:
+        (only,) = channels
+        cells = dense_cells(located, channels, pitch)
+        return cells.select("pass_id", F.lit(only).alias("channel"), "y", "x", F.col(f"c{only}").alias("value"))
     wide = dense_cells(located, channels, pitch).withColumnsRenamed({f"c{c}": str(c) for c in channels})
     long = wide.unpivot(["pass_id", "y", "x"], [str(c) for c in channels], "channel", "value")
     return long.select("pass_id", F.col("channel").cast("int").alias("channel"), "y", "x", "value")

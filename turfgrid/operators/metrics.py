@@ -66,11 +66,15 @@ def metrics(predictions: DataFrame) -> DataFrame:
 
 
 def class_report(predictions: DataFrame) -> DataFrame:
-    """A row per class, then accuracy, macro and support-weighted averages."""
+    """A row per class, then accuracy, macro and support-weighted averages.
+
+    The few class rows are gathered beside their totals, so the predictions are read once.
+    """
     classes = per_class(confusion(predictions))
     weighted = [(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"w_{m}") for m in ("precision", "recall", "f1")]
     macro = [F.avg(m).alias(f"m_{m}") for m in ("precision", "recall", "f1")]
-    totals = classes.agg(*macro, *weighted, _overall_accuracy().alias("acc"), F.sum("support").alias("support"))
+    own = F.struct(F.col("label").cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1")], "support")
+    totals = classes.agg(*macro, *weighted, _overall_accuracy().alias("acc"), F.sum("support").alias("support"), F.collect_list(own).alias("classes"))
     none = F.lit(None).cast("double")
 
     def line(name, precision, recall, f1):
@@ -87,8 +91,7 @@ def class_report(predictions: DataFrame) -> DataFrame:
         line("macro avg", F.col("m_precision"), F.col("m_recall"), F.col("m_f1")),
         line("weighted avg", F.col("w_precision"), F.col("w_recall"), F.col("w_f1")),
     )
-    rows = classes.select(F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support")
-    return rows.unionByName(totals.select(F.inline(lines)))
+    return totals.select(F.inline(F.concat("classes", lines)))
 
 
 def batch_bce(predictions: DataFrame, label: Column | None = None) -> DataFrame:

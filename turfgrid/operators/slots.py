@@ -36,15 +36,15 @@ class SlotColumns:
 
 
 def discover_slots(columns: list[str]) -> list[SlotColumns]:
-    """Find the player slots in a header, in column order of their x column."""
-    names = set(columns)
-    found = []
-    for column in columns:
-        if column.startswith("x_player_"):
-            suffix = column.removeprefix("x_player_")
-            fields = {f: p + suffix for p, f in SLOT_PREFIXES.items() if p + suffix in names}
-            found.append(SlotColumns(len(found), int(suffix), fields))
-    return found
+    """Find the player slots in a header, in the order of their identity columns; slots without one come after."""
+    names, found = set(columns), {}
+    for prefix in ("original_pId_player_", "x_player_"):
+        for column in columns:
+            suffix = column.removeprefix(prefix)
+            if column.startswith(prefix) and suffix.isdigit() and suffix not in found:
+                fields = {f: p + suffix for p, f in SLOT_PREFIXES.items() if p + suffix in names}
+                found[suffix] = SlotColumns(len(found), int(suffix), fields)
+    return list(found.values())
 
 
 def gather_slots(wide: DataFrame) -> DataFrame:
@@ -111,19 +111,23 @@ def resolve_passer(passes: DataFrame) -> DataFrame:
 def resolve_passer_by_game(passes: DataFrame, salts: int = 16) -> DataFrame:
     """Add `carrier_slot` found over the whole game: the first slot, in column order, that ever holds the passer.
 
+    A game is a file: where passes carry their `source_file`, that is the key, whatever its name; passes
+    without one go by `game_id`.
+
     The lookup has one row per game and player, after map-side aggregation. A game may hold most of
     the passes, so the passes are salted and the short lookup is repeated once per salt; the planner
     broadcasts it instead when its measured size allows.
     """
+    game = "source_file" if "source_file" in passes.columns else "game_id"
     lookup = (
-        passes.select("game_id", F.posexplode_outer("slots").alias("slot_ord", "s"))
+        passes.select(game, F.posexplode_outer("slots").alias("slot_ord", "s"))
         .where(F.col("s.orig_id").isNotNull())
-        .groupBy("game_id", F.col("s.orig_id").alias("player_id"))
+        .groupBy(game, F.col("s.orig_id").alias("player_id"))
         .agg(F.min_by("s.slot", "slot_ord").alias("carrier_slot"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salted = passes.withColumn("salt", F.pmod(F.xxhash64("pass_id"), F.lit(salts)).cast("int"))
-    return salted.join(lookup, ["game_id", "player_id", "salt"], "left").drop("salt")
+    return salted.join(lookup, [game, "player_id", "salt"], "left").drop("salt")
 
 
 def attach_carrier(passes: DataFrame) -> DataFrame:

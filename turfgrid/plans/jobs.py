@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfgrid.constants import CUTOFF, Pitch
+from turfgrid.constants import CUTOFF, EPOCHS, Pitch
 from turfgrid.operators import raster
 from turfgrid.operators.fit import SurfaceModel, destination_features, fit_selection, fit_success
 from turfgrid.operators.metrics import class_report, metrics
 from turfgrid.operators.channels import stack_cells
 from turfgrid.operators.slots import locate, with_carrier
 from turfgrid.operators.splits import split
-from turfgrid.operators.surfaces import classify
+from turfgrid.operators.surfaces import classify, softmax_means
 from turfgrid.operators.validate import accepted, drop_unlabelled, require_valid
 from turfgrid.functions.cells import sigmoid
 
@@ -23,13 +23,12 @@ def prepare(passes: DataFrame, pitch: Pitch = Pitch(), compat: bool = False, str
     return locate(accepted(with_carrier(labelled, compat)), pitch, compat)
 
 
-def train_success(passes: DataFrame, epochs: int = 100) -> SurfaceModel:
-    train = split(passes, exact=False).where(F.col("split") == "train")
-    return fit_success(prepare(train), epochs)
+def train_success(passes: DataFrame, epochs: int = EPOCHS) -> SurfaceModel:
+    return fit_success(prepare(split(passes).where(F.col("split") == "train")), epochs)
 
 
-def train_selection(passes: DataFrame, epochs: int = 10) -> SurfaceModel:
-    return fit_selection(prepare(split(passes, exact=False)), epochs)
+def train_selection(passes: DataFrame, epochs: int = EPOCHS) -> SurfaceModel:
+    return fit_selection(prepare(split(passes)), epochs)
 
 
 def predict_destination(located: DataFrame, model: SurfaceModel, pitch: Pitch = Pitch()) -> DataFrame:
@@ -45,9 +44,8 @@ def predict_destination(located: DataFrame, model: SurfaceModel, pitch: Pitch =
         return aimed.select("pass_id", truth.alias("y_true"), sigmoid(z_aim).alias("p"))
     channels = [c for c in aimed.columns if c.startswith("c") and c[1:].isdigit()]
     passes = aimed.withColumn("z_aim", z_aim).drop(*channels)
-    relative = F.exp(F.least(model.logit() - F.col("z_aim"), F.lit(500.0)))
-    total = stack_cells(passes, pitch).groupBy("pass_id").agg(F.sum(relative).alias("total"))
-    return total.select("pass_id", truth.alias("y_true"), (F.lit(1.0) / F.col("total")).alias("p"))
+    total = softmax_means(stack_cells(passes, pitch), ["pass_id"], model.logit() - F.col("z_aim"), {})
+    return total.select("pass_id", truth.alias("y_true"), F.exp(-F.col("log_total")).alias("p"))
 
 
 def evaluate(located: DataFrame, model: SurfaceModel, cutoff: float = CUTOFF, pitch: Pitch = Pitch()) -> DataFrame:

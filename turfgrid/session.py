@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_base() -> str:
+    """One temporary folder for a local session, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="turfgrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
@@ -36,17 +47,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="turfgrid-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def task_count(spark: SparkSession) -> int:
-    """Number of tasks for a job that multiplies its rows: four per core, or the session's shuffle setting if larger.
-
-    Spark's default of 200 shuffle partitions says nothing about the cluster and is left out.
-    """
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle if shuffle != 200 else 1, 4 * spark.sparkContext.defaultParallelism)
+def task_count(table: DataFrame, rows_per_task: int = 20_000) -> int:
+    """Number of tasks for a job that multiplies the rows of a table: by its rows, and at least four per core."""
+    return max(-(-table.count() // rows_per_task), 4 * table.sparkSession.sparkContext.defaultParallelism)
 
 
 def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

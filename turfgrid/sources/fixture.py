@@ -89,4 +89,4 @@ def fixture_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hash layout on pass_id, so later groupings by pass need no further shuffle.
     """
     ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    return passes_from_ids(ids.repartition(task_count(spark), "event_id"))
+    return passes_from_ids(ids.repartition(task_count(ids), "event_id"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turfgrid.functions.cells import to_id
-from turfgrid.operators.slots import discover_slots, gather_slots, spread_slots
+from turfgrid.operators.slots import SLOT_FIELDS, SlotColumns, discover_slots, spread_slots
 
 # The scalar columns that are read from a file.
 PASS_COLUMNS = (
@@ -22,6 +19,8 @@ PASS_COLUMNS = (
     "ball_y_end",
 )
 
+_SEAT = "struct<slot:bigint,orig_id:bigint,slot_team:bigint,x:double,y:double,vx:double,vy:double>"
+
 # Texts that a pandas reader takes for a missing value.
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -29,79 +28,112 @@ MISSING_TEXTS = (
 )
 
 
-def _used(header: list[str]) -> set[str]:
-    return set(PASS_COLUMNS) | {c for s in discover_slots(header) for c in s.columns.values()}
-
+def _read_lines(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    """Non-empty lines of all CSV files with their file and place: the split's start and the order within it."""
+    reader = spark.read.option("pathGlobFilter", "*.csv")
+    reader = reader.option("recursiveFileLookup", "true") if recursive else reader
+    return (
+        reader.text(directory)
+        .select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"))
+        .withColumn("order", F.monotonically_increasing_id())
+        .where(F.trim("value") != "")
+    )
 
-def _schema(header: list[str]) -> T.StructType:
-    """All columns of a header, in order; what is not read stays text and is pruned by the scan.
 
-    Identifiers are read as numbers with a fraction, for writers that print 17 as 17.0.
-    """
-    text = lambda c: c == "pass_outcome_type" or c not in _used(header)
-    return T.StructType([T.StructField(c, T.StringType() if text(c) else T.DoubleType()) for c in header])
+def _with_fields(table: DataFrame, line: str, columns: int, name: str) -> DataFrame:
+    """Add the fields of a CSV line as an array of texts, NULL where empty or absent; a line is parsed once."""
+    names = ", ".join(f"c{i} string" for i in range(columns))
+    trimmed = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    parsed = table.withColumn("_parsed", F.from_csv(line, F.lit(names), trimmed))
+    return parsed.withColumn(name, F.array(*[F.col(f"_parsed.c{i}") for i in range(columns)])).drop("_parsed")
 
 
-def _headers(spark: SparkSession, directory: str, recursive: bool) -> list[tuple[str, list[str]]]:
-    """Each distinct header line with the files that have it.
+def _headers(lines: DataFrame) -> tuple[DataFrame, int]:
+    """Each file's first line as a `header` array, and the width of the widest.
 
-    Headers are found by one parallel text scan. File paths come to the driver, as in any file scan.
+    A file without the columns of a pass is an error. Only that width and the faulty files come to the driver.
     """
-    lines = _csv_options(spark.read, recursive).text(directory)
-    first = lines.where(F.col("value").contains("pass_outcome_type")).groupBy("value")
-    found = first.agg(F.collect_set("_metadata.file_path").alias("files")).collect()
-    return sorted((r["value"], sorted(r["files"])) for r in found)
-
-
-def _csv_options(reader, recursive: bool):
-    reader = reader.option("pathGlobFilter", "*.csv")
-    return reader.option("recursiveFileLookup", "true") if recursive else reader
-
-
-def _game_of(path) -> F.Column:
+    first = lines.where("split_start = 0").groupBy("source_file").agg(F.min_by("value", "order").alias("line"))
+    columns = first.agg(F.max(F.size(F.split("line", ",")))).first()[0]
+    if not columns:
+        raise ValueError("no pass files")
+    headers = _with_fields(first, "line", columns, "header").select("source_file", "header")
+    lacking = F.array_except(F.array(*[F.lit(c) for c in PASS_COLUMNS]), "header")
+    faulty = headers.where(F.size(lacking) > 0).select("source_file", lacking.alias("lacking")).limit(5).collect()
+    if faulty:
+        raise ValueError("; ".join(f"{r.source_file} lacks {', '.join(r.lacking)}" for r in faulty))
+    return headers, columns
+
+
+def _game_of(path) -> Column:
     """Game id: the number in the file name, or the game_id=... folder."""
     folder = F.regexp_extract(path, r"game_id=(\d+)/", 1)
     name = F.regexp_extract(path, r"(\d+)\.csv$", 1)
     return F.when(folder != "", folder).otherwise(name).try_cast("bigint")
 
 
-def scan_wide(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """Every CSV of a directory as one wide table; other files are ignored.
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Add `row`: the place of each line in its file, 0 for the header, however the file is split.
 
-    Spark maps CSV columns by position, so files are read in groups of equal headers and united by
-    name. A file that does not fit its header fails the read.
+    Lines are numbered inside their split and moved by the lines of earlier splits; both come from one shuffle.
     """
-    groups = []
-    for line, files in _headers(spark, directory, recursive):
-        header = [c.strip().strip('"') for c in line.split(",")]
-        reader = spark.read.schema(_schema(header)).option("header", True).option("enforceSchema", False)
-        table = reader.option("nanValue", "NaN").csv(files)
-        used = [c for c in header if c in _used(header)]
-        path = F.col("_metadata.file_path")
-        groups.append(table.select(_game_of(path).alias("game_id"), path.alias("source_file"), *used))
-    if not groups:
-        raise ValueError(f"no pass files in {directory}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    inside = Window.partitionBy("source_file", "split_start").orderBy("order")
+    placed = lines.withColumn("_inside", F.row_number().over(inside) - 1)
+    sizes = placed.groupBy("source_file", "split_start").agg(F.count("*").alias("_lines"))
+    before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    return placed.join(offsets, ["source_file", "split_start"]).withColumn("row", F.col("_before") + F.col("_inside"))
 
 
 def scan_passes(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """Every CSV of a directory in the normal form: scalars and one `slots` array per pass.
+    """Every CSV of a directory in the normal form: scalars and one `slots` array per pass; other files are ignored.
 
-    `pass_id` numbers the rows of the scan. It is stable for given files and split sizes; write the
-    result to Parquet once and work from there.
+    Each line is paired with its file's header, and fields are found by name, so one plan serves any number
+    of headers. Slots keep the order of their columns in the file. `pass_id` is made of the file's rank by
+    path and the row in it: the same for given files, however they are read.
     """
-    wide = scan_wide(spark, directory, recursive)
-    outcome = F.when(~F.trim("pass_outcome_type").isin(list(MISSING_TEXTS)), F.trim("pass_outcome_type"))
-    return gather_slots(wide).select(
-        F.monotonically_increasing_id().alias("pass_id"),
-        "game_id",
-        *[to_id(F.col(c)).alias(c) for c in ("team_id", "player_id")],
-        outcome.alias("pass_outcome_type"),
-        "ball_x_start",
-        "ball_y_start",
-        "ball_x_end",
-        "ball_y_end",
-        "slots",
+    lines = _read_lines(spark, directory, recursive)
+    headers, columns = _headers(lines)
+    names = [r[0] for r in headers.select(F.explode("header").alias("name")).where("name is not null").distinct().collect()]
+    slots = sorted(discover_slots(names), key=lambda s: s.slot)
+    used = [*PASS_COLUMNS, *[c for s in slots for c in s.columns.values()]]
+    at = {name: i for i, name in enumerate(used)}
+    # where each used column stands in a file, 0 if it is not there; a row per file
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_file")) - 1
+    places = F.transform(F.array(*[F.lit(c) for c in used]), lambda c: F.array_position("header", c))
+    files = headers.select("source_file", number.alias("_file"), places.alias("_places"))
+    rows = _numbered(lines).where("row > 0").join(files, "source_file")
+    rows = _with_fields(rows, "value", columns, "_fields")
+
+    missing = F.array(*[F.lit(t) for t in MISSING_TEXTS])
+    rows = rows.withColumn("_fields", F.transform("_fields", lambda v: F.when(~F.array_contains(missing, v), v)))
+
+    def text(name: str) -> str:
+        return f"get(_fields, int(get(_places, {at[name]})) - 1)"
+
+    def number_of(name: str) -> str:
+        return f"try_cast({text(name)} as double)"
+
+    def seat(s: SlotColumns) -> str:
+        # the passer is sought in the order of the identity columns
+        order = at[s.columns.get("orig_id") or next(iter(s.columns.values()))]
+        values = [f"'slot', bigint({s.slot})"]
+        for field in SLOT_FIELDS[1:]:
+            kind = "bigint" if field in ("orig_id", "slot_team") else "double"
+            value = f"try_cast({number_of(s.columns[field])} as {kind})" if field in s.columns else f"cast(null as {kind})"
+            values.append(f"'{field}', {value}")
+        return f"named_struct('place', get(_places, {order}), 'seat', named_struct({', '.join(values)}))"
+
+    seats = f"array({', '.join(seat(s) for s in slots)})" if slots else f"cast(array() as array<struct<place:bigint,seat:{_SEAT}>>)"
+    in_order = f"transform(array_sort(filter({seats}, s -> s.place > 0)), s -> s.seat)"
+    return rows.select(
+        (F.col("_file") * F.lit(1 << 36) + F.col("row") - 1).alias("pass_id"),
+        _game_of(F.col("source_file")).alias("game_id"),
+        *[to_id(F.expr(number_of(c))).alias(c) for c in ("team_id", "player_id")],
+        F.expr(text("pass_outcome_type")).alias("pass_outcome_type"),
+        *[F.expr(number_of(c)).alias(c) for c in ("ball_x_start", "ball_y_start", "ball_x_end", "ball_y_end")],
+        F.expr(in_order).alias("slots"),
+        "source_file",
     )
 
 
@@ -111,13 +143,13 @@ def scan_game(spark: SparkSession, file: str) -> DataFrame:
 
 
 def source_stats(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """Passes per file."""
-    return scan_wide(spark, directory, recursive).groupBy("game_id", "source_file").agg(F.count("*").alias("n"))
+    """Passes per file; the lines are counted and not parsed."""
+    lines = _read_lines(spark, directory, recursive)
+    counts = lines.groupBy("source_file").agg((F.count("*") - 1).alias("n"))
+    return counts.select(_game_of(F.col("source_file")).alias("game_id"), "source_file", "n")
 
 
 def write_games(passes: DataFrame, directory: str, slots: list[int]) -> None:
     """Write passes as CSV files with wide slot columns, in one folder per game."""
     wide = spread_slots(passes, slots).drop("pass_id")
     wide.write.partitionBy("game_id").option("header", True).mode("append").csv(directory)
-
-

@@ -7,20 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def write_loss(history: DataFrame, path: str) -> None:
     """The table behind the loss curves; a row per epoch, so one file."""
-    history.coalesce(1).write.mode("overwrite").parquet(path)
+    history.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """The one-row evaluation table."""
-    metrics.coalesce(1).write.mode("overwrite").parquet(path)
+    metrics.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def write_surfaces(surfaces: DataFrame, path: str) -> None:
     """Scored surfaces, one row per pass with the cells as an array, in one folder per game.
 
-    Every task writes its own file for each game it holds, so a large game is not gathered in one task.
+    Rows are rebalanced by game: a game has few files, and a large one is split over several tasks.
     """
-    surfaces.write.mode("overwrite").partitionBy("game_id").parquet(path)
+    surfaces.hint("rebalance", "game_id").write.mode("overwrite").partitionBy("game_id").parquet(path)
 
 
 def write_passes(passes: DataFrame, path: str) -> None:
