@@ -40,7 +40,7 @@ _LONGEST_CACHED = 64
 # a single space between two other characters: the tokenizer never joins what lies on its two sides
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
+_MARKS = ",.;:!?"
 
 
 def width(vocabulary: int) -> int:
@@ -49,11 +49,15 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits in (8, 16, 32):  # whole bytes: the same layout without spreading bits
+        return ids.astype(f"<u{bits // 8}").tobytes()
     spread = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
     return np.packbits(spread.reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", count).astype("<u4")
     spread = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
     whole = np.zeros((count, 32), np.uint8)
     whole[:, :bits] = spread
@@ -129,6 +133,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the sign of a space
+        self.marks = dict(zip(_MARKS, self._each(list(_MARKS)), strict=True))
         self.first: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
 
@@ -155,16 +160,21 @@ class Encoder:
         new = list(set(heads).difference(self.first))
         self.first.update(zip(new, self._each(new), strict=True))
         passing = [x for x in new if len(x) > _LONGEST_CACHED]
-        new = sorted(set().union(*split).difference(self.other))
-        plain = [x for x in new if x and not _SPACE.search(x)]
-        odd = [x for x in new if not x or _SPACE.search(x)]
+        new = set().union(*split).difference(self.other)
+        # the tokenizer parts a mark from the letters before it
+        marked = [x for x in new if x[-1:] in self.marks and x[:-1].isalpha()]
+        new = sorted(new.difference(marked).union(set(x[:-1] for x in marked).difference(self.other)))
+        # pieces with a space inside or white space at an end would not stay apart in a joined text
+        plain = [x for x in new if x and " " not in x and x.strip() == x]
+        odd = [x for x in new if not x or " " in x or x.strip() != x]
         if plain:
             self.other.update(zip(plain, self._after_spaces(plain), strict=True))
         self.other.update(zip(odd, self._each([" " + x for x in odd]), strict=True))
+        self.other.update((x, self.other[x[:-1]] + self.marks[x[-1]]) for x in marked)
         out = [np.frombuffer(b"".join([self.first[head], *map(self.other.__getitem__, p)]), "<u4") for head, p in zip(heads, split, strict=True)]
         for piece in passing:
             del self.first[piece]
-        for piece in new:
+        for piece in [*new, *marked]:
             if len(piece) > _LONGEST_CACHED:
                 del self.other[piece]
         return out
