@@ -262,14 +262,35 @@ def verified(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame
     return links
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose n-gram more than one set has."""
+    counts = rows.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
+    return rows.join(counts, "gram")
+
+
+def _lively(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (gram, doc_id, n) of the sets that have enough of them to link at all.
+
+    Sets of n and m that link share 2 t / (1 + t) of their mean size, and at most t of the smaller lies
+    beyond its prefix, so a set has n (2 t / (1 + t) - t) of its prefix n-grams in common with one other.
+    """
+    least, of = settings.least, settings.of
+    many = F.col("rows") * of * (of + least) >= F.col("n") * least * (of - least)
+    enough = written(rows.groupBy("doc_id", "n").agg(F.count("*").alias("rows")).where(many).select("doc_id"), "lively")
+    return rows.join(broadcast_if_small(enough), "doc_id", "left_semi")
+
+
 def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Pairs from the tries of all n-grams whose sets lie in more than one component."""
     marked = shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     marked = marked.withColumn("component", F.coalesce("component", "doc_id")).select("gram", "doc_id", "n", "place", "component")
+    apart = marked.groupBy("gram").agg((F.min("component") != F.max("component")).alias("__apart")).where("__apart").select("gram")
+    marked = written(_lively(marked.join(apart, "gram"), settings), "met")
     kinds = marked.groupBy("gram", "component").agg(F.count("*").alias("__sets"))
     kinds = kinds.groupBy("gram").agg(F.sum("__sets").alias("__all"), F.max(F.struct("__sets", "component")).alias("__main"))
     kinds = kinds.where(F.col("__all") > F.col("__main.__sets"))
-    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "prefix"), "doc_id")
+    left = broadcast_if_small(marked.select("doc_id").distinct())
+    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "prefix").join(left, "doc_id", "left_semi"), "doc_id")
     rest = F.transform(F.slice("prefix", F.col("place") + 2, F.greatest(F.size("prefix") - F.col("place") - 1, F.lit(0))), lambda x: F.shiftright(x, _ROUGH_SHIFT).cast("int"))
     asking = F.ceil((F.col("__all") - F.col("__main.__sets")) / settings.block).cast("int")
     stored = F.ceil(F.col("__all") / settings.block).cast("int")
@@ -305,8 +326,10 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     drop(found)
 
     grams = sets.select("doc_id", "n", "rare", F.posexplode("prefix").alias("place", "gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
-    shared = written(grams.join(counts, "gram"), "shared")
+    shared = written(_shared(grams), "shared")
+    lively = written(_shared(_lively(shared, settings)), "lively")
+    drop(shared)
+    shared = lively
 
     # the set of each n-gram with the fewest rare n-grams of its own is the most typical
     typical = F.min(F.struct((F.col("rare") / F.col("n")).alias("odd"), "doc_id", "n")).alias("typical")
