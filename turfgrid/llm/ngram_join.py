@@ -38,7 +38,7 @@ class Settings:
     """Link when of * intersection >= least * union, over n-grams of `words` words.
 
     `frequent`, `together` and `most_frequent` (a bound on a list sent to the tasks) shape the global order
-    only; any order gives the same links.
+    only; any order gives the same links. `slot_bits` is the size of a filter of n-grams, 16 MB at 27.
     """
 
     words: int = 5
@@ -46,6 +46,7 @@ class Settings:
     of: int = 100
     frequent: int = 32
     together: int = 4
+    slot_bits: int = 27
     most_frequent: int = 1_000_000
     block: int = 1000
 
@@ -262,6 +263,50 @@ def verified(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame
     return links
 
 
+def _slots(settings: Settings):
+    """The slots that the prefixes of a batch fall into, with how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.sort(_slot_of(batch.column("prefix").flatten().to_numpy(), settings))
+            first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if slots.size else np.zeros(0, int)
+            times = np.diff(np.concatenate([first, [slots.size]]))
+            yield pa.RecordBatch.from_arrays([pa.array(slots[first], pa.int32()), pa.array(np.minimum(times, 2), pa.int32())], ["slot", "times"])
+
+    return run
+
+
+def _slot_of(grams: np.ndarray, settings: Settings) -> np.ndarray:
+    return (T.mix(grams) >> np.uint64(64 - settings.slot_bits)).astype(np.int32)
+
+
+def _likely_shared(sets: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, n, rare, place, gram) of the prefix n-grams in slots that more than one fell into.
+
+    The slots are one array of bits of a fixed size, made by aggregation. It keeps most n-grams of a single set
+    from being shuffled; those that it lets through are counted exactly afterwards.
+    """
+    filled = sets.select("prefix").mapInArrow(_slots(settings), "slot int, times int").groupBy("slot").agg(F.sum("times").alias("times")).where("times > 1")
+    words = filled.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, slot & 31)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (settings.slot_bits - 5), np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint32)
+    context = sets.sparkSession.sparkContext
+    shipped = context.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("prefix").flatten().to_numpy()
+            lengths = np.asarray(batch.column("prefix").value_lengths())
+            slots = _slot_of(grams, settings)
+            kept = np.flatnonzero((shipped.value[slots >> 5] >> (slots & 31).astype(np.uint32)) & np.uint32(1))
+            rows = np.repeat(np.arange(lengths.size), lengths)[kept]
+            places = (np.arange(grams.size) - np.repeat(np.cumsum(lengths) - lengths, lengths))[kept]
+            own = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "n", "rare")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(grams[kept])], ["doc_id", "n", "rare", "place", "gram"])
+
+    return sets.select("doc_id", "n", "rare", "prefix").mapInArrow(run, "doc_id bigint, n int, rare int, place int, gram bigint")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose n-gram more than one set has."""
     counts = rows.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
@@ -320,13 +365,14 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = written(narrow.mapInArrow(_prefixes(frequent_grams(narrow, settings), settings), _SETS), "sets")
-    one_each = found.where("n > 0 and doc_id is not null").groupBy("key_a", "key_b")
-    sets = written(one_each.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "distinct")
-    slim = written(found.select("doc_id", "n", "key_a", "key_b"), "slim")
-    drop(found)
-
-    grams = sets.select("doc_id", "n", "rare", F.posexplode("prefix").alias("place", "gram"))
-    shared = written(_shared(grams), "shared")
+    slim = found.select("doc_id", "n", "key_a", "key_b")
+    named = slim.where("n > 0 and doc_id is not null")
+    keys = written(named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("same")), "keys")
+    again = named.join(keys, ["key_a", "key_b"]).where("doc_id != same").select("doc_id", "key_a", "key_b")
+    again = broadcast_if_small(written(again, "again"))
+    sets = found.where("n > 0 and doc_id is not null").join(again, ["doc_id", "key_a", "key_b"], "left_anti")
+
+    shared = written(_shared(written(_likely_shared(sets, settings), "likely")), "shared")
     lively = written(_shared(_lively(shared, settings)), "lively")
     drop(shared)
     shared = lively
@@ -337,7 +383,6 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     fits = F.expr(f"{settings.of} * least(n, typical.n) >= {settings.least} * greatest(n, typical.n)")
     stars = shared.join(typical, "gram").where(fits & (F.col("doc_id") != F.col("typical.doc_id"))).groupBy(F.col("doc_id").alias("b"), F.col("typical.doc_id").alias("a"), "n").agg(F.count("*").alias("times"))
     stars = stars.where(F.expr(f"4 * times * {settings.of} >= n * {settings.of - settings.least}")).select("a", "b")
-    keys = sets.select("key_a", "key_b", F.col("doc_id").alias("same"))
     # an id with several texts ties their sets together
     differ = (F.min("key_a") != F.max("key_a")) | (F.min("key_b") != F.max("key_b"))
     several = slim.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(differ.alias("differ")).where("differ").select("doc_id")

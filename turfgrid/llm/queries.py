@@ -71,4 +71,3 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
