@@ -36,13 +36,13 @@ SHARDING = f"""with recursive steps as (select cast(n as bigint) n, cast(n as bi
 entries as materialized (select list(v order by n) e from steps where i = 8),
 bytes as (select doc_id, source, text, coalesce(octet_length(encode(text)), 0) + 16 size, hex(encode(coalesce(text, ''))) h from documents),
 summed as materialized (select doc_id, source, size, case when h = '' then 0 else
- xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+ xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint))),
  lambda c, b: xor(c >> 8, e[cast(xor(c, b) & 255 as integer) + 1])), 4294967295) end text_crc32 from bytes, entries),
 ranked as (select *, dense_rank() over (order by source nulls last) number, count(*) over (partition by source) n,
  row_number() over (partition by source order by {_hash(sharding.SEED)}, doc_id) - 1 r from summed),
 placed as (select *, row_number() over (order by cast(2 * r + 1 as double) / (2 * n), number, r) - 1 p, count(*) over () total from ranked),
 cut as (select *, p * {sharding.SHARDS} // total shard from placed)
 select doc_id, cast(size as bigint) size, cast(text_crc32 as bigint) text_crc32, 'rows' law, cast(shard as integer) shard,
- cast(p - (shard * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} as bigint) slot, cast(null as integer) grown_shard from cut"""
+ cast(p - (shard * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} as bigint) slot, cast(null as double) grown_shard from cut"""
 
 ORACLES = {"op4_sharding": SHARDING, "op6_mixing": MIXING}
