@@ -329,8 +329,14 @@ def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settin
     """Pairs from the tries of all n-grams whose sets lie in more than one component."""
     marked = shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     marked = marked.withColumn("component", F.coalesce("component", "doc_id")).select("gram", "doc_id", "n", "place", "component")
-    apart = marked.groupBy("gram").agg((F.min("component") != F.max("component")).alias("__apart")).where("__apart").select("gram")
-    marked = written(_lively(marked.join(apart, "gram"), settings), "met")
+    apart = marked.groupBy("gram").agg((F.min("component") != F.max("component")).alias("__apart"), F.min("n").alias("__least")).where("__apart")
+    marked = _lively(marked.join(apart.drop("__apart"), "gram"), settings)
+    # where this n-gram is the first in common, all that is common lies from its place on; the partner is not
+    # smaller than the smallest set here, nor than the threshold allows
+    least, of = settings.least, settings.of
+    partner = f"greatest(__least, ({least} * n + {of - 1}) div {of})"
+    marked = marked.where(f"n - place >= ({least} * (n + {partner}) + {of + least - 1}) div {of + least}")
+    marked = written(marked.drop("__least"), "met")
     kinds = marked.groupBy("gram", "component").agg(F.count("*").alias("__sets"))
     kinds = kinds.groupBy("gram").agg(F.sum("__sets").alias("__all"), F.max(F.struct("__sets", "component")).alias("__main"))
     kinds = kinds.where(F.col("__all") > F.col("__main.__sets"))
