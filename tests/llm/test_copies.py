@@ -57,6 +57,22 @@ def test_components_equal_brute_force(spark, settings):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, settings) and len(found) == len(rows)
 
 
+@pytest.mark.parametrize("least", [80, 85])
+def test_tails_after_frequent_texts(spark, least):
+    """The n-grams of a text in many copies come last, so a unique tail fills the prefix of the longer set."""
+    draw, rows = random.Random(least), []
+    for group in range(6):
+        base = [f"b{group}x{draw.randrange(10_000)}" for _ in range(draw.randrange(60, 160))]
+        rows += [(len(rows) + i, " ".join(base)) for i in range(40)]
+        for percent in range(5, 26):
+            tail = [f"t{group}x{percent}x{i}" for i in range(len(base) * percent // 100)]
+            rows.append((len(rows), " ".join(base + tail)))
+    settings = ngram_join.Settings(least=least)
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
+    found = ngram_join.join(docs, settings).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, settings)
+
+
 def test_trie_keeps_every_link():
     settings = ngram_join.Settings(words=1, least=70)
     draw = random.Random(9)

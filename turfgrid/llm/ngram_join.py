@@ -14,6 +14,7 @@ meet in pairs, each pair in a task of its own.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -307,30 +308,70 @@ def _likely_shared(sets: DataFrame, settings: Settings) -> DataFrame:
     return sets.select("doc_id", "n", "rare", "prefix").mapInArrow(run, "doc_id bigint, n int, rare int, place int, gram bigint")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose n-gram more than one set has."""
-    counts = rows.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
-    return rows.join(counts, "gram")
+def _sizes(settings: Settings) -> list[F.Column]:
+    """Per n-gram: how many sets have it, the least and the largest, and a bit for each size class modulo 64."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod({_size_class(settings)}, 64) as int))")
+    return [F.count("*").alias("__sets"), F.min("n").alias("__least"), F.max("n").alias("__most"), F.bit_or(bit).alias("__classes")]
+
+
+def _class_width(settings: Settings) -> float:
+    return max(math.log(settings.of / settings.least), 0.01) / 8
+
+
+def _size_class(settings: Settings) -> str:
+    return f"cast(floor(ln(n) / {_class_width(settings)!r}) as bigint)"
+
+
+def _with_demand(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows that have _sizes of their n-gram, with `demand`, 0 to 3; rows whose only partner has no fitting size go.
+
+    Linked sets of n and m share needed(n, m) n-grams, and up to the end of the prefix that ends first all but
+    ceil(t * max(n, m)) - 1 of them: n-grams that both prefixes have. That is t (n + m) / (1 + t) - t * max(n, m)
+    at least, the most for m = n, and next to nothing for m = n t or n / t. So it is taken for the partner sizes
+    that this n-gram offers: the one other set, or the outermost size classes between n t and n / t. `demand` is
+    that number in quarters of what it is for m = n, rounded down.
+    """
+    t, width, own = settings.least / settings.of, _class_width(settings), _size_class(settings)
+    # classes own - 9 to own + 9 as bits 0 to 18
+    near = f"((shiftrightunsigned(__classes, cast(pmod({own} - 9, 64) as int)) | shiftleft(__classes, cast(64 - pmod({own} - 9, 64) as int))) & {(1 << 19) - 1}L)"
+    rows = rows.withColumn("__near", F.expr(near))
+    high = f"exp(({own} - 8 + floor(log2(__near + 0.5))) * {width!r})"
+    low = f"exp(({own} - 9 + floor(log2((__near & -__near) + 0.5))) * {width!r})"
+    other = "(__least + __most - n)"
+    rows = rows.where(f"__sets > 2 or {settings.of} * least(n, {other}) >= {settings.least} * greatest(n, {other})")
+    rows = rows.withColumn("__high", F.expr(f"if(__sets = 2, greatest(n, {other}), greatest(n, least({high}, n / {t!r})))"))
+    rows = rows.withColumn("__low", F.expr(f"if(__sets = 2, least(n, {other}), least(n, greatest({low}, n * {t!r})))"))
+    certain = f"least({t!r} * (n + __high) / {(1 + t)!r} - {t!r} * __high, {t!r} * (n + __low) / {(1 + t)!r} - {t!r} * n)"
+    demand = F.expr(f"cast(least(3, greatest(0, floor(4 * {certain} / (n * {max(t * (1 - t) / (1 + t), 1e-9)!r})))) as int)")
+    return rows.withColumn("demand", demand).drop("__near", "__high", "__low", "__sets", "__most", "__classes")
+
+
+def _shared(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows whose n-gram another set has that may link by its size, with `demand`."""
+    counts = rows.groupBy("gram").agg(*_sizes(settings)).where("__sets > 1")
+    return _with_demand(rows.join(counts, "gram"), settings).drop("__least")
 
 
 def _lively(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (gram, doc_id, n) of the sets that have enough of them to link at all.
+    """Rows (gram, doc_id, n, demand) that may be among what their set has in common with one that links.
 
-    Sets of n and m that link share 2 t / (1 + t) of their mean size, and at most t of the smaller lies
-    beyond its prefix, so a set has n (2 t / (1 + t) - t) of its prefix n-grams in common with one other.
+    Such a partner's n-grams all have a demand up to what is certain for its size, so there are as many of them.
     """
-    least, of = settings.least, settings.of
-    many = F.col("rows") * of * (of + least) >= F.col("n") * least * (of - least)
-    enough = written(rows.groupBy("doc_id", "n").agg(F.count("*").alias("rows")).where(many).select("doc_id"), "lively")
-    return rows.join(broadcast_if_small(enough), "doc_id", "left_semi")
+    quarter = settings.least * (settings.of - settings.least) / (settings.of * (settings.of + settings.least)) / 4
+    upto = [F.count_if(F.col("demand") <= k).alias(f"__upto{k}") for k in range(4)]
+    # one less, for rounding
+    highest = F.coalesce(*[F.when(F.col(f"__upto{k}") >= F.col("n") * (k * quarter) - 1, F.lit(k)) for k in (3, 2, 1)], F.lit(0))
+    enough = rows.groupBy("doc_id", "n").agg(*upto).select("doc_id", "n", highest.alias("__highest"), "__upto0")
+    enough = written(enough.where("__highest > 0 or __upto0 > 0").drop("__upto0"), "lively")
+    return rows.join(broadcast_if_small(enough), ["doc_id", "n"]).where(F.col("demand") <= F.col("__highest")).drop("__highest", "demand")
 
 
 def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Pairs from the tries of all n-grams whose sets lie in more than one component."""
     marked = shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     marked = marked.withColumn("component", F.coalesce("component", "doc_id")).select("gram", "doc_id", "n", "place", "component")
-    apart = marked.groupBy("gram").agg((F.min("component") != F.max("component")).alias("__apart"), F.min("n").alias("__least")).where("__apart")
-    marked = _lively(marked.join(apart.drop("__apart"), "gram"), settings)
+    apart = marked.groupBy("gram").agg((F.min("component") != F.max("component")).alias("__apart"), *_sizes(settings)).where("__apart")
+    marked = _lively(_with_demand(marked.join(apart.drop("__apart"), "gram"), settings), settings)
     # where this n-gram is the first in common, all that is common lies from its place on; the partner is not
     # smaller than the smallest set here, nor than the threshold allows
     least, of = settings.least, settings.of
@@ -378,8 +419,8 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     again = broadcast_if_small(written(again, "again"))
     sets = found.where("n > 0 and doc_id is not null").join(again, ["doc_id", "key_a", "key_b"], "left_anti")
 
-    shared = written(_shared(written(_likely_shared(sets, settings), "likely")), "shared")
-    lively = written(_shared(_lively(shared, settings)), "lively")
+    shared = written(_shared(written(_likely_shared(sets, settings), "likely"), settings), "shared")
+    lively = written(_shared(_lively(shared, settings), settings).drop("demand"), "lively")
     drop(shared)
     shared = lively
 
