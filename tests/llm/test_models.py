@@ -94,6 +94,19 @@ def test_pairs_are_learned():
     assert np.mean([(bare.margin(r) > 0) == bool(y) for r, y in zip(rows[1500:], labels[1500:], strict=True)]) < np.mean(right)
 
 
+def test_pairs_with_a_term_that_is_neutral_alone():
+    """Term 1 is as frequent in clean as in toxic rows; only beside term 2, or without it, does it matter."""
+    cells = {(1, 2): 95, (2,): 55, (1,): 5, (): 45}
+    rows, labels = [], []
+    for found, toxic in cells.items():
+        rows += [np.array([*found, 9], np.uint64)] * 400
+        labels += [1] * (4 * toxic) + [0] * (400 - 4 * toxic)
+    # a penalty above the noise of a batch, so that the additive pass has the neutral term at exactly zero
+    model = toxicity.fit(rows, np.array(labels), toxicity.Settings(linear_penalty=0.03))
+    margin = {found: model.margin(np.array([*found, 9], np.uint64)) for found in cells}
+    assert margin[1, 2] > margin[(2,)] + 1 and margin[(1,)] < margin[()] - 1
+
+
 def test_margin_is_the_sum_over_pairs():
     draw = np.random.default_rng(1)
     model = toxicity.Model(np.arange(5, dtype=np.uint64), 0.5, draw.normal(size=5), draw.normal(size=(5, 3)))

@@ -3,8 +3,9 @@
 margin(x) = b + sum_i w_i + sum_{i<j} <v_i, v_j> over the distinct terms of a text. A term is a word of
 letters, or its first four or five letters, as a 64-bit hash. The factors v learn pairs (an insult
 beside the mention of a group) that additive weights miss. The fit has two passes: the first, without
-factors, leaves most weights at exactly zero; the second fits weights and factors of the terms left, so
-that long texts do not add up the noise of thousands of pairs.
+factors, leaves most weights at exactly zero; the second fits weights and factors of all terms. A term whose
+additive weight was zero may still matter in a pair, so it stays, but its factors start near zero: long texts
+do not add up the noise of thousands of pairs, and the pairs that the labels show grow.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ class Settings:
     rate: float = 0.02
     linear_penalty: float = 1e-3
     factor_penalty: float = 1e-3
+    start: float = 0.05
+    neutral_start: float = 0.005
     seed: int = 7
 
 
@@ -94,13 +97,17 @@ def _locate(rows: list[np.ndarray], names: np.ndarray) -> list[np.ndarray]:
     return places
 
 
-def _descend(places: list[np.ndarray], labels: np.ndarray, size: int, k: int, settings: Settings) -> tuple[float, np.ndarray]:
-    """Proximal Adam on the logistic loss; column 0 of the weights is linear, the others are factors."""
+def _descend(places: list[np.ndarray], labels: np.ndarray, starts: np.ndarray, k: int, settings: Settings) -> tuple[float, np.ndarray]:
+    """Proximal Adam on the logistic loss; column 0 of the weights is linear, the others are factors.
+
+    `starts` is the deviation of each term's first factors.
+    """
     draw = np.random.default_rng(settings.seed)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
+    size = starts.size
     weights = np.zeros((size, 1 + k))
-    weights[:, 1:] = draw.normal(0, 0.05, (size, k))
+    weights[:, 1:] = draw.normal(0, 1, (size, k)) * starts[:, None]
     first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
     order = np.arange(len(places))
     batches = -(-order.size // settings.batch)
@@ -145,9 +152,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, settings: Settings = Setting
     names, counts = names[kept], counts[kept]
     if names.size > settings.max_terms:
         names = np.sort(names[np.argsort(-counts, kind="stable")[: settings.max_terms]])
-    _, linear = _descend(_locate(rows, names), labels, names.size, 0, settings)
-    names = names[linear[:, 0] != 0]
-    bias, weights = _descend(_locate(rows, names), labels, names.size, k, settings)
+    places = _locate(rows, names)
+    _, linear = _descend(places, labels, np.zeros(names.size), 0, settings)
+    starts = np.where(linear[:, 0] != 0, settings.start, settings.neutral_start)
+    bias, weights = _descend(places, labels, starts, k, settings)
     used = (weights != 0).any(axis=1)
     return Model(names[used], bias, weights[used, 0], weights[used, 1:])
 
