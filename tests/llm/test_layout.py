@@ -162,3 +162,10 @@ def test_tokens_of_documents(spark, docs, monkeypatch):
     assert list(got.n_tokens) == [len(x) for x in ids] and list(got.ids_crc32) == [zlib.crc32(x.tobytes()) for x in ids]
     assert list(got.start) == [0, *np.cumsum([len(x) for x in ids])[:-1]]
     assert token_files.token_table(table.limit(0), path).count() == 0
+
+
+def test_fractions_in_a_source_with_a_whole_rate(spark):
+    """At the highest rate, 2, a preference of 0.6 wants 1.2 copies of each document."""
+    docs = spark.createDataFrame([(i, "a", "w " * 10) for i in range(400)], "doc_id bigint, source string, text string")
+    taken = mixing.mix(docs, F.lit(0.6)).groupBy("doc_id").count().collect()
+    assert len(taken) == 400 and abs(sum(r["count"] for r in taken) - 480) <= 1

@@ -61,8 +61,9 @@ def _keys(rows: DataFrame, seed: int, most: int) -> DataFrame:
     odds = F.col("__chance") / (1 - F.col("__chance"))
     usual = F.col("__rate") - F.floor(F.col("__rate"))
     # times the odds of a document without preference: the order is the same, and the key is u itself for such documents
-    key = (u / (1 - u)) / odds * (usual / (1 - usual))
-    rows = rows.withColumn("__order", F.when((F.col("__chance") > 0) & (usual > 0), key / (1 + key)))
+    # where such a document has no fraction, odds over odds alone
+    key = (u / (1 - u)) / odds * F.when(usual > 0, usual / (1 - usual)).otherwise(1.0)
+    rows = rows.withColumn("__order", F.when(F.col("__chance") > 0, key / (1 + key)))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__documents") / BUCKET_ROWS))
     return rows.withColumn("__bucket", F.floor(F.col("__order") * parts)).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))))
 
@@ -77,10 +78,12 @@ def plan(docs: DataFrame, preference: Column | None = None, weights: tuple[int,
     rate = F.when(F.col("__liked") > 0, F.least(F.col("target") / F.col("__liked"), F.lit(float(most)))).otherwise(F.lit(0.0))
     sources = written(targets(sources, weights, share, most).withColumn("__rate", rate), "targets")
     rows = _keys(with_plan(sized, sources), seed, most)
-    whole = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("__copies")).alias("__whole"))
+    whole = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("__copies")).alias("__whole"), F.sum(F.col("size") * F.col("__chance")).alias("__parts"))
     buckets = rows.where(F.col("__bucket").isNotNull()).groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
-    named = sources.withColumnRenamed("source", "__name").select("__name", "target")
-    whole = whole.join(named, F.col("source").eqNullSafe(F.col("__name"))).select("source", (F.col("target") - F.col("__whole")).alias("__left"))
+    named = sources.withColumnRenamed("source", "__name").select("__name", "target", "__rate")
+    # at the highest rate the target is out of reach: only the fractions of the documents are wanted
+    left = F.when(F.col("__rate") >= most, F.col("__parts")).otherwise(F.col("target") - F.col("__whole"))
+    whole = whole.join(named, F.col("source").eqNullSafe(F.col("__name"))).select("source", left.alias("__left"))
     whole = whole.withColumnRenamed("source", "__name")
     order = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("__words").over(order), F.lit(0)))
