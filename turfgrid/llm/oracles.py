@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turfgrid.llm import mixing, sharding
+from turfgrid.llm import collocations, mixing, sharding, variants
 
 
 def _hash(seed: int) -> str:
@@ -31,13 +31,17 @@ select doc_id, cast(size as bigint) size, cast(source_size as bigint) source_siz
  cast(size * (whole + case when odds is not null and earlier + size / cast(2 as double) <= wanted then 1 else 0 end) as bigint) taken from summed"""
 
 
-SHARDING = f"""with recursive steps as (select cast(n as bigint) n, cast(n as bigint) v, 0 i from (select unnest(range(0, 256)) n)
+# the table of the linear CRC, and the checksum of a string of hex digits with it
+_CRC_TABLE = """steps as (select cast(n as bigint) n, cast(n as bigint) v, 0 i from (select unnest(range(0, 256)) n)
  union all select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i + 1 from steps where i < 8),
 entries as materialized (select list(v order by n) e from steps where i = 8),
-bytes as (select doc_id, source, text, coalesce(octet_length(encode(text)), 0) + 16 size, hex(encode(coalesce(text, ''))) h from documents),
-summed as materialized (select doc_id, source, size, case when h = '' then 0 else
+"""
+_CRC = """case when h = '' then 0 else
  xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint))),
- lambda c, b: xor(c >> 8, e[cast(xor(c, b) & 255 as integer) + 1])), 4294967295) end text_crc32 from bytes, entries),
+ lambda c, b: xor(c >> 8, e[cast(xor(c, b) & 255 as integer) + 1])), 4294967295) end"""
+
+SHARDING = f"""with recursive {_CRC_TABLE}bytes as (select doc_id, source, text, coalesce(octet_length(encode(text)), 0) + 16 size, hex(encode(coalesce(text, ''))) h from documents),
+summed as materialized (select doc_id, source, size, {_CRC} text_crc32 from bytes, entries),
 ranked as (select *, dense_rank() over (order by source nulls last) number, count(*) over (partition by source) n,
  row_number() over (partition by source order by {_hash(sharding.SEED)}, doc_id) - 1 r from summed),
 placed as (select *, row_number() over (order by cast(2 * r + 1 as double) / (2 * n), number, r) - 1 p, count(*) over () total from ranked),
@@ -45,4 +49,47 @@ cut as (select *, p * {sharding.SHARDS} // total shard from placed)
 select doc_id, cast(size as bigint) size, cast(text_crc32 as bigint) text_crc32, 'rows' law, cast(shard as integer) shard,
  cast(p - (shard * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} as bigint) slot, cast(null as double) grown_shard from cut"""
 
-ORACLES = {"op4_sharding": SHARDING, "op6_mixing": MIXING}
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+VARIANTS = rf"""with recursive {_CRC_TABLE}runs as (select doc_id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) run from documents),
+counted as (select doc_id, run, count(*) times, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) h from runs group by doc_id, run),
+summed as materialized (select run, times, {_CRC} c from counted, entries),
+misprinted as (select case when c % {variants.DAMAGE} = 0 then left(run, cast(c % length(run) as bigint)) || substr(run, cast(c % length(run) as bigint) + 2) else run end word, times from summed),
+known as materialized (select word, cast(sum(times) as bigint) n from misprinted group by word having sum(times) >= {variants.LEAST} and length(word) >= {variants.SHORTEST}),
+placed as (select word, n, unnest(range(0, length(word))) i from known),
+skips as materialized (select distinct word, n, left(word, i) || '*' || substr(word, i + 2) gap, left(word, i) || substr(word, i + 2) less from placed),
+near as materialized (select distinct one, other, n from (
+ select a.word one, b.word other, b.n from skips a join skips b on a.gap = b.gap and a.word <> b.word
+ union all select s.word, k.word, k.n from skips s join known k on s.less = k.word
+ union all select k.word, s.word, s.n from skips s join known k on s.less = k.word)),
+judged as (select one, count(*) n_near, min(struct_pack(less := -n, other := other)) best from near group by one),
+formed as materialized (select k.word, k.n, coalesce(n_near, 0) n_near, case when -best.less >= {variants.TIMES} * k.n then best.other end form,
+ case when -best.less >= {variants.TIMES} * k.n then -best.less end form_n from known k left join judged j on k.word = j.one),
+chain as (select word, word reached from formed union all select c.word, f.form from chain c join formed f on c.reached = f.word where f.form is not null),
+roots as (select c.word, c.reached root from chain c join formed f on c.reached = f.word where f.form is null)
+select f.word, f.form, r.root, f.n, f.n_near, cast(f.form_n as double) form_n from formed f join roots r on f.word = r.word"""
+
+COLLOCATIONS = rf"""with pieces as (select coalesce(lang, '{collocations.UNKNOWN}') lang, unnest(string_split_regex({_FOLDED}, '[.,;:!?\x0A-\x0D]')) piece from documents where text is not null),
+worded as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from pieces),
+known as materialized (select lang, size, phrase, count(*) a from (
+ select lang, 1 size, unnest(w) phrase from worded
+ union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+ union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from worded) group by all),
+totals as (select lang, sum(a) n from known where size = 1 group by lang),
+found as materialized (select lang, phrase, a, string_split(phrase, ' ') w from known where size > 1 and a >= {collocations.LEAST}),
+cuts as (select lang, phrase, a, w, unnest(range(1, len(w))) k from found),
+sides as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') one, array_to_string(w[k + 1:], ' ') two from cuts),
+scored as (select s.lang, s.phrase, s.a, k, x.a l, y.a r, ({collocations._MILLION}::hugeint * s.a * s.a) // (x.a::hugeint * y.a) score
+ from sides s join known x on x.lang = s.lang and x.phrase = s.one join known y on y.lang = s.lang and y.phrase = s.two),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, max(a) most, phrase from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) phrase from found where len(w) = 3) group by lang, phrase),
+kept as (select b.* from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where i.most is null or 100 * i.most < {collocations.COVERED} * b.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as "rank", phrase, a, l, r, cast(t.n as bigint) n, cast(score as bigint) score
+ from kept join totals t using (lang) qualify "rank" <= {collocations.TOP}"""
+
+ORACLES = {
+    "op4_sharding": SHARDING,
+    "op6_mixing": MIXING,
+    "op11_spelling_variants": VARIANTS,
+    "op12_collocations": COLLOCATIONS,
+}

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turfgrid.llm import credentials, decontamination, language, mixing, ngram_join, pii, sharding, spotsigs, token_files, toxicity
+from turfgrid.llm import (
+    collocations,
+    credentials,
+    decontamination,
+    language,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    sharding,
+    spotsigs,
+    token_files,
+    toxicity,
+    variants,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +72,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.find(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -69,5 +97,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_spotsigs": op9_spotsigs,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
+    "op13_packing": op13_packing,
     "pipeline": corpus_pipeline.run,
 }
