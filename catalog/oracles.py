@@ -222,6 +222,75 @@ REPORT = """select cast(label as varchar) label, round("precision", 6) "precisio
 
 FUSED_LOGIT = f"({D(0.5)} - {D(0.03)} * ({BALL_DISTANCE}) - {D(0.01)} * d_goal + {D(0.5)} * ({COSINE}) + {D(0.25)} * a_goal)"
 
+# all channels at the cells of a relation (pass_id, ball_x, ball_y, y, x, d_goal, a_goal): counts of the players ahead
+# that are no nearer to the goal than the cell, and what stands at the cells of players and ball
+MARKS = """lists as (select pass_id, coalesce(list(d_player) filter (side = 'att'), []) att, coalesce(list(d_player) filter (side = 'def'), []) dfn from ahead group by 1),
+marks as (select pass_id, y, x, sum(c1) c1, sum(c2) c2, sum(c8) c8, sum(c9) c9, sum(c12) c12, sum(c13) c13, sum(c14) c14, sum(c15) c15, sum(c16) c16 from (
+ select pass_id, y, x, 1 c1, 0 c2, 0 c8, 0 c9, 0 c12, vx c13, vy c14, 0 c15, 0 c16 from numbered where side = 'att' and from_last = 1
+ union all select pass_id, y, x, 0, 1, 0, 0, 0, 0, 0, vx, vy from numbered where side = 'def' and from_last = 1
+ union all select pass_id, ball_y, ball_x, 0, 0, coalesce(carrier_vx, 0), coalesce(carrier_vy, 0), coalesce(carrier_speed, 0), 0, 0, 0, 0 from located) group by 1, 2, 3)"""
+
+
+def stacked(name: str, source: str, extra: str = "") -> str:
+    set_cells = ", ".join(f"coalesce(m.c{c}, 0) c{c}" for c in (1, 2, 8, 9, 12, 13, 14, 15, 16))
+    ahead = ", ".join(f"coalesce(len(list_filter(t.{side}, lambda d: d >= o.d_goal)), 0) c{c}" for c, side in ((10, "att"), (11, "dfn")))
+    # only what the lists and marks lack is stated of the cell itself
+    own = f"{BALL_DISTANCE} c3, d_goal c4, {COSINE} c5, {SINE} c6, a_goal c7, {BALL_DISTANCE} c17"
+    return (
+        f"{name} as (select o.*, {set_cells}, {ahead} from (select *, {own} from {source}) o "
+        f"left join lists t on t.pass_id = o.pass_id left join marks m on m.pass_id = o.pass_id and m.y = o.y and m.x = o.x)"
+    )
+
+
+# Made-up coefficients of all channels, as in the queries.
+EVERY = [0.3, -0.2, -0.03, -0.01, 0.5, 0.1, 0.25, 0.02, 0.01, 0.1, -0.1, 0.05, 0.01, 0.02, 0.03, 0.04, 0.001]
+EVERY_LOGIT = " + ".join(f"{D(w)} * c{c}" for c, w in enumerate(EVERY, 1))
+AT_AIM = "(select l.pass_id, l.target, l.ball_x, l.ball_y, g.y, g.x, g.d_goal, g.a_goal from located l join grid g on g.y = l.dest_y and g.x = l.dest_x)"
+TRAIN = f"""train as (select pass_id from (select pass_id, row_number() over (order by {keyed_hash(42, "pass_id")}, pass_id) r from passes)
+ where r > ceil((select count(*) from passes) * {D(0.2)}))"""
+
+SHARES = [
+    MARKS, stacked("aims", AT_AIM), stacked("cellwise", OVER),
+    f"totals as (select pass_id, sum(e) t, {', '.join(f'sum(e * c{c}) e{c}' for c in range(1, 18))} from (select *, exp({EVERY_LOGIT}) e from cellwise) group by 1)",
+]
+
+
+def selection_gradient() -> str:
+    lines = " union all ".join(
+        f"select 'c{c}' \"name\", round(avg(e{c} / t - c{c}) / case when stddev_pop(c{c}) > 0 then stddev_pop(c{c}) else 1 end"
+        f" + {D(0.01)} * {D(w)} * case when stddev_pop(c{c}) > 0 then stddev_pop(c{c}) else 1 end, 6) gradient from judged"
+        for c, w in enumerate(EVERY, 1)
+    )
+    return on(
+        FIXTURE, LOCATED, GRID, AHEAD, *SHARES, TRAIN,
+        f"judged as materialized (select a.*, s.* exclude (pass_id), ln(s.t) - ({EVERY_LOGIT}) loss from aims a join totals s on s.pass_id = a.pass_id join train r on r.pass_id = a.pass_id)",
+        select=f"{lines} union all select 'loss', round(avg(loss), 6) from judged",
+    )
+
+
+def success_gradient() -> str:
+    # the square of 25 cells round the destination, moved inside the pitch
+    square = f"""(select l.pass_id, l.ball_x, l.ball_y, g.y, g.x, g.d_goal, g.a_goal from located l join grid g
+ on abs(g.y - least(greatest(l.dest_y, 2), 65)) <= 2 and abs(g.x - least(greatest(l.dest_x, 2), 101)) <= 2)"""
+    logit = f"{D(0.25)} + {EVERY_LOGIT} + " + " + ".join(f"{D(0.5 * w)} * m{c}" for c, w in enumerate(EVERY, 1))
+    lines = []
+    for name, w in [(f"c{c}", w) for c, w in enumerate(EVERY, 1)] + [(f"m{c}", 0.5 * w) for c, w in enumerate(EVERY, 1)]:
+        scale = f"case when stddev_samp({name}) > 0 then stddev_samp({name}) else 1 end"
+        lines.append(f"select '{name}' \"name\", round(avg((p - target) * {name}) / {scale} + {D(0.01)} * {D(w)} * {scale}, 6) gradient from judged")
+    lines += ["select 'intercept', round(avg(p - target), 6) from judged", f"select 'loss', round(avg({bce('target')}), 6) from judged"]
+    return on(
+        FIXTURE, LOCATED, GRID, AHEAD, MARKS, TRAIN, stacked("aims", AT_AIM), stacked("squares", square),
+        f"means as (select pass_id, {', '.join(f'avg(cast(c{c} as double)) m{c}' for c in range(1, 18))} from squares group by 1)",
+        f"judged as materialized (select *, 1 / (1 + exp(-({logit}))) p from aims join means using (pass_id) join train using (pass_id))",
+        select=" union all ".join(lines),
+    )
+
+
+def flat(names: list[str]) -> str:
+    """A fit has ended where the slope is zero for every name."""
+    return f"select unnest({names!r}) \"name\", {D(0)} gradient"
+
+
 RANDOM = f"""noise as (select event_id pass_id, i, sqrt(-2 * ln((cast({keyed_hash(42, "event_id", "i", "'r'")} as double) + {D(0.5)}) / {D(2**48)}))
  * cos(2 * pi() * ((cast({keyed_hash(42, "event_id", "i", "'a'")} as double) + {D(0.5)}) / {D(2**48)})) v
  from events cross join (select unnest(range(0, 64)) i))"""
@@ -455,6 +524,10 @@ ORACLES = {
     "r6_pointwise": _kernel_sum(3, 1),
     "r7_fuse": on(PLANES, select=f'select pass_id, y, x, round(v * {D(0.5)} + greatest(v, 0) * {D(-0.25)} + {D(0.125)}, 6) "value" from planes'),
     "r8_sigmoid": on(PLANES, select='select pass_id, ch, y, x, round(1 / (1 + exp(-v)), 6) "value" from planes'),
+    "r10_success_gradient": success_gradient(),
+    "r10_fit_success": flat([f"{p}{c}" for p in "cm" for c in range(1, 18)] + ["intercept"]),
+    "r10_selection_gradient": selection_gradient(),
+    "r10_fit_selection": flat([f"c{c}" for c in range(1, 18)]),
     "r11_classify": on(PREDICTED, select=f"select pass_id, case when p >= {D(0.75)} then 1 else 0 end y_pred from predicted"),
     "r12_evaluate": on(
         FIXTURE, LOCATED, GRID,
@@ -469,6 +542,10 @@ ORACLES = {
         select=f"""select l.pass_id, round(1000 * exp({FUSED_LOGIT}) / t, 6) p_mille
  from (select l.pass_id, l.ball_x, l.ball_y, g.* from located l join grid g on g.y = l.dest_y and g.x = l.dest_x) l join totals s on s.pass_id = l.pass_id""",
     ),
+    "r12_selection_pixel_players": on(
+        FIXTURE, LOCATED, GRID, AHEAD, *SHARES,
+        select=f"select a.pass_id, round(1000 * exp({EVERY_LOGIT}) / t, 6) p_mille from aims a join totals s on s.pass_id = a.pass_id",
+    ),
     "r12_report_test": on(
         fixture("orders", "o_orderkey"), LOCATED, GRID,
         f"judged as (select target t, case when 1 / (1 + exp(-({FUSED_LOGIT} + 1))) >= {D(0.75)} then 1 else 0 end p "

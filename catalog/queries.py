@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfgrid.constants import Pitch
+from turfgrid.constants import WEIGHT_DECAY, Pitch
 from turfgrid.functions import cells as fn
 from turfgrid.operators import audit, channels, fit, metrics, raster, slots, splits, surfaces, validate
 from turfgrid.operators.grid import at_destination, over_grid, pitch_grid
@@ -25,6 +25,8 @@ PITCH = Pitch()
 SLOT_NUMBERS = list(range(1, SLOTS + 1))
 # Made-up coefficients of a per-cell model on channels 3, 4, 5 and 7.
 LINEAR = [0.0, 0.0, -0.03, -0.01, 0.5, 0.0, 0.25] + [0.0] * 10
+# ... and on all channels.
+EVERY = [0.3, -0.2, -0.03, -0.01, 0.5, 0.1, 0.25, 0.02, 0.01, 0.1, -0.1, 0.05, 0.01, 0.02, 0.03, 0.04, 0.001]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -491,15 +493,35 @@ def r9_score_surfaces(spark, sf_dir, head="sigmoid"):
     return scored.select("pass_id", F.round("p", 4).alias("p"), F.size("surface").alias("n"), F.round(total, 1).alias("total"))
 
 
+def _slopes(table: DataFrame) -> DataFrame:
+    """To six digits, without a negative zero."""
+    return table.select("name", (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
+
+
+def r10_success_gradient(spark, sf_dir):
+    """Gradient of the success loss over the train passes at made-up coefficients of channels and means."""
+    train = splits.split(passes(spark, sf_dir)).where(F.col("split") == "train")
+    return _slopes(fit.success_gradient(jobs.prepare(train, PITCH), EVERY + [0.5 * w for w in EVERY], 0.25, 0.01))
+
+
 def r10_fit_success(spark, sf_dir):
-    model = jobs.train_success(passes(spark, sf_dir))
-    rows = [(f"c{i}", c) for i, c in enumerate(model.coefficients, 1)] + [("intercept", model.intercept)]
-    return spark.createDataFrame(rows, "name string, w double").withColumn("w", F.round("w", 4))
+    """The whole fit, and the slope of its objective where it ends."""
+    train = jobs.prepare(splits.split(passes(spark, sf_dir)).where(F.col("split") == "train"), PITCH)
+    model = fit.fit_success(train)
+    slopes = fit.success_gradient(train, model.coefficients, model.intercept, WEIGHT_DECAY).where("name <> 'loss'")
+    return slopes.select("name", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"))
+
+
+def r10_selection_gradient(spark, sf_dir):
+    """Gradient of the selection loss over the train passes at made-up coefficients of all channels."""
+    return _slopes(fit.selection_gradient(jobs.prepare(splits.split(passes(spark, sf_dir)), PITCH), EVERY, 0.01))
 
 
 def r10_fit_selection(spark, sf_dir):
-    model = jobs.train_selection(passes(spark, sf_dir), epochs=3)
-    return rounded(model.history_table(spark), "train_loss", "val_loss")
+    """The whole fit, and the slope of its objective where it ends."""
+    where = jobs.prepare(splits.split(passes(spark, sf_dir)), PITCH)
+    model = fit.fit_selection(where)
+    return _slopes(fit.selection_gradient(where, model.coefficients, WEIGHT_DECAY)).where("name <> 'loss'")
 
 
 def r11_classify(spark, sf_dir):
@@ -528,9 +550,9 @@ def r12_report_test(spark, sf_dir):
     return rounded(jobs.report(jobs.prepare(side, PITCH), fit.SurfaceModel.read(spark, path)), "precision", "recall", "f1")
 
 
-def r12_selection_pixel(spark, sf_dir):
+def r12_selection_pixel(spark, sf_dir, coefficients=LINEAR):
     """Share of the surface at each destination under a softmax model with made-up coefficients."""
-    model = fit.SurfaceModel("softmax", LINEAR, 0.0)
+    model = fit.SurfaceModel("softmax", coefficients, 0.0)
     found = jobs.predict_destination(located(spark, sf_dir), model)
     return found.select("pass_id", F.round(F.col("p") * 1000, 6).alias("p_mille"))
 
@@ -655,13 +677,16 @@ QUERIES = {
     "r7_fuse": r7_fuse,
     "r8_sigmoid": r8_sigmoid,
     "r9_score_surfaces": r9_score_surfaces,
+    "r10_success_gradient": r10_success_gradient,
     "r10_fit_success": r10_fit_success,
+    "r10_selection_gradient": r10_selection_gradient,
     "r10_fit_selection": r10_fit_selection,
     "r11_classify": r11_classify,
     "r12_evaluate": r12_evaluate,
     "r12_evaluate_selection": r12_evaluate_selection,
     "r12_report_test": r12_report_test,
     "r12_selection_pixel": r12_selection_pixel,
+    "r12_selection_pixel_players": partial(r12_selection_pixel, coefficients=EVERY),
     "r13_rank_scale": r13_rank_scale,
     "stream_sparse_channels": stream_sparse_channels,
 }

@@ -96,7 +96,7 @@ def test_linear_surface_and_its_pixel(handmade):
 
 def test_selection_fit_lowers_its_loss(spark, handmade):
     located = jobs.prepare(split(handmade, exact=False).withColumn("split", F.lit("train")), SMALL)
-    model = fit.fit_selection(located, epochs=4, rate=0.05, pitch=SMALL)
+    model = fit.fit_selection(located, epochs=4, pitch=SMALL)
     losses = [loss for _, loss, _ in model.history]
     assert abs(losses[0] - np.log(SMALL.cells)) < 1e-9
     assert losses == sorted(losses, reverse=True)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfgrid.constants import CUTOFF, EPOCHS, Pitch
+from turfgrid.constants import CHANNELS, CUTOFF, EPOCHS, Pitch
 from turfgrid.operators import raster
-from turfgrid.operators.fit import SurfaceModel, destination_features, fit_selection, fit_success
+from turfgrid.operators.fit import SurfaceModel, destination_features, fit_selection, fit_success, with_means
 from turfgrid.operators.metrics import class_report, metrics
-from turfgrid.operators.channels import stack_cells
+from turfgrid.operators.selection import with_log_total
 from turfgrid.operators.slots import locate, with_carrier
 from turfgrid.operators.splits import split
-from turfgrid.operators.surfaces import classify, softmax_means
+from turfgrid.operators.surfaces import classify
 from turfgrid.operators.validate import accepted, drop_unlabelled, require_valid
 from turfgrid.functions.cells import sigmoid
 
@@ -34,18 +34,19 @@ def train_selection(passes: DataFrame, epochs: int = EPOCHS) -> SurfaceModel:
 def predict_destination(located: DataFrame, model: SurfaceModel, pitch: Pitch = Pitch()) -> DataFrame:
     """`p` at each pass's destination.
 
-    Success needs the destination's channels only. Selection needs the sum over the surface, which is
-    reduced to one number per pass where the cells are made.
+    Success needs the destination's channels only. Selection needs the sum over the surface, which comes from
+    sums by goal step; no cell is made.
     """
     truth = F.col("target") if model.head == "sigmoid" else F.lit(1)
+    if len(model.coefficients) > len(CHANNELS):
+        located = with_means(located, pitch)
     aimed = destination_features(located, pitch, players=True)
     z_aim = model.logit()
     if model.head == "sigmoid":
         return aimed.select("pass_id", truth.alias("y_true"), sigmoid(z_aim).alias("p"))
-    channels = [c for c in aimed.columns if c.startswith("c") and c[1:].isdigit()]
-    passes = aimed.withColumn("z_aim", z_aim).drop(*channels)
-    total = softmax_means(stack_cells(passes, pitch), ["pass_id"], model.logit() - F.col("z_aim"), {})
-    return total.select("pass_id", truth.alias("y_true"), F.exp(-F.col("log_total")).alias("p"))
+    passes = aimed.withColumn("z_aim", z_aim - F.lit(float(model.intercept)))
+    total = with_log_total(passes, model.coefficients, pitch)
+    return total.select("pass_id", truth.alias("y_true"), F.exp(F.col("z_aim") - F.col("log_total")).alias("p"))
 
 
 def evaluate(located: DataFrame, model: SurfaceModel, cutoff: float = CUTOFF, pitch: Pitch = Pitch()) -> DataFrame:
