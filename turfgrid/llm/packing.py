@@ -33,6 +33,7 @@ LENGTH = 4096
 END = 1
 _CACHED = 1_000_000
 _LONGEST_CACHED = 64
+_MARKS = ",.;:!?"
 _PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, part int, place bigint"
 
 
@@ -53,22 +54,51 @@ class WordIds:
         probe = ["don't", "b.", "7", "x"]
         self.by_words = b"".join(self._each(probe)) == self._each([" don't b.\n 7  x\n"])[0]
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = dict(zip(_MARKS, self._each(list(_MARKS)), strict=True))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, many in one call: each is one run, whose last id ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if last.size != len(words):
+            return self._each(words)
+        data, bounds = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Keep the ids of words not met before. Letters are parted from a mark behind them, and ASCII is lower-cased."""
+        plain, other = {}, []
+        for word in new:
+            mark = word[-1] if word[-1] in self.marks else ""
+            stem = word[: len(word) - len(mark)]
+            if stem.isalpha():
+                plain[word] = (stem.lower() if stem.isascii() else stem, mark)
+            else:
+                other.append(word)
+        stems = list({stem for stem, _ in plain.values()}.difference(self.known))
+        found = dict(zip(stems, self._of_letters(stems), strict=True)) if stems else {}
+        found.update(zip(other, self._each(other), strict=True))
+        self.known.update(found)
+        self.known.update((word, self.known[stem] + (self.marks[mark] if mark else b"")) for word, (stem, mark) in plain.items())
+        return [*found, *plain]
+
     def _of_words(self, words: list[str]) -> bytes:
         known = self.known
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > _CACHED:
+        if len(known) > _CACHED:
             known.clear()
             known[""] = b""
-            new = list(set(words).difference(known))
-        known.update(zip(new, self._each(new), strict=True))
+        new = set(words).difference(known)
+        learned = self._learn(new) if new else []
         out = b"".join(map(known.__getitem__, words))
-        for word in new:
+        for word in learned:
             if len(word) > _LONGEST_CACHED:
-                del known[word]
+                known.pop(word, None)
         return out
 
     def parts(self, text: str) -> Iterator[bytes]:
