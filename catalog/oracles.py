@@ -222,6 +222,23 @@ REPORT = """select cast(label as varchar) label, round("precision", 6) "precisio
 
 FUSED_LOGIT = f"({D(0.5)} - {D(0.03)} * ({BALL_DISTANCE}) - {D(0.01)} * d_goal + {D(0.5)} * ({COSINE}) + {D(0.25)} * a_goal)"
 
+NAMES = """names as (select unnest(['attackers', 'defenders', 'distance_to_ball', 'distance_to_goal', 'cosine_ball_goal', 'sine_ball_goal',
+ 'angle_to_goal', 'ball_speed_x', 'ball_speed_y', 'attackers_outplayed', 'defenders_outplayed', 'carrier_speed', 'attacker_vx',
+ 'attacker_vy', 'defender_vx', 'defender_vy', 'distance_to_origin']) "name", unnest(range(1, 18)) channel)"""
+
+# passes with gaps: no number is NULL here, whether it was NULL or NaN
+GAPPY = f"""holed as (select pass_id, slot, orig_id, case when pass_id % 31 = 0 then 1 + pass_id % 2 else slot_team end slot_team,
+ case when (pass_id + slot) % 19 = 0 then null else x end x, y, case when (pass_id + slot) % 17 = 0 then null else vx end vx,
+ case when (pass_id + slot) % 13 = 0 then null else vy end vy from track),
+lot as materialized (select p.pass_id, p.team_id, case when p.pass_id % 29 <> 0 then {cell_x("p.ball_x_start")} end ball_x,
+ arg_min(t.vx, t.slot) filter (t.slot = s.slot) carrier_vx, arg_min(t.vy, t.slot) filter (t.slot = s.slot) carrier_vy
+ from passes p left join (select h.pass_id, min(h.slot) slot from holed h join passes q on q.pass_id = h.pass_id and h.orig_id = q.player_id group by 1) s on s.pass_id = p.pass_id
+ left join holed t on t.pass_id = p.pass_id
+ where p.pass_outcome_type in ('C', 'D', 'B', 'O', 'S', 'G', 'I') and p.ball_x_end is not null and p.ball_y_end is not null group by p.pass_id, p.team_id, p.ball_x_start),
+placed as (select h.*, case when h.slot_team = l.team_id then 'att' else 'def' end side, {cell_x("h.x")} cx, {cell_y("h.y")} cy
+ from holed h join lot l on l.pass_id = h.pass_id where h.slot_team is not null and h.x is not null),
+standing as (select * from placed qualify row_number() over (partition by pass_id, side, cy, cx order by slot desc) = 1)"""
+
 # all channels at the cells of a relation (pass_id, ball_x, ball_y, y, x, d_goal, a_goal): counts of the players ahead
 # that are no nearer to the goal than the cell, and what stands at the cells of players and ball
 MARKS = """lists as (select pass_id, coalesce(list(d_player) filter (side = 'att'), []) att, coalesce(list(d_player) filter (side = 'def'), []) dfn from ahead group by 1),
@@ -413,6 +430,10 @@ ORACLES = {
         FIXTURE, LOCATED,
         select=f"select pass_id, y, x, round({BALL_DISTANCE}, 6) p from (select pass_id, dest_y y, dest_x x, ball_y, ball_x from located)",
     ),
+    "j4_stored_pixel": on(
+        FIXTURE, LOCATED,
+        select=f"select pass_id, y, x, round(cast(cast({BALL_DISTANCE} as float) as double), 6) p from (select pass_id, dest_y y, dest_x x, ball_y, ball_x from located)",
+    ),
     "j5_stack_surfaces": on(PLANES, select="select pass_id, y, x, round(v, 6) a, round(greatest(v, 0), 6) b from planes"),
     "c1_attackers": occupancy("att"),
     "c2_defenders": occupancy("def"),
@@ -444,13 +465,26 @@ ORACLES = {
     "c20_dense_row": _stack(as_tensor=True),
     "a1_nan_channels": on(
         FIXTURE, LOCATED,
-        "names as (select unnest(['attackers', 'defenders', 'distance_to_ball', 'distance_to_goal', 'cosine_ball_goal', 'sine_ball_goal', "
-        "'angle_to_goal', 'ball_speed_x', 'ball_speed_y', 'attackers_outplayed', 'defenders_outplayed', 'carrier_speed', 'attacker_vx', "
-        "'attacker_vy', 'defender_vx', 'defender_vy', 'distance_to_origin']) \"name\", unnest(range(1, 18)) channel)",
+        NAMES,
         "holes as (select 8 channel, count(*) n from located where carrier_vx is null union all select 9, count(*) from located where carrier_vy is null "
         "union all select 12, count(*) from located where carrier_speed is null)",
         select='select cast(k.channel as integer) channel, "name", coalesce(n, 0) nan_cells, coalesce(n, 0) nan_passes, coalesce(n, 0) > 0 has_nan from names k left join holes h on h.channel = k.channel',
     ),
+    "a1_nan_channels_gappy": on(
+        FIXTURE, GAPPY, NAMES,
+        """holes as (select 8 channel, count(*) n from lot where carrier_vx is null and ball_x is not null union all select 9, count(*) from lot where carrier_vy is null and ball_x is not null
+ union all select 12, count(*) from lot where (carrier_vx is null or carrier_vy is null) and ball_x is not null
+ union all select unnest([3, 5, 6, 17]), 7072 * count(*) from lot where ball_x is null
+ union all select case side when 'att' then 13 else 15 end, count(*) from standing where vx is null group by side
+ union all select case side when 'att' then 14 else 16 end, count(*) from standing where vy is null group by side)""",
+        """with_gap as (select 8 channel, count(*) p from lot where carrier_vx is null and ball_x is not null union all select 9, count(*) from lot where carrier_vy is null and ball_x is not null
+ union all select 12, count(*) from lot where (carrier_vx is null or carrier_vy is null) and ball_x is not null
+ union all select unnest([3, 5, 6, 17]), count(*) from lot where ball_x is null
+ union all select case side when 'att' then 13 else 15 end, count(distinct pass_id) from standing where vx is null group by side
+ union all select case side when 'att' then 14 else 16 end, count(distinct pass_id) from standing where vy is null group by side)""",
+        select="""select cast(k.channel as integer) channel, "name", cast(coalesce(n, 0) as bigint) nan_cells, cast(coalesce(p, 0) as bigint) nan_passes, coalesce(n, 0) > 0 has_nan
+ from names k left join holes h on h.channel = k.channel left join with_gap g on g.channel = k.channel""",
+    ),
     "a1_pass_audit": on(
         FIXTURE, LOCATED,
         select="""select count(*) passes, count(*) filter (carrier_slot is null) passer_not_found, cast(0 as bigint) players_unplaced,

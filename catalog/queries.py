@@ -278,9 +278,18 @@ def j3_over_grid(spark, sf_dir):
 
 
 def j4_pixel(spark, sf_dir):
+    """A computed surface at the destinations: computed there only."""
+    return rounded(channels.values_at_destination(located(spark, sf_dir), 3), "p")
+
+
+def j4_stored_pixel(spark, sf_dir):
+    """Stored surfaces at the destinations: two tables in buckets of passes, joined without an exchange."""
     where = located(spark, sf_dir)
-    surface = channels.dense_channels(where, (3,)).select("pass_id", "y", "x", F.col("value").alias("p"))
-    return rounded(surfaces.pixel(surface, where), "p")
+    only = [0.0, 0.0, 1.0] + [0.0] * 14
+    scored = surfaces.linear_surfaces(where, only, 0.0, head="none").select("pass_id", "surface")
+    stored = tables.write_bucketed(scored, scratch_dir(spark, "surfaces"))
+    wanted = tables.write_bucketed(where.select("pass_id", "dest_y", "dest_x"), scratch_dir(spark, "passes"))
+    return rounded(surfaces.stored_pixel(stored, wanted), "p")
 
 
 def planes(spark, sf_dir) -> DataFrame:
@@ -318,7 +327,12 @@ def c18_destination_mask(spark, sf_dir):
 
 
 def c19_channel_stack(spark, sf_dir, compat=False):
-    return as_double(digest(channels.channel_stack(located(spark, sf_dir, compat)), "pass_id", "channel"), "s", "w")
+    totals = {
+        "n": lambda v, cell: F.count("*"),
+        "s": lambda v, cell: F.sum(millionths(v.cast("double"))),
+        "w": lambda v, cell: F.sum(millionths(v.cast("double")) * (cell + 1).cast("bigint")),
+    }
+    return as_double(channels.channel_totals(located(spark, sf_dir, compat), totals), "s", "w")
 
 
 def c20_dense_row(spark, sf_dir):
@@ -335,6 +349,24 @@ def a1_nan_channels(spark, sf_dir):
     return audit.nan_channels(located(spark, sf_dir))
 
 
+def gappy(spark, sf_dir) -> DataFrame:
+    """Located passes of which some lack positions, velocities, one side or the ball."""
+    nan = "cast('NaN' as double)"
+    field = {
+        "slot_team": "if(pass_id % 31 = 0, team_id, s.slot_team)",
+        "x": f"if((pass_id + s.slot) % 19 = 0, {nan}, s.x)",
+        "vx": f"if((pass_id + s.slot) % 17 = 0, {nan}, s.vx)",
+        "vy": "if((pass_id + s.slot) % 13 = 0, null, s.vy)",
+    }
+    parts = ", ".join(f"'{n}', {field.get(n, f's.{n}')}" for n in ("slot", "orig_id", "slot_team", "x", "y", "vx", "vy"))
+    changed = passes(spark, sf_dir).withColumn("slots", F.expr(f"transform(slots, s -> named_struct({parts}))"))
+    return jobs.prepare(changed.withColumn("ball_x_start", F.expr(f"if(pass_id % 29 = 0, {nan}, ball_x_start)")), PITCH)
+
+
+def a1_nan_channels_gappy(spark, sf_dir):
+    return audit.nan_channels(gappy(spark, sf_dir))
+
+
 def a1_pass_audit(spark, sf_dir):
     return audit.pass_audit(slots.resolve_passer(validate.accepted(passes(spark, sf_dir))))
 
@@ -616,6 +648,7 @@ QUERIES = {
     "j2_attach_carrier_compat": partial(j2_attach_carrier, compat=True),
     "j3_over_grid": j3_over_grid,
     "j4_pixel": j4_pixel,
+    "j4_stored_pixel": j4_stored_pixel,
     "j5_stack_surfaces": j5_stack_surfaces,
     "c1_attackers": partial(sparse, number=1),
     "c2_defenders": partial(sparse, number=2),
@@ -644,6 +677,7 @@ QUERIES = {
     "c19_channel_stack_compat": partial(c19_channel_stack, compat=True),
     "c20_dense_row": c20_dense_row,
     "a1_nan_channels": a1_nan_channels,
+    "a1_nan_channels_gappy": a1_nan_channels_gappy,
     "a1_pass_audit": a1_pass_audit,
     "a2_channel_slice": a2_channel_slice,
     "a3_outplayed": a3_outplayed,

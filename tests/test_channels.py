@@ -4,13 +4,18 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turfgrid import Pitch
-from turfgrid.operators import channels
+from turfgrid.functions.cells import missing
+from turfgrid.operators import audit, channels, surfaces
 from turfgrid.operators.audit import as_matrix, channel_slice, nan_channels, pass_audit
 from turfgrid.operators.fit import destination_features
 from turfgrid.operators.slots import resolve_passer
+from turfgrid.plans import jobs
 from turfgrid.plans.jobs import prepare
+from turfgrid.session import scratch_dir
+from turfgrid.sources import tables
 
 PITCH = Pitch()
 NAN = float("nan")
@@ -109,3 +114,53 @@ def test_audit_and_slice(handmade):
     assert (audit.no_attacker, audit.no_defender) == (0, 2)
     matrix = as_matrix(channel_slice(located, 1, 3)).collect()
     assert len(matrix) == 68 and len(matrix[0]) == 105
+
+
+def test_totals_by_channel_are_those_of_the_stack(handmade):
+    located = jobs.prepare(handmade)
+    totals = {"n": lambda v, cell: F.count("*"), "s": lambda v, cell: F.round(F.sum(v.cast("double") * (cell + 1)), 3)}
+    stack = channels.channel_stack(located).withColumn("cell", F.col("y") * 104 + F.col("x"))
+    want = stack.groupBy("pass_id", "channel").agg(*[t(F.col("value"), F.col("cell")).alias(n) for n, t in totals.items()])
+    key = lambda rows: sorted((r.pass_id, r.channel, r.n, r.s) for r in rows if r.s is not None)
+    assert key(channels.channel_totals(located, totals).collect()) == key(want.collect())
+
+
+def test_dense_values_at_the_destination(handmade):
+    located = jobs.prepare(handmade)
+    cells = channels.stack_cells(located).where("y = dest_y and x = dest_x").collect()
+    for number in channels.DENSE:
+        got = {r.pass_id: r.p for r in channels.values_at_destination(located, number).collect()}
+        assert got == {r.pass_id: r[f"c{number}"] for r in cells}
+
+
+def test_gaps_are_counted_without_cells(spark, handmade):
+    """Against the cells themselves, with lone sides, players without position or velocity, a pass without a ball."""
+    nan = "cast('NaN' as double)"
+    speed = f"if(pass_id = 2 and s.slot in (1, 9), {nan}, s.vx) as vx, if(s.slot = 4, null, s.vy) as vy"
+    changed = handmade.withColumn("slots", F.expr(f"transform(slots, s -> struct(s.slot, s.orig_id, s.slot_team, s.x, s.y, {speed}))"))
+    lost = changed.where("pass_id = 1").withColumns({"pass_id": F.lit(9).cast("bigint"), "ball_x_start": F.expr(nan)})
+    located = jobs.prepare(changed.unionByName(lost))
+    cells = channels.stack_cells(located)
+    holes = [F.count_if(missing(F.col(f"c{c}"))).alias(f"c{c}") for c in range(1, 18)]
+    by_pass = cells.groupBy("pass_id").agg(*holes).collect()
+    found = audit.nan_channels(located)
+    got = {r.channel: (r.nan_cells, r.nan_passes, r.has_nan) for r in found.collect()}
+    for c in range(1, 18):
+        counts = [r[f"c{c}"] for r in by_pass]
+        assert got[c] == (sum(counts), sum(n > 0 for n in counts), sum(counts) > 0)
+    assert {c for c in got if got[c][2]} == {3, 5, 6, 8, 9, 12, 13, 14, 15, 16, 17}
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert audit.nan_channels(located.limit(0)).where("nan_cells = 0 and not has_nan").count() == 17
+
+
+def test_stored_surfaces_join_without_an_exchange(spark, handmade):
+    located = jobs.prepare(handmade)
+    scored = surfaces.linear_surfaces(located, [0.0, 0.0, 1.0] + [0.0] * 14, 0.0, head="none").select("pass_id", "surface")
+    stored = tables.write_bucketed(scored, scratch_dir(spark, "surfaces"), buckets=4)
+    wanted = tables.write_bucketed(located.select("pass_id", "dest_y", "dest_x"), scratch_dir(spark, "passes"), buckets=4)
+    found = surfaces.stored_pixel(stored, wanted)
+    got = {r.pass_id: r.p for r in found.collect()}
+    want = {r.pass_id: r.p for r in channels.values_at_destination(located, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+    joined = stored.hint("merge").join(wanted, "pass_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Exchange" not in joined

@@ -70,11 +70,12 @@ def _to_goal(y: str, x: str, pitch: Pitch) -> tuple[str, str]:
 
 
 def cosine_ball_goal(y: str, x: str, ball_y: str, ball_x: str, pitch: Pitch) -> str:
-    """Cosine of the angle at the cell centre between ball and goal."""
+    """Cosine of the angle at the cell centre between ball and goal; NULL without a ball."""
     gy, gx = _to_goal(y, x, pitch)
     by, bx = f"({ball_y} - ({y} + 0.5D))", f"({ball_x} - ({x} + 0.5D))"
     cosine = f"({gx} * {bx} + {gy} * {by}) / ({_length(gy, gx)} * {_length(by, bx)})"
-    return f"least(greatest({cosine}, -1.0D), 1.0D)"
+    # least/greatest pass over NULL
+    return f"if({ball_y} is null or {ball_x} is null, cast(null as double), least(greatest({cosine}, -1.0D), 1.0D))"
 
 
 def sine_from(cosine: str) -> str:

@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from turfgrid.constants import CHANNELS, Pitch
 from turfgrid.functions.cells import missing
-from turfgrid.operators.channels import channel, stack_cells
+from turfgrid.operators.channels import BALL_VALUES, PLAYER_VALUES, channel
 
 
 def nan_channels(located: DataFrame, pitch: Pitch = Pitch()) -> DataFrame:
-    """Per channel, how many cells and passes hold no number.
+    """Per channel, how many cells and passes hold no number; counted on the pass rows, no cell is made.
 
-    Passes are told apart inside one aggregation over the wide cells: first per pass, which stays
-    map-side, then over all passes.
+    A sparse channel lacks a number where what it holds at a set cell is missing. The channels that depend
+    on the ball lack all cells of a pass without a ball; the others always have a number.
     """
-    holes = [F.count_if(missing(F.col(f"c{c}"))).alias(f"n{c}") for c in range(1, len(CHANNELS) + 1)]
-    per_pass = stack_cells(located, pitch).groupBy("pass_id").agg(*holes)
-    totals = per_pass.agg(
-        *[F.sum(f"n{c}").alias(f"cells{c}") for c in range(1, len(CHANNELS) + 1)],
-        *[F.count_if(F.col(f"n{c}") > 0).alias(f"passes{c}") for c in range(1, len(CHANNELS) + 1)],
+    no_ball = "(ball_y is null or ball_x is null)"
+    holes = {c: "0" for c in range(1, len(CHANNELS) + 1)}
+    holes |= {c: f"if({no_ball}, {pitch.cells}, 0)" for c in (3, 5, 6, 17)}
+    for c, (side, value) in PLAYER_VALUES.items():
+        if value != "1":
+            holes[c] = f"size(filter({side}, p -> {value} is null or isnan({value})))"
+    for c, value in BALL_VALUES.items():
+        holes[c] = f"if(not {no_ball} and ({value} is null or isnan({value})), 1, 0)"
+    counted = located.selectExpr(*[f"cast({t} as bigint) n{c}" for c, t in holes.items()])
+    totals = counted.agg(
+        *[F.coalesce(F.sum(f"n{c}"), F.lit(0).cast("bigint")).alias(f"cells{c}") for c in holes],
+        *[F.count_if(F.col(f"n{c}") > 0).alias(f"passes{c}") for c in holes],
     )
     lines = [
         F.struct(

@@ -6,14 +6,16 @@ column expressions over pass x grid. Nothing here shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfgrid.constants import CHANNELS, Pitch
 from turfgrid.functions import cells as fn
-from turfgrid.operators.grid import over_grid
+from turfgrid.operators.grid import at_destination, over_grid
 
 SPARSE = (1, 2, 8, 9, 12, 13, 14, 15, 16)
 DENSE = (3, 4, 5, 6, 7, 10, 11, 17)
@@ -129,6 +131,27 @@ def channel_stack(located: DataFrame, pitch: Pitch = Pitch()) -> DataFrame:
     return stack.withColumn("value", F.col("value").cast("float"))
 
 
+def channel_totals(located: DataFrame, totals: dict[str, Callable[[Column, Column], Column]], pitch: Pitch = Pitch()) -> DataFrame:
+    """(pass_id, channel, <totals>): aggregates of `channel_stack` by pass and channel, without its long rows.
+
+    `totals` makes an aggregate from the value (a float) and the cell number. The dense channels of a cell are
+    summed side by side, so a pass has one row per cell and then one line per channel.
+    """
+    cells = dense_cells(located, DENSE, pitch).withColumns({f"c{c}": F.col(f"c{c}").cast("float") for c in DENSE})
+    sums = cells.groupBy("pass_id").agg(*[t(F.col(f"c{c}"), F.col("cell")).alias(f"{n}{c}") for c in DENSE for n, t in totals.items()])
+    lines = [F.struct(F.lit(c).alias("channel"), *[F.col(f"{n}{c}").alias(n) for n in totals]) for c in DENSE]
+    dense = sums.select("pass_id", F.inline(F.array(*lines)))
+    set_cells = sparse_channels(located, SPARSE, pitch).withColumn("value", F.col("value").cast("float"))
+    cell = F.col("y") * pitch.cols + F.col("x")
+    return dense.unionByName(set_cells.groupBy("pass_id", "channel").agg(*[t(F.col("value"), cell).alias(n) for n, t in totals.items()]))
+
+
+def values_at_destination(located: DataFrame, number: int, pitch: Pitch = Pitch()) -> DataFrame:
+    """(pass_id, y, x, p): a dense channel at each pass's destination; no other cell is made."""
+    here = at_destination(with_step_counts(located) if number in (10, 11) else located, pitch)
+    return here.selectExpr("pass_id", "y", "x", f"{dense_value(number, pitch)} p")
+
+
 def stack_cells(located: DataFrame, pitch: Pitch = Pitch()) -> DataFrame:
     """One row per pass and cell with all 17 values c1..c17, zeros included.
 

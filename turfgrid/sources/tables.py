@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,21 @@ def write_surfaces(surfaces: DataFrame, path: str) -> None:
     surfaces.hint("rebalance", "game_id").write.mode("overwrite").partitionBy("game_id").parquet(path)
 
 
+def write_bucketed(table: DataFrame, path: str, key: str = "pass_id", buckets: int = 64) -> DataFrame:
+    """Write a table in buckets of a key, sorted within, and return it as stored.
+
+    Tables in equally many buckets of the same key join and group on it without an exchange or a sort. The
+    number of buckets is fixed when a table is written: take one that keeps a bucket within a task's memory.
+    """
+    spark = table.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    laid = table.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    laid.format("parquet").option("path", path).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name goes, the files stay
+    return stored
+
+
 def write_passes(passes: DataFrame, path: str) -> None:
     """Passes in the normal form; the input for all further work."""
     passes.write.mode("overwrite").partitionBy("game_id").parquet(path)
