@@ -136,7 +136,7 @@ def test_dense_values_at_the_destination(handmade):
 def test_gaps_are_counted_without_cells(spark, handmade):
     """Against the cells themselves, with lone sides, players without position or velocity, a pass without a ball."""
     nan = "cast('NaN' as double)"
-    speed = f"if(pass_id = 2 and s.slot in (1, 9), {nan}, s.vx) as vx, if(s.slot = 4, null, s.vy) as vy"
+    speed = f"if(pass_id = 2 and s.slot in (3, 9), {nan}, s.vx) as vx, if(s.slot = 4, null, s.vy) as vy"
     changed = handmade.withColumn("slots", F.expr(f"transform(slots, s -> struct(s.slot, s.orig_id, s.slot_team, s.x, s.y, {speed}))"))
     lost = changed.where("pass_id = 1").withColumns({"pass_id": F.lit(9).cast("bigint"), "ball_x_start": F.expr(nan)})
     located = jobs.prepare(changed.unionByName(lost))
