@@ -128,6 +128,55 @@ def plain(text):
     return "".join(c for c in (text or "").lower() if c.isalpha() or c.isdigit())
 
 
+def verbatim(item, text, words=13, shortest=24):
+    """Whether the text has `words` words of the item on end, or all of a shorter one, between word ends if it is very short."""
+    found = ["".join(run) for run in re.findall(r"[^\W_]+", item.lower())]
+    if len("".join(found)) < shortest:
+        return f" {' '.join(found)} " in f" {' '.join(re.findall(r'[^\W_]+', text.lower()))} "
+    count = min(words, len(found))
+    return any("".join(found[i : i + count]) in plain(text) for i in range(len(found) - count + 1))
+
+
+def test_every_passage_of_thirteen_words_is_found():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(1, 9)))
+    item = [word() for _ in range(60)]
+    index = decontamination.build([(7, " ".join(item))], decontamination.Settings())
+    around = lambda: " ".join(word() for _ in range(40))
+    for length in (8, 13, 14, 20, 25, 35, 60):
+        for start in range(0, 60 - length + 1):
+            passage = item[start : start + length]
+            text = f"{around()}, {'; '.join(passage).upper()}. {around()}"
+            found = decontamination.matches_of(text, index)
+            if length >= 13:
+                one, two, edits, _ = found[7]
+                assert edits == 0 and plain("".join(passage)) in plain(text[one:two])
+            else:
+                assert not found
+
+
+def test_short_items_stand_between_word_ends():
+    items = [(1, "What is the capital of"), (2, "Oslo"), (3, "a b"), (4, "42"), (5, ""), (6, "?!"), (7, "é")]
+    index = decontamination.build(items, decontamination.Settings())
+    ids = lambda text: set(decontamination.matches_of(text, index))
+    assert ids("Tell me: WHAT is the\ncapital of Norway") == {1}
+    assert ids("somewhat is the capital of") == set() and ids("what is the capital offer") == set()
+    assert ids("Oslo") == {2} and ids("in oslo.") == {2} and ids("Oslos") == set()
+    assert ids("grab a-b now") == {3} and ids("a bc") == set() and ids("ab") == {3}
+    assert ids("142") == set() and ids("(42)") == {4} and ids("É") == {7} and ids("") == set()
+
+
+def test_passages_over_the_ends_of_pieces(monkeypatch):
+    draw = random.Random(8)
+    item = ["".join(draw.choice("abcdefghij") for _ in range(draw.randrange(1, 9))) for _ in range(30)]
+    index = decontamination.build([(7, " ".join(item)), (8, "what is this")], decontamination.Settings())
+    monkeypatch.setattr(decontamination.T.pieces, "__defaults__", (90,))
+    for lead in range(0, 240, 3):
+        text = "x " * lead + " ".join(item[4:17]) + " y" * 200 + " what is this " + "z " * 60
+        assert set(decontamination.matches_of(text, index)) == {7, 8}
+        assert set(decontamination.matches_of("x " * lead + "somewhat is this" + " z" * 90, index)) == set()
+
+
 def test_leaks_equal_brute_force(spark):
     draw = random.Random(6)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 7)))
@@ -150,6 +199,7 @@ def test_leaks_equal_brute_force(spark):
             want.add((203, 0))
             continue
         want |= {(doc, index.items[k]) for k, w in enumerate(index.windows) if edits([chr(c) for c in w], plain(text)) <= index.budgets[k]}
+        want |= {(doc, i) for i, item in items if verbatim(item, text or "")}
     assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 8
     span = next(r for r in found if r.doc_id == 203)
     text = dict(rows)[203]

@@ -6,6 +6,11 @@ only if the two share m - q + 1 - k q of their q-grams on k + 1 neighbouring dia
 counted in bands of 2 (k + 1) diagonals that overlap by half, so that every k + 1 neighbours lie in one
 band; bands that reach the count are aligned within the band, and those within k edits are matches.
 
+Shorter passages count when they are verbatim: q-grams shared one after another on one diagonal that span
+`words` whole words of an item, or a whole item of fewer words. So each passage of an item of `words` words is
+found, and with edits each that holds a window. An item under `shortest` letters and digits must stand
+between word ends; one under q is looked for by its own length.
+
 Documents are read once for each block of the benchmark. A block has about `block` characters, a bound on
 what a task holds; nothing of the documents is shuffled or sent to the driver.
 """
@@ -29,12 +34,13 @@ _BITS = 20
 
 @dataclass(frozen=True)
 class Settings:
-    """`rate` edits per character of a window. Items under `shortest` letters and digits are not searched for."""
+    """`rate` edits per character of a window; items under `shortest` letters and digits are matched exactly."""
 
     q: int = 8
     window: int = 120
     rate: float = 0.1
     shortest: int = 24
+    words: int = 13
     block: int = 1_000_000
 
     def budget(self, m: int) -> int:
@@ -69,33 +75,75 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return T.mix((total[q:] - total[:-q]) * inverses[: points.size - q + 1])
 
 
+@dataclass(frozen=True)
+class Item:
+    """An item's letters and digits, and the places among them where its words begin and end."""
+
+    id: int
+    points: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, item: int, text: str) -> Item:
+        points, places = normalized(text)
+        apart = np.flatnonzero(np.diff(places) > 1) + 1
+        begins = np.concatenate([[0], apart]).astype(np.int64)
+        return cls(item, points, begins, np.concatenate([apart, [points.size]]).astype(np.int64))
+
+    def holds(self, start: int, end: int, words: int) -> bool:
+        """Whether the places start to end hold `words` whole words, or the whole of an item of fewer."""
+        whole = np.searchsorted(self.ends, end, "right") - np.searchsorted(self.begins, start)
+        return whole >= min(words, self.begins.size)
+
+    def reach(self, words: int) -> int:
+        """The most places that `words` words of the item take."""
+        last = np.minimum(np.arange(self.begins.size) + words, self.begins.size) - 1
+        return int((self.ends[last] - self.begins).max(initial=0))
+
+
 @dataclass(frozen=True)
 class Index:
-    """q-grams of one block of the benchmark in hash order, and the windows they come from."""
+    """q-grams of one block of the benchmark in hash order with item and place, and up to three windows of each."""
 
     settings: Settings
     hashes: np.ndarray
     owners: np.ndarray
     offsets: np.ndarray
+    within: np.ndarray
     present: np.ndarray
+    texts: list[Item]
+    tiny: dict[int, list[tuple[int, int]]]
     windows: list[np.ndarray]
+    starts: np.ndarray
     items: list[int]
     budgets: np.ndarray
     least: np.ndarray
     sizes: np.ndarray
+    keep: int
 
 
 def build(items: list[tuple[int, str]], settings: Settings) -> Index:
-    windows, owners = [], []
-    for item, text in items:
-        points, _ = normalized(text or "")
-        if points.size < settings.shortest:
-            continue
-        step, last = settings.window // 2, max(0, points.size - settings.window)
-        for start in sorted({*range(0, last + 1, step), last}):
-            windows.append(points[start : start + settings.window])
-            owners.append(item)
-    lists = [grams(w, settings.q) for w in windows]
+    texts = [t for t in (Item.of(item, text) for item, text in items if text) if t.points.size]
+    windows, starts, owners, within, tiny = [], [], [], [], {}
+    lists = [grams(t.points, settings.q) for t in texts]
+    for number, (item, found) in enumerate(zip(texts, lists, strict=True)):
+        size = item.points.size
+        of_gram = np.full((found.size, 3), -1, np.int64)
+        if size < settings.q:
+            tiny.setdefault(size, []).append((int(grams(item.points, size)[0]), number))
+        elif size >= settings.shortest:
+            last = max(0, size - settings.window)
+            steps = list(range(0, last + 1, settings.window // 2))
+            for start in sorted({*steps, last}):
+                own = slice(start, max(start, start + min(settings.window, size) - settings.q + 1))
+                # neighbours on the stride overlap by half, and the last window is put in besides
+                column = 2 if start not in steps else (start // (settings.window // 2)) % 2
+                of_gram[own, column] = len(windows)
+                windows.append(item.points[start : start + settings.window])
+                starts.append(start)
+                owners.append(item.id)
+        within.append(of_gram)
     hashes = np.concatenate([*lists, np.zeros(0, np.uint64)])
     order = np.argsort(hashes, kind="stable")
     number = np.repeat(np.arange(len(lists)), [x.size for x in lists]).astype(np.int64)
@@ -103,7 +151,11 @@ def build(items: list[tuple[int, str]], settings: Settings) -> Index:
     present = np.zeros(1 << _BITS, bool)
     present[hashes >> np.uint64(64 - _BITS)] = True
     sizes = np.array([w.size for w in windows], np.int64)
-    return Index(settings, hashes[order], number[order], offsets[order], present, windows, owners, np.array([settings.budget(m) for m in sizes], np.int64), np.array([settings.least_shared(m) for m in sizes], np.int64), sizes)
+    budgets = np.array([settings.budget(m) for m in sizes], np.int64)
+    keep = 2 * int(sizes.max(initial=0)) + 4 * int(budgets.max(initial=0)) + settings.q
+    keep = max([keep, *(t.reach(settings.words) + settings.q + 1 for t in texts)])
+    spread = np.concatenate([*within, np.zeros((0, 3), np.int64)])
+    return Index(settings, hashes[order], number[order], offsets[order], spread[order], present, texts, tiny, windows, np.array(starts, np.int64), owners, budgets, np.array([settings.least_shared(m) for m in sizes], np.int64), sizes, keep)
 
 
 def align(window: np.ndarray, points: np.ndarray, low: int, width: int) -> tuple[int, int]:
@@ -123,36 +175,71 @@ def align(window: np.ndarray, points: np.ndarray, low: int, width: int) -> tuple
     return int(row[at]), window.size + low + at
 
 
-def search(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """Matches (window number, start, end, edits) in normalized places."""
+def _verbatim(points: np.ndarray, edges: np.ndarray, index: Index, number: np.ndarray, offset: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item number, start, end) of verbatim passages, from the places where q-grams of items stand.
+
+    `edges` says before which places of the text a word ends or begins.
+    """
     settings = index.settings
+    order = np.lexsort((place, place - offset, number))
+    number, offset, place = number[order], offset[order], place[order]
+    follows = (np.diff(number) == 0) & (np.diff(place) == 1) & (np.diff(offset) == 1)
+    first = np.flatnonzero(np.concatenate([[True], ~follows]))
+    last = np.concatenate([first[1:], [number.size]]) - 1
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        item = index.texts[number[a]]
+        low, high = int(offset[a]), int(offset[b]) + settings.q
+        if not item.holds(low, high, settings.words):
+            continue
+        start, end = int(place[a]), int(place[b]) + settings.q
+        if item.points.size < settings.shortest and not (edges[start] and edges[end]):
+            continue
+        if np.array_equal(points[start:end], item.points[low:high]):
+            yield int(number[a]), start, end
+
+
+def search(points: np.ndarray, edges: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    """Matches (number, start, end, edits) in normalized places; numbers beyond those of the windows are items."""
+    settings, matches = index.settings, []
+    for size, listed in index.tiny.items():
+        here = grams(points, size)
+        for wanted, number in listed:
+            at = np.flatnonzero(here == np.uint64(wanted))
+            matches += [(len(index.windows) + number, int(p), int(p) + size, 0) for p in at[edges[at] & edges[at + size]] if np.array_equal(points[p : p + size], index.texts[number].points)]
     found = grams(points, settings.q)
     likely = np.flatnonzero(index.present[found >> np.uint64(64 - _BITS)]) if found.size and index.hashes.size else np.zeros(0, int)
     if not likely.size:
-        return []
+        return matches
     first = np.searchsorted(index.hashes, found[likely], "left")
     count = np.searchsorted(index.hashes, found[likely], "right") - first
     likely, first, count = likely[count > 0], first[count > 0], count[count > 0]
     if not likely.size:
-        return []
+        return matches
     at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    window, diagonal = index.owners[at], np.repeat(likely, count) - index.offsets[at]
-    shift, matches = np.int64(1 << 32), []
+    place, offset = np.repeat(likely, count), index.offsets[at]
+    matches += [(len(index.windows) + number, start, end, 0) for number, start, end in _verbatim(points, edges, index, index.owners[at], offset, place)]
+    windows = index.within[at]
+    held = windows >= 0
+    window = windows[held]
+    diagonal = np.repeat(place - offset, 3).reshape(-1, 3)[held] + index.starts[window]
+    shift = np.int64(1 << 32)
     # a window that shares all its q-grams on one diagonal is there without edits and needs no alignment
     lines, counts = np.unique(window * shift + diagonal + (1 << 20), return_counts=True)
+    exact = set()
     for line in lines[counts > index.sizes[lines // shift] - settings.q]:
         number, start = int(line // shift), int(line % shift) - (1 << 20)
         if np.array_equal(points[max(0, start) : start + index.sizes[number]], index.windows[number]):
             matches.append((number, start, start + int(index.sizes[number]), 0))
-    rest = ~np.isin(window, [m[0] for m in matches])
+            exact.add(number)
+    rest = ~np.isin(window, list(exact))
     window, diagonal = window[rest], diagonal[rest]
     band = np.floor_divide(diagonal, index.budgets[window] + 1)
     cells, counts = np.unique(np.concatenate([window * shift + band + (1 << 20), window * shift + band - 1 + (1 << 20)]), return_counts=True)
     cells = cells[counts >= index.least[cells // shift]]
     for cell in cells:
-        number, place = int(cell // shift), int(cell % shift) - (1 << 20)
+        number, band_at = int(cell // shift), int(cell % shift) - (1 << 20)
         budget, pattern = int(index.budgets[number]), index.windows[number]
-        low, width = place * (budget + 1), 2 * (budget + 1)
+        low, width = band_at * (budget + 1), 2 * (budget + 1)
         edits, end = align(pattern, points, low, width)
         if edits <= budget:
             # the same from behind gives the start
@@ -162,18 +249,20 @@ def search(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
 
 
 def matches_of(text: str | None, index: Index) -> dict[int, tuple[int, int, int, int]]:
-    """Per item: start and end in the text (code points, end exclusive), least edits, number of windows."""
+    """Per item: start and end in the text (code points, end exclusive), least edits, number of windows and passages."""
     found: dict[int, tuple[int, int, int, set[int]]] = {}
-    if not text or not index.windows:
+    if not text or not index.texts:
         return {}
-    keep = 2 * int(index.sizes.max()) + 4 * int(index.budgets.max()) + index.settings.q
     points, places, base = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
     for piece in T.pieces(text):
         more, where = normalized(piece)
-        points, places = np.concatenate([points[-keep:], more]), np.concatenate([places[-keep:], where + base])
+        before = places[-index.keep - 1 : -index.keep]
+        points, places = np.concatenate([points[-index.keep :], more]), np.concatenate([places[-index.keep :], where + base])
         base += len(piece)
-        for number, start, end, edits in search(points, index):
-            item = index.items[number]
+        # a piece ends before white space, so its last word ends there
+        edges = np.concatenate([[before.size == 0 or places[0] - before[0] > 1], np.diff(places) > 1, [True]]) if places.size else np.zeros(1, bool)
+        for number, start, end, edits in search(points, edges, index):
+            item = index.items[number] if number < len(index.windows) else index.texts[number - len(index.windows)].id
             one, two = int(places[min(start, places.size - 1)]), int(places[max(0, end - 1)]) + 1
             old = found.get(item, (one, two, edits, set()))
             found[item] = (min(old[0], one), max(old[1], two), min(old[2], edits), old[3] | {number})
@@ -191,7 +280,7 @@ def blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Index]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document and benchmark item that it contains, wholly or by a window, within the edit budget.
+    """One row per document and benchmark item that it contains, by a window within the edit budget or a verbatim passage.
 
     Null and empty texts, null items and an empty benchmark give no rows; repeated rows give repeated rows.
     """
@@ -215,7 +304,11 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of `docs`, all columns, whose text contains no benchmark item."""
+    """The rows of `docs`, all columns, whose text contains no benchmark item and no passage of one.
+
+    Rows with a null or empty text stay, repeated rows stay as often as they occur, and an empty benchmark
+    leaves all rows.
+    """
 
     def keeper(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
