@@ -70,8 +70,11 @@ def test_kernel_is_the_share_of_common_grams():
     assert np.allclose(model.scores(bits, np.array([len(s) for s in sets])), kernel @ model.coefficients, atol=1e-4)
 
 
-def test_pieces_do_not_change_grams_or_words(monkeypatch):
-    t = "Ab cd. efg 12 hij\n" * 50
+@pytest.mark.parametrize("kind", ["line", "words"])
+def test_pieces_do_not_change_grams_or_words(monkeypatch, kind):
+    draw = np.random.default_rng(1)
+    word = lambda: "".join(draw.choice(list("abcdefghijklm1.-"), draw.integers(1, 9)))
+    t = "Ab cd. efg 12 hij\n" * 50 if kind == "line" else " ".join(word() + str(draw.choice(["", ",", " 7", "\n\n"])) for _ in range(400))
     whole = np.zeros(1 << 18, np.uint8)
     language.presence(t, whole, language.Settings())
     words, terms = text.hashed_words(t, text.spaced), toxicity.terms(t)

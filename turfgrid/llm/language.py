@@ -63,10 +63,12 @@ def presence(text: str, row: np.ndarray, settings: Settings) -> bool:
     for piece in T.pieces(text):
         points = T.letters(piece)
         found = found or bool(points.any())
-        points = np.concatenate([carry, points])
+        # what is carried on has been through this already: its first symbol stays, also if it is a blank
         kept = points != 0
         kept[1:] |= points[:-1] != 0
-        points = points[kept]
+        if points.size:
+            kept[0] |= carry.size > 0 and carry[-1] != 0
+        points = np.concatenate([carry, points[kept]])
         # a blank counts as a symbol of its own, also in front
         symbols = points + np.uint32(1)
         value = symbols
