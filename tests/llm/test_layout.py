@@ -150,12 +150,11 @@ def test_tokens_of_documents(spark, docs, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
-    odd = ["", " ", "  x", "a\n\n  b c", "a \n b", "x" * 300 + " y", "don't 's", "<|endoftext|> a", "日本 語 12 3", "tab\tx ", None]
+    odd = ["", " ", "  x", "a\n\n  b c", "a \n b", "x" * 300 + " y", "don't 's", "<|endoftext|> a", "one <|endoftext|> two", "日本 語 12 3", "tab\tx ", None]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
     monkeypatch.setattr(token_files.in_parts, "__defaults__", (False, 100))
     got = token_files.token_table(table, path).toPandas().sort_values("start").reset_index(drop=True)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = sorted(table.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text or ""))
     ids = [np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in rows]
     assert list(got.doc_id.fillna(-1)) == [-1 if r.doc_id is None else r.doc_id for r in rows]

@@ -120,7 +120,7 @@ class Encoder:
     """The tokenizer's ids, with a bounded memory of pieces between single spaces.
 
     The tokenizer cuts a text before such a space in any case, so the ids of a text are those of its pieces.
-    Strings of special tokens in a text are ordinary text.
+    A text that holds the string of an added token goes through the tokenizer as a whole, which takes it as that token.
     """
 
     def __init__(self, path: str):
@@ -128,7 +128,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = width(self.tokenizer.get_vocab_size())
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -151,6 +151,15 @@ class Encoder:
         return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self._by_pieces(texts)
+        out = self._by_pieces(["" if k in set(whole) else t for k, t in enumerate(texts)])
+        for k, ids in zip(whole, self._each([texts[k] for k in whole]), strict=True):
+            out[k] = np.frombuffer(ids, "<u4")
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") if not _RUN.search(t) else _CUT.split(t) for t in texts]
         heads = [p.pop(0) for p in split]
         if len(self.first) > _CACHED // 4:
