@@ -81,9 +81,9 @@ def test_random_stack_does_not_depend_on_partitions(spark):
 def test_ranks_with_missing_keys_and_no_rows(spark):
     rows = [(None if i % 10 == 0 else i,) for i in range(40)]
     table = spark.createDataFrame(rows, "pass_id bigint")
-    for ranked in (splits.ordered_rank(table, "pass_id", 8), splits.shuffled_rank(table, "pass_id", 5)):
+    for ranked in (splits.ordered_rank(table, "pass_id", 5), splits.shuffled_rank(table, "pass_id", 5)):
         assert sorted(r["rank"] for r in ranked.collect()) == list(range(40)) and ranked.first()["size"] == 40
-    ordered = {r["pass_id"]: r["rank"] for r in splits.ordered_rank(table, "pass_id", 8).collect() if r["pass_id"]}
+    ordered = {r["pass_id"]: r["rank"] for r in splits.ordered_rank(table, "pass_id", 5).collect() if r["pass_id"]}
     assert [k for k, _ in sorted(ordered.items(), key=lambda x: x[1])] == sorted(ordered) and min(ordered.values()) == 4
     empty = table.limit(0)
     assert splits.batches(empty).count() == 0 and splits.batches(empty, shuffle=True).count() == 0 and splits.split(empty).count() == 0
@@ -94,3 +94,25 @@ def test_class_report_reads_once(spark, capsys):
     metrics.class_report(predictions).explain()
     plan = capsys.readouterr().out
     assert plan.count("Scan") + plan.count("LocalTableScan") <= 2 and plan.count("ExistingRDD") <= 1
+
+
+def test_positions_over_buckets(spark):
+    draw = [None, None, 7.5, 7.5, 7.5, float("nan"), float("inf"), -float("inf")] + [float(k * k % 97) for k in range(300)]
+    table = spark.createDataFrame([(v, i) for i, v in enumerate(draw)], "pass_id double, row int")
+    ordered = [r.pass_id for r in table.orderBy("pass_id").collect()]
+    same = lambda a, b: a == b or (a is not None and b is not None and math.isnan(a) and math.isnan(b))
+    for position in (0, 1, 2, 40, 133, 250, 306, 307):
+        for rows in (10, 1000):
+            assert same(splits.pick_position(table, position, bucket_rows=rows).first().pass_id, ordered[position])
+    assert splits.pick_position(table, 308).count() == 0 and splits.pick_position(table, -1).count() == 0
+    assert splits.pick_position(table.limit(0), 0).count() == 0
+    ranked = {r.row: r.rank for r in splits.ordered_rank(table, "pass_id", 10).collect()}
+    by_rank = [draw[row] for row, _ in sorted(ranked.items(), key=lambda p: p[1])]
+    assert sorted(ranked.values()) == list(range(308)) and all(same(a, b) for a, b in zip(by_rank, ordered, strict=True))
+
+
+def test_one_bucket_is_sorted(spark):
+    """The bucket that holds the position is a range of the key, so other rows are left out before the sort."""
+    found = splits.pick_position(spark.range(10_000).withColumnRenamed("id", "pass_id"), 5_000, bucket_rows=500)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().pass_id == 5_000 and "Filter" in plan and "Window" not in plan
