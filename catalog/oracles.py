@@ -329,6 +329,25 @@ def _kernel_sum(out_ch: int, k: int) -> str:
     )
 
 
+def _convolved(out_ch: int, k: int) -> str:
+    """Sums over the results of a kernel on channels 1, 2, 13, 14 and 15: each set cell sends its value through each tap."""
+    height, width, n = 68 - k + 1, 104 - k + 1, 5 * k * k
+    f = lambda v: f"cast(cast({v} as float) as double)"
+    set_cells = " union all ".join(
+        f"select pass_id, {i} ic, y, x, {v} v from numbered where side = '{side}' and from_last = 1"
+        for i, (side, v) in enumerate((("att", D(1)), ("def", D(1)), ("att", f("vx")), ("att", f("vy")), ("def", f("vx"))))
+    )
+    return on(
+        FIXTURE, LOCATED,
+        f"taps as (select i // {n} oc, (i // {k * k}) % 5 ic, (i // {k}) % {k} dy, i % {k} dx, cast((i * 5) % 9 - 4 as double) / 8 w from (select unnest(range(0, {out_ch * n})) i))",
+        f"sent as (select pass_id, oc, v * w v, (y - dy) * {width} + x - dx + 1 p from ({set_cells}) c join taps t on t.ic = c.ic where y - dy between 0 and {height - 1} and x - dx between 0 and {width - 1})",
+        f"sums as (select pass_id, oc, sum(v) s, sum(v * p) w from sent group by 1, 2)",
+        select=f"""select l.pass_id, cast(o.oc as integer) ch, cast({height} as bigint) n, round(coalesce(s, 0) + cast(o.oc as double) / 4 * {height * width}, 3) s,
+ round(coalesce(w, 0) + cast(o.oc as double) / 4 * {height * width * (height * width + 1) // 2}, 1) w
+ from located l cross join (select unnest(range(0, {out_ch})) oc) o left join sums s on s.pass_id = l.pass_id and s.oc = o.oc""",
+    )
+
+
 SPLIT_HASH = keyed_hash(42, "pass_id")
 _SPLIT_LIMIT = int((1 - 0.8) * (1 << 48))
 
@@ -545,6 +564,8 @@ ORACLES = {
     "w7_sample_pass": on(FIXTURE, select=f"select pass_id, game_id from passes order by {keyed_hash(7, 'pass_id')}, pass_id limit 1"),
     "w8_row_count": on(FIXTURE, OK, select="select count(*) n from ok"),
     "r1_focal_conv": _kernel_sum(2, 3),
+    "r1_focal_conv_channels": _convolved(2, 5),
+    "r6_pointwise_channels": _convolved(3, 1),
     "r2_relu": on(PLANES, select='select pass_id, ch, y, x, round(greatest(v, 0), 6) "value" from planes'),
     "r3_replicate_pad": on(
         PLANES, "wide as (select cast(i // 12 as integer) y, cast(i % 12 as integer) x from (select unnest(range(0, 144)) i))",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from turfgrid.constants import WEIGHT_DECAY, Pitch
 from turfgrid.functions import cells as fn
-from turfgrid.operators import audit, channels, fit, metrics, raster, slots, splits, surfaces, validate
+from turfgrid.operators import audit, channels, fit, metrics, raster, row_raster, slots, splits, surfaces, validate
 from turfgrid.operators.grid import at_destination, over_grid, pitch_grid
 from turfgrid.plans import jobs
 from turfgrid.session import scratch_dir, task_count, tune
@@ -489,6 +489,30 @@ def r1_focal_conv(spark, sf_dir):
     return _raster(raster.focal_conv(planes(spark, sf_dir), *_kernel(spark, 2, 3), 8, 8, 3))
 
 
+CONVOLVED = (1, 2, 13, 14, 15)
+
+
+def r1_focal_conv_channels(spark, sf_dir, k=5, out_ch=2):
+    """A 5 x 5 kernel over five channels of every pass on the whole pitch, kept by row."""
+    i, in_ch = F.col("id"), len(CONVOLVED)
+    weights = spark.range(0, out_ch * in_ch * k * k, 1, 1).select(
+        F.floor(i / (in_ch * k * k)).cast("int").alias("out_ch"),
+        (F.floor(i / (k * k)) % in_ch).cast("int").alias("in_ch"),
+        (F.floor(i / k) % k).cast("int").alias("dy"),
+        (i % k).cast("int").alias("dx"),
+        ((i * 5 % 9 - 4) / F.lit(8.0)).alias("w"),
+    )
+    bias = spark.range(0, out_ch, 1, 1).select(i.cast("int").alias("out_ch"), (i / F.lit(4.0)).alias("b"))
+    rows = row_raster.raster_rows(located(spark, sf_dir), CONVOLVED, PITCH)
+    convolved = row_raster.focal_conv(rows, weights, bias, PITCH.rows, PITCH.cols)
+    lines = convolved.select("pass_id", "y", F.posexplode("planes").alias("ch", "line"))
+    first = F.col("y") * (PITCH.cols - k + 1) + 1
+    weighted = F.aggregate(F.transform("line", lambda v, x: v * (x + first)), F.lit(0.0), lambda a, v: a + v)
+    sums = lines.select("pass_id", "ch", F.aggregate("line", F.lit(0.0), lambda a, v: a + v).alias("s"), weighted.alias("w"))
+    totals = sums.groupBy("pass_id", "ch").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return totals.select("pass_id", "ch", "n", F.round("s", 3).alias("s"), F.round("w", 1).alias("w"))
+
+
 def r2_relu(spark, sf_dir):
     return _raster(raster.relu(planes(spark, sf_dir)))
 
@@ -703,6 +727,8 @@ QUERIES = {
     "w7_sample_pass": w7_sample_pass,
     "w8_row_count": w8_row_count,
     "r1_focal_conv": r1_focal_conv,
+    "r1_focal_conv_channels": r1_focal_conv_channels,
+    "r6_pointwise_channels": partial(r1_focal_conv_channels, k=1, out_ch=3),
     "r2_relu": r2_relu,
     "r3_replicate_pad": r3_replicate_pad,
     "r4_max_pool": r4_max_pool,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from turfgrid import Pitch
 from turfgrid.constants import CHANNELS
-from turfgrid.operators import channels, fit, raster, surfaces
+from turfgrid.operators import channels, fit, raster, row_raster, surfaces
 from turfgrid.operators.splits import split
 from turfgrid.plans import jobs
 from turfgrid.session import scratch_dir
@@ -147,3 +147,39 @@ def test_models_are_stored_as_tables(spark):
 def test_one_dense_channel_has_no_expand(handmade, capsys):
     channels.channel(jobs.prepare(handmade), 3).explain()
     assert "Expand" not in capsys.readouterr().out
+
+
+def test_row_rasters_equal_the_long_form(spark, handmade):
+    located = jobs.prepare(handmade, SMALL)
+    numbers = (1, 3, 10, 13)
+    rows = row_raster.by_pass(row_raster.raster_rows(located, numbers, SMALL), 4).cache()
+    wide = channels.stack_cells(located, SMALL).na.fill(0.0)
+    lines = ", ".join(f"struct({i} ch, double(float(c{c})) value)" for i, c in enumerate(numbers))
+    long = wide.selectExpr("pass_id", "y", "x", f"inline(array({lines}))").select("pass_id", "ch", "y", "x", "value").cache()
+    key = lambda df: sorted((r.pass_id, r.ch, r.y, r.x, round(r.value, 9)) for r in df.collect())
+    assert key(row_raster.by_cells(rows)) == key(long) == key(row_raster.by_cells(row_raster.by_rows(long, SMALL.cols, 4)))
+    for k, out_ch in ((5, 2), (3, 3), (1, 2)):
+        weights, bias = surfaces.made_up_weights(spark, (("a", out_ch, 4, k),))
+        got = row_raster.focal_conv(rows, weights.drop("layer"), bias.drop("layer"), SMALL.rows, SMALL.cols)
+        assert key(row_raster.by_cells(got)) == key(raster.focal_conv(long, weights, bias, SMALL.rows, SMALL.cols, k))
+        padded = row_raster.replicate_pad(row_raster.relu(got), SMALL.rows - k + 1, k // 2)
+        want = raster.replicate_pad(raster.relu(raster.focal_conv(long, weights, bias, SMALL.rows, SMALL.cols, k)), SMALL.rows - k + 1, SMALL.cols - k + 1, k // 2)
+        assert key(row_raster.by_cells(padded)) == key(want)
+
+
+def test_row_rasters_do_not_multiply_by_the_kernel(spark, handmade):
+    """A chain of two kernels on rows laid out by pass: one shuffle between them, and no row per tap."""
+    laid = row_raster.by_pass(row_raster.raster_rows(jobs.prepare(handmade, SMALL), (1, 2, 3), SMALL), 4)
+    one, two = (surfaces.made_up_weights(spark, (("a", n, m, 5),)) for n, m in ((2, 3), (1, 2)))
+    first = row_raster.replicate_pad(row_raster.relu(row_raster.focal_conv(laid, *one, SMALL.rows, SMALL.cols)), SMALL.rows - 4, 2)
+    second = row_raster.focal_conv(first, *two, SMALL.rows, SMALL.cols)
+    plan = second._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert second.count() == 4 * (SMALL.rows - 4)
+
+
+def test_large_kernels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(row_raster, "MAX_TAPS", 3)
+    weights, bias = surfaces.made_up_weights(spark, (("a", 1, 1, 3),))
+    with pytest.raises(ValueError, match="taps"):
+        row_raster.load_kernel(weights, bias)
