@@ -617,6 +617,10 @@ ORACLES = {
         select='select round(cast(sum(hits) as double) / sum(support), 6) accuracy, round(avg("precision"), 6) "precision", round(avg(recall), 6) recall, round(avg(f1), 6) f1 from scores',
     ),
     "r13_rank_scale": on(PLANES, select="select pass_id, y, x, round(percent_rank() over (partition by pass_id order by v), 6) quantile from planes"),
+    "stream_passer_by_game": on(
+        FIXTURE, LOCATED_COMPAT,
+        select="select game_id, player_id, cast(carrier_slot as double) carrier_slot, count(*) n, round(sum(carrier_vx), 3) vx from located group by 1, 2, 3",
+    ),
     "stream_sparse_channels": on(
         FIXTURE, LOCATED,
         "set_cells as (select pass_id, 1 channel, y, x, 1 v from numbered where side = 'att' and from_last = 1 "

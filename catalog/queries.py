@@ -639,6 +639,17 @@ def stream_sparse_channels(spark, sf_dir):
     return rounded(found, "value")
 
 
+def stream_passer_by_game(spark, sf_dir):
+    """Game files as a stream, a few at a time, the passer looked up over each whole file."""
+    files, out, checkpoint = (scratch_dir(spark, n) for n in ("games", "stream", "stream-checkpoint"))
+    # one file per game
+    games.write_games(passes(spark, sf_dir).repartition("game_id"), files, SLOT_NUMBERS)
+    streaming.prepared_files(spark, files, out, checkpoint, files_per_trigger=5).awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    counts = found.groupBy("game_id", "player_id", "carrier_slot").agg(F.count("*").alias("n"), F.round(F.sum("carrier_vx"), 3).alias("vx"))
+    return as_double(counts, "carrier_slot")
+
+
 QUERIES = {
     "completion_by_destination": completion_by_destination,
     "s1_scan_passes": s1_scan_passes,
@@ -749,4 +760,5 @@ QUERIES = {
     "r12_selection_pixel_players": partial(r12_selection_pixel, coefficients=EVERY),
     "r13_rank_scale": r13_rank_scale,
     "stream_sparse_channels": stream_sparse_channels,
+    "stream_passer_by_game": stream_passer_by_game,
 }

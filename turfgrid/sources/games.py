@@ -28,8 +28,8 @@ MISSING_TEXTS = (
 )
 
 
-def _read_lines(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
-    """Non-empty lines of all CSV files with their file and place: the split's start and the order within it."""
+def _read_lines(spark: SparkSession, directory: str | list[str], recursive: bool) -> DataFrame:
+    """Non-empty lines of all CSV files of a directory, or of the files of a list, with their file and place: the split's start and the order within it."""
     reader = spark.read.option("pathGlobFilter", "*.csv")
     reader = reader.option("recursiveFileLookup", "true") if recursive else reader
     return (
@@ -85,7 +85,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return placed.join(offsets, ["source_file", "split_start"]).withColumn("row", F.col("_before") + F.col("_inside"))
 
 
-def scan_passes(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+def scan_passes(spark: SparkSession, directory: str | list[str], recursive: bool = False) -> DataFrame:
     """Every CSV of a directory in the normal form: scalars and one `slots` array per pass; other files are ignored.
 
     Each line is paired with its file's header, and fields are found by name, so one plan serves any number
