@@ -4,7 +4,8 @@ The sets are kept in one global order: rare n-grams before frequent ones, by has
 sets that link share an n-gram of their prefixes (the first n - ceil(t n) + 1). For each shared n-gram the
 rest of the prefixes of its sets is stored in a trie; a set walks the trie with one running overlap for all
 sets below a node and leaves a subtree as soon as the overlap so far and the n-grams that remain cannot
-reach what the threshold needs. What the walk keeps is verified on the whole texts.
+reach what the threshold needs. What the walk finds must also pass the parity bits of the two whole sets, which
+bound their overlap from above, and is then verified on the whole texts.
 
 Nothing is quadratic in a group of copies: equal sets are joined once; a first round links every set to the
 most typical set of the n-grams it shares; then only sets in different components meet, and of the
@@ -39,7 +40,8 @@ class Settings:
     """Link when of * intersection >= least * union, over n-grams of `words` words.
 
     `frequent`, `together` and `most_frequent` (a bound on a list sent to the tasks) shape the global order
-    only; any order gives the same links. `slot_bits` is the size of a filter of n-grams, 16 MB at 27.
+    only; any order gives the same links. `slot_bits` is the size of a filter of n-grams, 16 MB at 27. A trie
+    holds up to `rest` n-grams of each set; what lies beyond counts as if it were shared.
     """
 
     words: int = 5
@@ -50,6 +52,7 @@ class Settings:
     slot_bits: int = 27
     most_frequent: int = 1_000_000
     block: int = 1000
+    rest: int = 24
 
     def prefix(self, n: int) -> int:
         return n + (-self.least * n // self.of) + 1
@@ -103,19 +106,45 @@ def frequent_grams(docs: DataFrame, settings: Settings) -> np.ndarray:
     return np.sort(top.column("gram").to_numpy())
 
 
-_SETS = "doc_id bigint, n int, key_a bigint, key_b bigint, rare int, prefix array<bigint>"
+_SETS = "doc_id bigint, n int, key_a bigint, key_b bigint, rare int, prefix array<bigint>, parity binary"
+_LEAST_BITS, _MOST_BITS = 64, 1 << 16
+
+
+def parity(spread: np.ndarray) -> bytes:
+    """Per slot of a power of two of slots, about one per n-gram, whether an odd number of hashes falls into it.
+
+    The slots in which two sets differ are no more than the n-grams that only one of them has.
+    """
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << int(spread.size - 1).bit_length()))
+    odd = np.bincount((spread & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    while size > to:
+        size //= 2
+        bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+    return bits
+
+
+def may_link(n: int, one: bytes, m: int, two: bytes, settings: Settings) -> bool:
+    """Whether two sets of n and m n-grams can share enough for a link, by their parity bits."""
+    size = 8 * min(len(one), len(two))
+    apart = _folded(int.from_bytes(one, "little"), 8 * len(one), size) ^ _folded(int.from_bytes(two, "little"), 8 * len(two), size)
+    return (n + m - apart.bit_count()) // 2 >= settings.needed(n, m)
 
 
 def _prefixes(frequent: np.ndarray, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys_a, keys_b, rare, prefixes = [], [], [], [], []
+            sizes, keys_a, keys_b, rare, prefixes, bits = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, settings.words)
                 sizes.append(found.size)
                 spread = T.mix(found)
                 keys_a.append(int(spread.sum(dtype=np.uint64).view(np.int64)))
                 keys_b.append(int(np.bitwise_xor.reduce(spread).view(np.int64)))
+                bits.append(parity(spread) if found.size else b"")
                 common = np.zeros(found.size, bool)
                 if frequent.size:
                     common = frequent[np.minimum(np.searchsorted(frequent, found), frequent.size - 1)] == found
@@ -124,7 +153,7 @@ def _prefixes(frequent: np.ndarray, settings: Settings):
                 ordered = np.concatenate([found[~common][:length], found[common] + (1 << _FREQUENT_BIT)])
                 prefixes.append(ordered[:length])
             ints = [pa.array(x, t) for x, t in ((sizes, pa.int32()), (keys_a, pa.int64()), (keys_b, pa.int64()), (rare, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, _lists(prefixes)], ["doc_id", "n", "key_a", "key_b", "rare", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, _lists(prefixes), pa.array(bits, pa.binary())], ["doc_id", "n", "key_a", "key_b", "rare", "prefix", "parity"])
 
     return run
 
@@ -206,20 +235,23 @@ def _join_groups(settings: Settings):
         asking = [r[2:] for r in group if r[0]]
         if not stored or not asking:
             return set()
-        root = build_trie(stored)
-        return {(min(q[0], other), max(q[0], other)) for q in asking for other in walk_trie(root, q, settings)}
+        known = {r[2]: (r[4], r[7]) for r in group}
+        root = build_trie([r[:5] for r in stored])
+        found = {(min(q[0], other), max(q[0], other)) for q in asking for other in walk_trie(root, q[:5], settings)}
+        return {(a, b) for a, b in found if may_link(*known[a], *known[b], settings)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], set()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("gram", "one", "two", "asks", "stored", "doc_id", "component", "n", "place")]
+            bits = batch.column("parity").to_pylist()
             rests = batch.column("rest")
             bounds, values = rests.offsets.to_numpy(), rests.values.to_numpy()
             for i, (gram, one, two, *row) in enumerate(zip(*columns, strict=True)):
                 if key != (gram, one, two):
                     out |= pairs(group)
                     key, group = (gram, one, two), []
-                group.append((*row, tuple(values[bounds[i] : bounds[i + 1]].tolist())))
+                group.append((*row, tuple(values[bounds[i] : bounds[i + 1]].tolist()), bits[i]))
             if len(out) > 10_000:
                 yield _pairs_out(out)
                 out = set()
@@ -382,8 +414,9 @@ def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settin
     kinds = kinds.groupBy("gram").agg(F.sum("__sets").alias("__all"), F.max(F.struct("__sets", "component")).alias("__main"))
     kinds = kinds.where(F.col("__all") > F.col("__main.__sets"))
     left = broadcast_if_small(marked.select("doc_id").distinct())
-    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "prefix").join(left, "doc_id", "left_semi"), "doc_id")
-    rest = F.transform(F.slice("prefix", F.col("place") + 2, F.greatest(F.size("prefix") - F.col("place") - 1, F.lit(0))), lambda x: F.shiftright(x, _ROUGH_SHIFT).cast("int"))
+    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "prefix", "parity").join(left, "doc_id", "left_semi"), "doc_id")
+    length = F.greatest(F.least(F.size("prefix") - F.col("place") - 1, F.lit(settings.rest)), F.lit(0))
+    rest = F.transform(F.slice("prefix", F.col("place") + 2, length), lambda x: F.shiftright(x, _ROUGH_SHIFT).cast("int"))
     asking = F.ceil((F.col("__all") - F.col("__main.__sets")) / settings.block).cast("int")
     stored = F.ceil(F.col("__all") / settings.block).cast("int")
     rows = rows.withColumn("rest", rest).withColumn("__asking", asking).withColumn("__stored", stored)
@@ -397,7 +430,7 @@ def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settin
     as_stored = F.transform(F.sequence(F.lit(0), F.col("__asking") - 1), lambda k: cell(k, lies, F.lit(False), True))
     as_asking = F.transform(F.sequence(F.lit(0), F.col("__stored") - 1), lambda k: cell(mine, k, F.lit(True), False))
     cells = F.when(F.col("__stored") == 1, alone).when(outside, F.concat(as_stored, as_asking)).otherwise(as_stored)
-    laid = rows.select("gram", "doc_id", "component", "n", "place", "rest", F.explode(cells).alias("__cell")).select("gram", "__cell.*", "doc_id", "component", "n", "place", "rest")
+    laid = rows.select("gram", "doc_id", "component", "n", "place", "rest", "parity", F.explode(cells).alias("__cell")).select("gram", "__cell.*", "doc_id", "component", "n", "place", "rest", "parity")
     sorted_ = laid.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
     return sorted_.mapInArrow(_join_groups(settings), "a bigint, b bigint")
 
