@@ -112,7 +112,8 @@ def _normal(frame):
     "name",
     [
         "completion_by_destination", "f3_rejects", "j1_resolve_passer_by_game", "c6_sine_ball_goal", "c10_attackers_outplayed",
-        "c15_defender_vx_compat", "a3_outplayed", "a9_class_report", "w4_split", "w6_batches", "r1_focal_conv", "r12_evaluate",
+        "c15_defender_vx_compat", "a3_outplayed", "a9_class_report", "w4_split", "w6_batches", "r1_focal_conv", "r12_evaluate", "a1_nan_channels_gappy", "j4_stored_pixel",
+        "c8_ball_speed_x", "c9_ball_speed_y_compat", "c12_carrier_speed", "s4_pick_pass", "r6_pointwise_channels", "r10_success_gradient",
     ],
 )
 def test_registered_query_equals_its_oracle(spark, name):
