@@ -168,3 +168,14 @@ def test_fractions_in_a_source_with_a_whole_rate(spark):
     docs = spark.createDataFrame([(i, "a", "w " * 10) for i in range(400)], "doc_id bigint, source string, text string")
     taken = mixing.mix(docs, F.lit(0.6)).groupBy("doc_id").count().collect()
     assert len(taken) == 400 and abs(sum(r["count"] for r in taken) - 480) <= 1
+
+
+def test_rows_without_an_id_come_near_their_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    rows = [(None if i % 4 else 7, "a" if i < 400 else "b", "w " * (1 + i % 9) + str(i)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.amounts(docs.withColumn("source", F.col("source"))).toPandas()
+    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.most).all() and len(by) == 2
+    mixed = mixing.mix(docs).select(mixing.word_count().alias("n")).agg(F.sum("n")).first()[0]
+    assert mixed == got.taken.sum()

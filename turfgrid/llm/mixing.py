@@ -65,13 +65,19 @@ def _keys(rows: DataFrame, seed: int, most: int) -> DataFrame:
     key = (u / (1 - u)) / odds * F.when(usual > 0, usual / (1 - usual)).otherwise(1.0)
     rows = rows.withColumn("__order", F.when(F.col("__chance") > 0, key / (1 + key)))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__documents") / BUCKET_ROWS))
+    rows = rows if "__tie" in rows.columns else rows.withColumn("__tie", F.lit(-(1 << 63)))
     return rows.withColumn("__bucket", F.floor(F.col("__order") * parts)).withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))))
 
 
+def _tie() -> Column:
+    """Tells rows apart that are equal in doc_id or have none."""
+    return F.xxhash64("text").alias("__tie")
+
+
 def plan(docs: DataFrame, preference: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """One row per source: its words, target, rate and the last key that its sample takes."""
     liking = F.lit(1.0) if preference is None else preference
-    sized = docs.select("doc_id", "source", word_count().alias("size"), liking.cast("double").alias("preference"))
+    sized = docs.select("doc_id", "source", word_count().alias("size"), liking.cast("double").alias("preference"), _tie())
     sized = written(sized, "sized")
     liked = F.sum(F.col("size") * F.col("preference"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), liked.alias("__liked"), F.count("*").alias("__documents"))
@@ -92,10 +98,10 @@ def plan(docs: DataFrame, preference: Column | None = None, weights: tuple[int,
     last = written(last.select(F.col("source").alias("__name"), "__last.*"), "last")
     crossed = last.withColumnRenamed("__bucket", "__cut")
     inside = rows.join(crossed, F.col("source").eqNullSafe(F.col("__name")) & (F.col("__bucket") == F.col("__cut")))
-    order = Window.partitionBy("__name").orderBy("__order", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__name").orderBy("__order", "__id", "__tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("__sum", F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     taken = inside.where(F.col("__sum") + F.col("size") / 2 <= F.col("__left"))
-    keys = taken.groupBy("__name").agg(F.max(F.struct("__order", "__id")).alias("__key"))
+    keys = taken.groupBy("__name").agg(F.max(F.struct("__order", "__id", "__tie")).alias("__key"))
     cuts = last.select("__name", F.col("__bucket").alias("__cut")).join(keys.withColumnRenamed("__name", "__of"), F.col("__name").eqNullSafe(F.col("__of")), "left").drop("__of")
     result = written(sources.join(cuts, F.col("source").eqNullSafe(F.col("__name")), "left").drop("__name", "__liked"), "mix")
     for table in (sized, sources, last):
@@ -112,12 +118,13 @@ def with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def copies(rows: DataFrame, sources: DataFrame, seed: int = SEED, most: int = MOST_COPIES) -> DataFrame:
     """Add `copies`, how often the mix takes each row, by comparing its key with its source's last one.
 
-    `rows` has doc_id, source and preference. Rows equal in doc_id are taken alike.
+    `rows` has doc_id, source and preference. Rows equal in doc_id follow each other by `__tie`, a hash of
+    their text; rows equal in both, or without that column, are taken alike.
     """
     keyed = _keys(with_plan(rows, sources), seed, most)
-    sampled = (F.col("__bucket") < F.col("__cut")) | ((F.col("__bucket") == F.col("__cut")) & (F.struct("__order", "__id") <= F.col("__key")))
+    sampled = (F.col("__bucket") < F.col("__cut")) | ((F.col("__bucket") == F.col("__cut")) & (F.struct("__order", "__id", "__tie") <= F.col("__key")))
     taken = F.col("__copies") + F.when(sampled, 1).otherwise(0)
-    return keyed.withColumn("copies", taken.cast("bigint")).drop("__copies", "__chance", "__order", "__bucket", "__id", "__rate", "__documents", "__cut", "__key")
+    return keyed.withColumn("copies", taken.cast("bigint")).drop("__copies", "__chance", "__order", "__bucket", "__id", "__rate", "__documents", "__cut", "__key", "__tie")
 
 
 def mix(docs: DataFrame, preference: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -128,7 +135,7 @@ def mix(docs: DataFrame, preference: Column | None = None, seed: int = SEED) ->
     """
     names = docs.columns
     liking = F.lit(1.0) if preference is None else preference
-    packed = docs.select("doc_id", "source", liking.cast("double").alias("preference"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    packed = docs.select("doc_id", "source", liking.cast("double").alias("preference"), _tie(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     counted = copies(packed, plan(docs, preference, seed=seed), seed).where(F.col("copies") > 0)
     repeated = counted.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
     return repeated.select("__row.*")
@@ -136,6 +143,6 @@ def mix(docs: DataFrame, preference: Column | None = None, seed: int = SEED) ->
 
 def amounts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
-    rows = docs.select("doc_id", "source", word_count().alias("size"), F.lit(1.0).alias("preference"))
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.lit(1.0).alias("preference"), _tie())
     counted = copies(rows, plan(docs, seed=seed), seed)
     return counted.select(F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
