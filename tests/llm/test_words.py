@@ -128,9 +128,11 @@ def phrases(spark):
     return spark.createDataFrame(rows_of(texts, ("en", None, "fr")), DOCS)
 
 
-@pytest.mark.parametrize("settings", [collocations.Settings(), collocations.Settings(least=3, shards=7, slot_bits=6), collocations.Settings(least=4, shards=1), collocations.Settings(longest=4, shards=3)])
+@pytest.mark.parametrize("settings", [collocations.Settings(), collocations.Settings(least=3, shards=7, slot_bits=6, name_bits=6), collocations.Settings(least=4, shards=1), collocations.Settings(longest=4, shards=3)])
 def test_counts_are_exact(phrases, settings, monkeypatch):
-    monkeypatch.setattr(collocations, "_TOKENS", 500)
+    monkeypatch.setattr(collocations, "_LOT", 2_000)
+    monkeypatch.setattr(collocations, "_KEYS", 300)
+    monkeypatch.setattr(collocations, "_HELD", 6)
     want = brute_counts([(r.lang, r.text) for r in phrases.collect()], settings.longest)
     got = {(r.lang, r.phrase): r.n for r in collocations.counts(phrases, settings).collect()}
     assert all(want[lang][phrase] == n for (lang, phrase), n in got.items())
@@ -171,11 +173,11 @@ def test_parts_of_a_text_lose_no_phrase(limit):
     lot = collocations._Lot()
     for again, data in collocations.text_parts(text, 3, limit):
         lot.add(again, data)
-    settings = collocations.Settings(slot_bits=10)
-    opened = [np.zeros(1 << 10, np.uint8)] * 2
-    got = Counter()
-    for batch in collocations._tallied(lot, "en", 0, opened, settings):
-        got.update(dict(zip(batch.column("phrase").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+    phrases = collocations._Phrases(lot, "en", collocations.Settings(slot_bits=10))
+    _, places, times = phrases.words()
+    got = Counter({phrases.text(p, 1): n for p, n in zip(places.tolist(), times.tolist(), strict=True)})
+    for size, places, _, _ in phrases.longer([np.zeros(1 << 10, np.uint8)] * 2, 0):
+        got.update(phrases.text(p, size) for p in places.tolist())
     assert got == want
 
 

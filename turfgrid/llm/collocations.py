@@ -2,13 +2,16 @@
 
 The documents lie in shards that are scanned in a cycle, one step a shard. Words are counted from the first step
 on. Once both parts of a longer phrase (all but its last and all but its first word) have reached the
-threshold in what has been scanned, the phrase is counted from the next step on, along with the words, and
-for one full cycle: each shard exactly once, wherever it began. So the counts are exact, most phrases begin
-within the first cycle, and phrases with a rare part are never counted, shuffled or stored.
+threshold in what has been scanned, the phrase is counted from the next step on, along with the shorter ones,
+and for one full cycle: each shard exactly once, wherever it began. So most phrases begin within the first
+cycle, and phrases with a rare part are never counted.
 
 Which phrases are counted in a step follows from an array of fixed size per length, the step from which each
 hash slot is open. A slot that a rare phrase shares with a frequent one only lets more be counted, from a
-step that is the same for all shards; it changes no count.
+step that is the same for all shards. While they are counted, phrases are 64-bit keys; the counts of a step lie in
+buckets of the key, and totals over steps are added up without a shuffle. After the last cycle one scan
+names the phrases behind the slots of keys that reached the threshold and counts them by name, so keys
+that collide do no harm.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfgrid.llm.storage import drop, written
-from turfgrid.llm.text import mix
+from turfgrid.llm.text import mix, word_hashes
 from turfgrid.session import scratch_dir
+from turfgrid.sources.tables import write_bucketed
 
 SHARDS = 4
 LEAST = 10
@@ -43,17 +46,23 @@ _FOLD = bytes(_END if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b fo
 _BOUND = re.compile(r"[.,;:!?\x0A-\x0D]")
 _BLANK = re.compile(r"[\x20\x09]")
 _TEXT_PIECE = 1 << 20
-_TOKENS = 1_000_000
+_LOT = 1 << 21
+_HELD = 400_000
+_KEYS = 8_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Phrases of up to `longest` words that occur `least` times in a language; `slot_bits` sizes the arrays."""
+    """Phrases of up to `longest` words that occur `least` times in a language.
+
+    `slot_bits` and `name_bits` size the arrays that decide what is counted and named; too small ones cost time only.
+    """
 
     least: int = LEAST
     longest: int = LONGEST
     shards: int = SHARDS
-    slot_bits: int = 22
+    slot_bits: int = 23
+    name_bits: int = 26
     top: int = TOP
     covered: int = COVERED
 
@@ -97,130 +106,201 @@ def _words_back(text: str, start: int, stop: int, wanted: int) -> tuple[int, int
     return got, at
 
 
-class _Ids(dict):
-    """A number per word, 0 for the end of a piece, with a 64-bit hash for each."""
+class _Lot:
+    """Parts of texts of one language as bytes, looked at together when they are many."""
 
     def __init__(self):
-        super().__init__({bytes([_END]): 0})
-        self.next = count(1).__next__
+        self.parts, self.again, self.size = [], [], 0
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.next()
-        return number
+    def add(self, again: int, data: bytes) -> None:
+        self.parts.append(data)
+        self.again.append(again)
+        self.size += len(data) + 1
 
 
-class _Lot:
-    """Tokens of one language, counted when they are many."""
+def _slots_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def __init__(self):
-        self.ids, self.tokens, self.fresh, self.size = _Ids(), [], [], 0
 
-    def add(self, again: int, data: bytes) -> None:
-        words = data.replace(b"\xff", b" \xff ").split()
-        numbers = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        new = np.ones(numbers.size + 1, bool)
-        if again:  # the repeated words stand first, without an end between them
-            new[:again] = False
-        self.tokens.append(np.append(numbers, 0))
-        self.fresh.append(new)
-        self.size += numbers.size + 1
-
-
-def _slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int32)
-
-
-def _joined(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """The hash of a phrase from those of its beginning and its last word."""
-    return mix(hashes * np.uint64(0xD1342543DE82EF95) + more)
-
-
-def _tallied(lot: _Lot, lang: str, step: int, opened: list[np.ndarray], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, slot, n) of all phrases of a lot that are counted in this step."""
-    tokens, fresh = np.concatenate(lot.tokens), np.concatenate(lot.fresh)
-    names = [b"", *list(lot.ids)[1:]]
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))
-
-    # kind: for each place the number of the phrase of the present length that begins there, -1 for none
-    kind = np.where(tokens > 0, tokens, -1)
-    parts, kind_hash = [(np.arange(len(names)),)], hashes
-    begins = np.zeros(len(names), np.int64)  # step from which a kind is counted
-    for size in range(1, settings.longest + 1):
-        if size > 1:
-            # a phrase and the next one, which begins one place later, make one that is a word longer
-            both = np.full(kind.size, -1, np.int64)
-            open_from = opened[size - 2][_slots_of(kind_hash, settings.slot_bits)].astype(np.int64)
-            ready = (kind[:-1] >= 0) & (kind[1:] >= 0)
-            ready[ready] = np.maximum(open_from[kind[:-1][ready]], open_from[kind[1:][ready]]) <= step
-            at = np.flatnonzero(ready)
-            if not at.size:
-                return
-            distinct, first, inverse = np.unique(kind[at] * np.int64(kind_hash.size) + kind[at + 1], return_index=True, return_inverse=True)
-            both[at] = inverse
-            place = at[first]
-            begins = np.maximum(open_from[kind[place]], open_from[kind[place + 1]])
-            last = tokens[place + size - 1]
-            kind_hash = _joined(kind_hash[kind[place]], hashes[last])
-            parts = [tokens[place + k] for k in range(size)]
-            kind = both
-        else:
-            parts = [np.arange(len(names))]
-        # each phrase is counted where its last word is not a repeated one
-        ends = np.zeros(kind.size, bool)
-        ends[: kind.size - size + 1] = fresh[size - 1 :]
-        times = np.bincount(kind[(kind >= 0) & ends], minlength=kind_hash.size)
-        kept = np.flatnonzero((times > 0) & (begins <= step) & (step < begins + settings.shards))
-        if kept.size:
-            slots = _slots_of(kind_hash[kept], settings.slot_bits)
-            for low in range(0, kept.size, 100_000):
-                some = kept[low : low + 100_000]
-                phrases = [b" ".join([names[p] for p in row]).decode() for row in zip(*(p[some].tolist() for p in parts), strict=True)]
-                columns = [pa.array([lang] * some.size, pa.string()), pa.array(np.full(some.size, size, np.int8)), pa.array(phrases, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(slots[low : low + 100_000]), pa.array(times[some])], ["lang", "size", "phrase", "slot", "n"])
-
-
-def _scan(step: int, opened, settings: Settings):
-    """Counts of one shard; `opened` is a broadcast list of arrays, the step from which a slot is open."""
+def _joined(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The key of a phrase from that of its beginning and the hash of its last word."""
+    return mix(keys * np.uint64(0xD1342543DE82EF95) + words)
+
+
+class _Phrases:
+    """The words of a lot in order: place, hash, and the piece each stands in; and the phrases that they make.
+
+    Words and phrases are told apart by 64-bit hashes, seeded by the language.
+    """
+
+    def __init__(self, lot: _Lot, lang: str, settings: Settings):
+        self.settings, self.data = settings, bytes([_END]).join(lot.parts)
+        points = np.frombuffer(self.data, np.uint8)
+        ends = points == _END
+        points = np.where(ends | (points == 32), 0, points).astype(np.uint32)
+        inside = np.concatenate([[False], points != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.first, self.last = edges[::2], edges[1::2]
+        self.hashes = mix(word_hashes(points) + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        self.piece = np.cumsum(ends)[self.first] if self.first.size else self.first
+        self.fresh = np.ones(self.first.size, bool)
+        begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in lot.parts])])
+        for part, again in enumerate(lot.again):
+            if again:  # the words that a part repeats stand first in it
+                low = np.searchsorted(self.first, begins[part])
+                self.fresh[low : low + again] = False
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words, the place of each, and how often it occurs; a word that a part repeats is left out."""
+        at = np.flatnonzero(self.fresh)
+        keys, first, times = np.unique(self.hashes[at], return_index=True, return_counts=True)
+        return keys, at[first], times
+
+    def longer(self, opened: list[np.ndarray], step: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, places, keys, first step) of phrases from two words on whose parts are open in this step."""
+        bits = self.settings.slot_bits
+        places, keys = np.arange(self.first.size), self.hashes
+        for size in range(2, self.settings.longest + 1):
+            since = opened[size - 2][_slots_of(keys, bits)]
+            # a phrase and the next, which begins one place later, make one that is a word longer
+            together = (np.diff(places) == 1) & (self.piece[places[1:] + size - 2] == self.piece[places[:-1]])
+            first = np.flatnonzero(together & (np.maximum(since[:-1], since[1:]) <= step))
+            begins = np.maximum(since[first], since[first + 1])
+            places = places[first]
+            keys = _joined(keys[first], self.hashes[places + size - 1])
+            # counted where the last word is not a repeated one
+            new = self.fresh[places + size - 1]
+            yield size, places[new], keys[new], begins[new]
+
+    def text(self, place: int, size: int) -> str:
+        return b" ".join([self.data[self.first[k] : self.last[k]] for k in range(place, place + size)]).decode()
+
+
+def _lots(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[tuple[str, _Phrases]]:
+    """The texts of a task by language, in lots of bounded size."""
+    lots: defaultdict[str, _Lot] = defaultdict(_Lot)
+    held = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            name = UNKNOWN if lang is None else lang
+            for again, data in text_parts(text.as_py() or "", settings.longest):
+                lots[name].add(again, data)
+                held += len(data) + 1
+                if lots[name].size > _LOT:
+                    held -= lots[name].size
+                    yield name, _Phrases(lots.pop(name), name, settings)
+                if held > 8 * _LOT:  # many languages with little text each
+                    yield from ((n, _Phrases(lot, n, settings)) for n, lot in lots.items())
+                    lots.clear()
+                    held = 0
+    yield from ((name, _Phrases(lot, name, settings)) for name, lot in lots.items())
+
+
+_WORDS = "lang string, phrase string, key bigint, n bigint"
+
+
+def _count_words(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[str, dict[int, list]] = defaultdict(dict)
+
+        def out(lang: str) -> pa.RecordBatch:
+            rows = held.pop(lang)
+            names, times = pa.array([r[0].decode() for r in rows.values()], pa.string()), pa.array([r[1] for r in rows.values()], pa.int64())
+            keys = np.fromiter(rows, np.uint64, len(rows)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), names, pa.array(keys), times], ["lang", "phrase", "key", "n"])
+
+        for lang, phrases in _lots(batches, settings):
+            known = held[lang]
+            keys, places, times = phrases.words()
+            first, last, data = phrases.first[places].tolist(), phrases.last[places].tolist(), phrases.data
+            for key, a, b, n in zip(keys.tolist(), first, last, times.tolist(), strict=True):
+                if key in known:
+                    known[key][1] += n
+                else:
+                    known[key] = [data[a:b], n]
+            if len(known) > _HELD:
+                yield out(lang)
+        for lang in list(held):
+            yield out(lang)
+
+    return run
+
+
+def _count_keys(step: int, opened, settings: Settings):
+    """(size, key, n) of the longer phrases that are counted in this step; `opened` is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {size: [] for size in range(2, settings.longest + 1)}
+
+        def out(size: int) -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate([*held[size], np.zeros(0, np.uint64)]), return_counts=True)
+            held[size].clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, size, np.int8)), pa.array(keys.view(np.int64)), pa.array(times)], ["size", "key", "n"])
+
+        for _, phrases in _lots(batches, settings):
+            for size, _, keys, begins in phrases.longer(opened.value, step):
+                held[size].append(keys[begins.astype(np.int64) + settings.shards > step])
+                if sum(k.size for k in held[size]) > _KEYS:
+                    yield out(size)
+        for size in held:
+            yield out(size)
+
+    return run
+
+
+def _count_names(reached, settings: Settings):
+    """(lang, size, phrase, n) of longer phrases in slots that a key of their size has which reached the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots: defaultdict[str, _Lot] = defaultdict(_Lot)
-        held = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                for again, data in text_parts(text.as_py() or "", settings.longest):
-                    lot = lots[UNKNOWN if lang is None else lang]
-                    held -= lot.size
-                    lot.add(again, data)
-                    held += lot.size
-                    if held >= _TOKENS:
-                        for name, lot in lots.items():
-                            yield from _tallied(lot, name, step, opened.value, settings)
-                        lots.clear()
-                        held = 0
-        for name, lot in lots.items():
-            yield from _tallied(lot, name, step, opened.value, settings)
+        always = [np.where(_bits(b), 0, _CLOSED).astype(np.uint8) for b in reached.value["open"]]
+        held: defaultdict[tuple[str, int], dict[int, list]] = defaultdict(dict)
+
+        def out(lang: str, size: int) -> pa.RecordBatch:
+            rows = held.pop((lang, size)).values()
+            columns = [pa.array([lang] * len(rows), pa.string()), pa.array(np.full(len(rows), size, np.int8)), pa.array([r[0] for r in rows], pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64())], ["lang", "size", "phrase", "n"])
+
+        for lang, phrases in _lots(batches, settings):
+            for size, places, keys, _ in phrases.longer(always, 0):
+                slots = _slots_of(keys, settings.name_bits)
+                words = reached.value["named"][size - 2]
+                some = np.flatnonzero((words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1))
+                distinct, first, times = np.unique(keys[some], return_index=True, return_counts=True)
+                known = held[lang, size]
+                for key, place, n in zip(distinct.tolist(), places[some[first]].tolist(), times.tolist(), strict=True):
+                    if key in known:
+                        known[key][1] += n
+                    else:
+                        known[key] = [phrases.text(place, size), n]
+                if len(known) > _HELD:
+                    yield out(lang, size)
+        for lang, size in list(held):
+            yield out(lang, size)
 
     return run
 
 
-_COUNTS = "lang string, size byte, phrase string, slot int, n bigint"
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
 
 
-def _newly_open(totals: DataFrame, size: int, settings: Settings) -> np.ndarray:
-    """Slots of phrases of `size` words that have reached the threshold, as bits of 64-bit words."""
-    reached = totals.where((F.col("size") == size) & (F.col("n") >= settings.least))
-    words = reached.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits")).toArrow()
-    bits = np.zeros(1 << (settings.slot_bits - 6), np.uint64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+def _slot_words(reached: DataFrame, bits: int) -> np.ndarray:
+    """The slots of the keys of a table as one array of bits, 64 to a word."""
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")
+    words = reached.select(F.shiftrightunsigned(slot, 6).alias("word"), bit.alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(lang, size, phrase, n): all words, and the phrases up to `longest` words whose parts are frequent.
+    """(lang, size, phrase, n): all words, and the phrases up to `longest` words that occur `least` times; n is exact.
 
-    n is exact for each phrase that is in the table, and each phrase that occurs `least` times is in it.
-    The number of steps is the number of shards plus, at most, that number again for each further length.
+    The number of steps is the number of shards plus, at most, that number again for each further length, and
+    then each shard is read once more for the names. What the driver gets and the tasks hold besides a lot of
+    texts are arrays of 2^slot_bits bytes and 2^name_bits bits per length.
     """
     spark = docs.sparkSession
     folder = scratch_dir(spark, "shards")
@@ -228,26 +308,55 @@ def counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     dealt = docs.select("lang", "text", F.pmod(F.monotonically_increasing_id(), F.lit(settings.shards)).cast("int").alias("shard"))
     dealt.where("text is not null").write.partitionBy("shard").parquet(folder)
     shards = spark.read.schema("lang string, text string, shard int").parquet(folder)
+    buckets = min(20_000, max(8, shards.count() // 4_000))
 
     opened = [np.full(1 << settings.slot_bits, _CLOSED, np.uint8) for _ in range(settings.longest - 1)]
-    totals, step, last = None, 0, settings.shards
+    words, by_key, tables, reached, step, last = None, None, [], {}, 0, settings.shards
     while step < last:
-        shipped = spark.sparkContext.broadcast(opened)
-        scanned = shards.where(F.col("shard") == step % settings.shards).select("lang", "text").mapInArrow(_scan(step, shipped, settings), _COUNTS)
-        rows = scanned if totals is None else totals.unionByName(scanned)
-        found = written(rows.groupBy("lang", "size", "phrase", "slot").agg(F.sum("n").alias("n")), "counts")
-        if totals is not None:
-            drop(totals)
-        totals, step = found, step + 1
-        shipped.unpersist()
+        shard = shards.where(F.col("shard") == step % settings.shards).select("lang", "text")
+        if step < settings.shards:
+            scanned = shard.mapInArrow(_count_words(settings), _WORDS)
+            total = written((scanned if words is None else words.unionByName(scanned)).groupBy("lang", "phrase", "key").agg(F.sum("n").alias("n")), "words")
+            if words is not None:
+                drop(words)
+            words = total
+            reached[1] = words.where(F.col("n") >= settings.least).select("key")
+        if step > 0:
+            shipped = spark.sparkContext.broadcast(opened)
+            found = shard.mapInArrow(_count_keys(step, shipped, settings), "size byte, key bigint, n bigint")
+            path = scratch_dir(spark, "keys")
+            stored = write_bucketed(found.repartition(buckets, "key").groupBy("key", "size").agg(F.sum("n").alias("n")), path, "key", buckets)
+            shipped.destroy()
+            by_key = stored if by_key is None else by_key.union(stored)
+            tables.append(stored)
+            for size in range(2, settings.longest + 1):
+                of_size = by_key.where(F.col("size") == size).groupBy("key").agg(F.sum("n").alias("n"))
+                reached[size] = of_size.where(F.col("n") >= settings.least).select("key")
+        step += 1
         opened = [x.copy() for x in opened]
         for size in range(1, settings.longest):
-            new = _newly_open(totals, size, settings) & (opened[size - 1] == _CLOSED)
-            if new.any():
-                opened[size - 1][new] = step
-                # phrases over these slots are counted for one cycle from this step on
-                last = max(last, step + settings.shards)
-    return totals.select("lang", "size", "phrase", "n")
+            # a length is counted until a cycle after its last slot was opened; then nothing is added to it
+            ends = settings.shards if size == 1 else int(opened[size - 2][opened[size - 2] < _CLOSED].max(initial=0)) + settings.shards
+            if size in reached and step <= ends:
+                new = _bits(_slot_words(reached[size], settings.slot_bits)) & (opened[size - 1] == _CLOSED)
+                if new.any():
+                    opened[size - 1][new] = step
+                    last = max(last, step + settings.shards)  # these are counted for one cycle from here on
+    names = words.select("lang", F.lit(1).cast("byte").alias("size"), "phrase", "n")
+    if settings.longest == 1 or by_key is None:
+        return names
+    marks = {
+        "open": [_slot_words(reached[size], settings.slot_bits) for size in range(1, settings.longest)],
+        "named": [_slot_words(reached[size], settings.name_bits) for size in range(2, settings.longest + 1)],
+    }
+    shipped = spark.sparkContext.broadcast(marks)
+    named = shards.select("lang", "text").mapInArrow(_count_names(shipped, settings), "lang string, size byte, phrase string, n bigint")
+    longer = named.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.least)
+    counted = written(names.unionByName(longer), "counts")
+    shipped.destroy()
+    for table in tables:
+        drop(table)
+    return counted
 
 
 def _ranked(scored: DataFrame, top: int) -> DataFrame:
