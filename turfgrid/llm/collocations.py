@@ -325,7 +325,7 @@ def counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             shipped = spark.sparkContext.broadcast(opened)
             found = shard.mapInArrow(_count_keys(step, shipped, settings), "size byte, key bigint, n bigint")
             path = scratch_dir(spark, "keys")
-            stored = write_bucketed(found.repartition(buckets, "key").groupBy("key", "size").agg(F.sum("n").alias("n")), path, "key", buckets)
+            stored = write_bucketed(found.repartition(buckets, "key").groupBy("key", "size").agg(F.sum("n").alias("n")), path, "key", buckets, laid=True)
             shipped.destroy()
             by_key = stored if by_key is None else by_key.union(stored)
             tables.append(stored)
