@@ -280,3 +280,35 @@ def test_pipeline_stages(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_sketch_marks_what_several_texts_share(spark):
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(base[i * 20 : i * 20 + 30] + [f"u{i}x{k}" for k in range(draw.randrange(5, 60))])) for i in range(8)]
+    rows += [(20, rows[0][1]), (21, None), (22, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    settings = ngram_join.Settings(words=3, slot_bits=20)
+    bits = ngram_join.shared_slots(docs, settings)
+    counts = defaultdict(int)
+    for _, text in rows:
+        for slot in ngram_join._slot_of(ngram_join.shingles(text, 3), settings).tolist():
+            counts[slot] += 1
+    marked = {s for s in range(1 << 20) if bits[s >> 5] >> (s & 31) & 1}
+    assert marked == {s for s, n in counts.items() if n > 1} and len(marked) > 50
+    assert not ngram_join.shared_slots(docs.limit(0), settings).any()
+
+
+def test_large_group_of_sets_that_do_not_link(spark, monkeypatch):
+    """Texts that share half of their n-grams with all others: many candidates, no links, few pairs to verify."""
+    draw = random.Random(2)
+    rows = []
+    for i in range(400):
+        rows.append((i, " ".join(f"s{k}" if draw.random() < 0.93 else f"u{i}x{k}" for k in range(120))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = []
+    plain = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    found = ngram_join.join(docs, ngram_join.Settings(words=5, least=80)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, ngram_join.Settings(words=5, least=80))
+    assert sum(made) <= 2 * len(rows)

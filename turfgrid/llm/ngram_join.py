@@ -1,6 +1,8 @@
 """Jaccard join of word n-gram sets over prefix trees, and the components that its links make.
 
-The sets are kept in one global order: rare n-grams before frequent ones, by hash within either class. Two
+The sets are kept in one global order: n-grams that nothing else shares, by a sketch over the n-grams of all
+documents, then other rare ones, then frequent ones, by hash within a class. A set with enough n-grams of its
+own has nothing else in its prefix and is shuffled no further. Two
 sets that link share an n-gram of their prefixes (the first n - ceil(t n) + 1). For each shared n-gram the
 rest of the prefixes of its sets is stored in a trie; a set walks the trie with one running overlap for all
 sets below a node and leaves a subtree as soon as the overlap so far and the n-grams that remain cannot
@@ -40,7 +42,7 @@ class Settings:
     """Link when of * intersection >= least * union, over n-grams of `words` words.
 
     `frequent`, `together` and `most_frequent` (a bound on a list sent to the tasks) shape the global order
-    only; any order gives the same links. `slot_bits` is the size of a filter of n-grams, 16 MB at 27. A trie
+    only; any order gives the same links. `slot_bits` (16 at least) is the size of a sketch of all n-grams, 16 MB at 27. A trie
     holds up to `rest` n-grams of each set; what lies beyond counts as if it were shared.
     """
 
@@ -106,7 +108,7 @@ def frequent_grams(docs: DataFrame, settings: Settings) -> np.ndarray:
     return np.sort(top.column("gram").to_numpy())
 
 
-_SETS = "doc_id bigint, n int, key_a bigint, key_b bigint, rare int, prefix array<bigint>, parity binary"
+_SETS = "doc_id bigint, n int, key_a bigint, key_b bigint, rare int, own int, prefix array<bigint>, parity binary"
 _LEAST_BITS, _MOST_BITS = 64, 1 << 16
 
 
@@ -134,10 +136,12 @@ def may_link(n: int, one: bytes, m: int, two: bytes, settings: Settings) -> bool
     return (n + m - apart.bit_count()) // 2 >= settings.needed(n, m)
 
 
-def _prefixes(frequent: np.ndarray, settings: Settings):
+def _prefixes(frequent: np.ndarray, shared, settings: Settings):
+    """Sets with the n-grams of their prefix that others may have; `own` n-grams that no other has come before these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys_a, keys_b, rare, prefixes, bits = [], [], [], [], [], []
+            sizes, keys_a, keys_b, rare, owned, prefixes, bits = [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, settings.words)
                 sizes.append(found.size)
@@ -149,11 +153,16 @@ def _prefixes(frequent: np.ndarray, settings: Settings):
                 if frequent.size:
                     common = frequent[np.minimum(np.searchsorted(frequent, found), frequent.size - 1)] == found
                 rare.append(int(found.size - common.sum()))
+                slots = _slot_of(found, settings)
+                alone = (shared.value[slots >> 5] >> (slots & 31).astype(np.uint32)) & np.uint32(1) == 0
+                alone &= ~common
                 length = settings.prefix(found.size) if found.size else 0
-                ordered = np.concatenate([found[~common][:length], found[common] + (1 << _FREQUENT_BIT)])
-                prefixes.append(ordered[:length])
-            ints = [pa.array(x, t) for x, t in ((sizes, pa.int32()), (keys_a, pa.int64()), (keys_b, pa.int64()), (rare, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, _lists(prefixes), pa.array(bits, pa.binary())], ["doc_id", "n", "key_a", "key_b", "rare", "prefix", "parity"])
+                own = min(length, int(alone.sum()))
+                owned.append(own)
+                ordered = np.concatenate([found[~common & ~alone][: length - own], found[common] + (1 << _FREQUENT_BIT)])
+                prefixes.append(ordered[: length - own])
+            ints = [pa.array(x, t) for x, t in ((sizes, pa.int32()), (keys_a, pa.int64()), (keys_b, pa.int64()), (rare, pa.int32()), (owned, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, _lists(prefixes), pa.array(bits, pa.binary())], ["doc_id", "n", "key_a", "key_b", "rare", "own", "prefix", "parity"])
 
     return run
 
@@ -296,48 +305,94 @@ def verified(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame
     return links
 
 
+_CHUNK_BITS = 16
+_HELD_GRAMS = 8_000_000
+
+
+def _packed(slots: np.ndarray) -> bytes:
+    """Ascending distinct numbers as steps of one byte; 255 stands for 255 and more to come."""
+    steps = np.diff(slots, prepend=-1).astype(np.int64)
+    more = steps // 255
+    ends = np.cumsum(more + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if ends.size else 0, 255, np.uint8)
+    out[ends] = steps % 255
+    return out.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255] - 1
+
+
 def _slots(settings: Settings):
-    """The slots that the prefixes of a batch fall into, with how often."""
+    """By chunk of slots: those that the n-grams of some rows fall into, and those that several do."""
+
+    def rows(grams: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.sort(_slot_of(np.concatenate(grams), settings))
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if slots.size else np.zeros(0, int)
+        times, slots = np.diff(np.concatenate([first, [slots.size]])), slots[first]
+        cuts = np.searchsorted(slots, np.arange((1 << settings.slot_bits) + 1, step=1 << _CHUNK_BITS))
+        columns: list[list] = [[], [], []]
+        for chunk in np.flatnonzero(np.diff(cuts)).tolist():
+            here = slots[cuts[chunk] : cuts[chunk + 1]] - (chunk << _CHUNK_BITS)
+            again = here[times[cuts[chunk] : cuts[chunk + 1]] > 1]
+            for column, value in zip(columns, (chunk, _packed(here), _packed(again)), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "once", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.int64)], 0
         for batch in batches:
-            slots = np.sort(_slot_of(batch.column("prefix").flatten().to_numpy(), settings))
-            first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if slots.size else np.zeros(0, int)
-            times = np.diff(np.concatenate([first, [slots.size]]))
-            yield pa.RecordBatch.from_arrays([pa.array(slots[first], pa.int32()), pa.array(np.minimum(times, 2), pa.int32())], ["slot", "times"])
+            for text in batch.column("text"):
+                held.append(shingles(text.as_py(), settings.words))
+                size += held[-1].size
+                if size > _HELD_GRAMS:
+                    yield rows(held)
+                    held, size = [np.zeros(0, np.int64)], 0
+        yield rows(held)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk, whose rows follow each other: the bits of slots that two rows or more, or one row twice, fall into."""
+    chunk, seen, twice = None, None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+    for batch in batches:
+        for at, once, again in zip(*(batch.column(c).to_pylist() for c in ("chunk", "once", "again")), strict=True):
+            if at != chunk:
+                if chunk is not None:
+                    yield out()
+                chunk, seen, twice = at, np.zeros(1 << _CHUNK_BITS, bool), np.zeros(1 << _CHUNK_BITS, bool)
+            slots = _unpacked(once)
+            twice[slots[seen[slots]]] = True
+            twice[_unpacked(again)] = True
+            seen[slots] = True
+    if chunk is not None:
+        yield out()
+
+
 def _slot_of(grams: np.ndarray, settings: Settings) -> np.ndarray:
     return (T.mix(grams) >> np.uint64(64 - settings.slot_bits)).astype(np.int32)
 
 
-def _likely_shared(sets: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n, rare, place, gram) of the prefix n-grams in slots that more than one fell into.
+def shared_slots(docs: DataFrame, settings: Settings) -> np.ndarray:
+    """One array of bits of a fixed size: the slots that more than one n-gram of all documents falls into."""
+    chunks = docs.select("text").mapInArrow(_slots(settings), "chunk int, once binary, again binary")
+    merged = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merged, "chunk int, bits binary").toArrow()
+    bits = np.zeros((1 << max(0, settings.slot_bits - _CHUNK_BITS), 1 << (_CHUNK_BITS - 3)), np.uint8)
+    for chunk, line in zip(merged.column("chunk").to_pylist(), merged.column("bits").to_pylist(), strict=True):
+        bits[chunk] = np.frombuffer(line, np.uint8)
+    return bits.reshape(-1).view(np.uint32)
 
-    The slots are one array of bits of a fixed size, made by aggregation. It keeps most n-grams of a single set
-    from being shuffled; those that it lets through are counted exactly afterwards.
-    """
-    filled = sets.select("prefix").mapInArrow(_slots(settings), "slot int, times int").groupBy("slot").agg(F.sum("times").alias("times")).where("times > 1")
-    words = filled.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1, slot & 31)")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (settings.slot_bits - 5), np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint32)
-    context = sets.sparkSession.sparkContext
-    shipped = context.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("prefix").flatten().to_numpy()
-            lengths = np.asarray(batch.column("prefix").value_lengths())
-            slots = _slot_of(grams, settings)
-            kept = np.flatnonzero((shipped.value[slots >> 5] >> (slots & 31).astype(np.uint32)) & np.uint32(1))
-            rows = np.repeat(np.arange(lengths.size), lengths)[kept]
-            places = (np.arange(grams.size) - np.repeat(np.cumsum(lengths) - lengths, lengths))[kept]
-            own = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "n", "rare")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(grams[kept])], ["doc_id", "n", "rare", "place", "gram"])
 
-    return sets.select("doc_id", "n", "rare", "prefix").mapInArrow(run, "doc_id bigint, n int, rare int, place int, gram bigint")
+def _likely_shared(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, rare, place, gram) of the prefix n-grams in slots that more than one fell into; counted exactly afterwards."""
+    placed = sets.select("doc_id", "n", "rare", "own", F.posexplode("prefix").alias("at", "gram"))
+    return placed.select("doc_id", "n", "rare", (F.col("own") + F.col("at")).alias("place"), "gram")
 
 
 def _sizes(settings: Settings) -> list[F.Column]:
@@ -414,9 +469,10 @@ def _met(shared: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settin
     kinds = kinds.groupBy("gram").agg(F.sum("__sets").alias("__all"), F.max(F.struct("__sets", "component")).alias("__main"))
     kinds = kinds.where(F.col("__all") > F.col("__main.__sets"))
     left = broadcast_if_small(marked.select("doc_id").distinct())
-    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "prefix", "parity").join(left, "doc_id", "left_semi"), "doc_id")
-    length = F.greatest(F.least(F.size("prefix") - F.col("place") - 1, F.lit(settings.rest)), F.lit(0))
-    rest = F.transform(F.slice("prefix", F.col("place") + 2, length), lambda x: F.shiftright(x, _ROUGH_SHIFT).cast("int"))
+    rows = marked.join(kinds, "gram").join(sets.select("doc_id", "own", "prefix", "parity").join(left, "doc_id", "left_semi"), "doc_id")
+    following = F.col("place") - F.col("own") + 1
+    length = F.greatest(F.least(F.size("prefix") - following, F.lit(settings.rest)), F.lit(0))
+    rest = F.transform(F.slice("prefix", following + 1, length), lambda x: F.shiftright(x, _ROUGH_SHIFT).cast("int"))
     asking = F.ceil((F.col("__all") - F.col("__main.__sets")) / settings.block).cast("int")
     stored = F.ceil(F.col("__all") / settings.block).cast("int")
     rows = rows.withColumn("rest", rest).withColumn("__asking", asking).withColumn("__stored", stored)
@@ -444,7 +500,9 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     no rows; other columns play no part.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = written(narrow.mapInArrow(_prefixes(frequent_grams(narrow, settings), settings), _SETS), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_slots(narrow, settings))
+    found = written(narrow.mapInArrow(_prefixes(frequent_grams(narrow, settings), shared, settings), _SETS), "sets")
+    shared.destroy()
     slim = found.select("doc_id", "n", "key_a", "key_b")
     named = slim.where("n > 0 and doc_id is not null")
     keys = written(named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("same")), "keys")
@@ -452,7 +510,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     again = broadcast_if_small(written(again, "again"))
     sets = found.where("n > 0 and doc_id is not null").join(again, ["doc_id", "key_a", "key_b"], "left_anti")
 
-    shared = written(_shared(written(_likely_shared(sets, settings), "likely"), settings), "shared")
+    shared = written(_shared(written(_likely_shared(sets), "likely"), settings), "shared")
     lively = written(_shared(_lively(shared, settings), settings).drop("demand"), "lively")
     drop(shared)
     shared = lively

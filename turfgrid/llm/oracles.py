@@ -87,7 +87,19 @@ kept as (select b.* from best b left join inside i on i.lang = b.lang and i.phra
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as "rank", phrase, a, l, r, cast(t.n as bigint) n, cast(score as bigint) score
  from kept join totals t using (lang) qualify "rank" <= {collocations.TOP}"""
 
+NGRAMS = rf"""with recursive worded as (select doc_id, coalesce(regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+'), []) w from documents),
+grams as materialized (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+ when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from worded),
+sizes as materialized (select doc_id, count(*) n from grams group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+sided as materialized (select a, b from links union all select b, a from links),
+reached as (select a id, b other from sided union select r.id, s.b from reached r join sided s on s.a = r.other)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, least(d.doc_id, coalesce(c.least_id, d.doc_id)) component_id
+ from documents d left join sizes s on s.doc_id = d.doc_id left join (select id, min(other) least_id from reached group by id) c on c.id = d.doc_id"""
+
 ORACLES = {
+    "op8_ngram_join": NGRAMS,
     "op4_sharding": SHARDING,
     "op6_mixing": MIXING,
     "op11_spelling_variants": VARIANTS,
