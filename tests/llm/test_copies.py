@@ -38,6 +38,14 @@ def brute(docs, settings):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_a_word_may_hold_the_character_0():
+    from turfgrid.llm import text as T
+
+    texts = ["a\x00b", "ab", "a\x00", "a", "\x00", "\x00\x00"]
+    hashes = [T.hashed_words(t, T.spaced).tolist() for t in texts]
+    assert all(len(h) == 1 for h in hashes) and len({h[0] for h in hashes}) == len(texts)
+
+
 def copies(seed, groups=12, size=14, words=60):
     draw, rows = random.Random(seed), []
     vocabulary = [f"w{i}" for i in range(40)] + ["the", "of", "THE", "Of"]

@@ -159,6 +159,16 @@ def test_phrases_are_ranked(phrases):
     assert collocations.find(phrases.limit(0)).count() == 0
 
 
+def test_words_hold_any_other_character(spark):
+    odd = ["\x00", "a\x00b", "a\x00", "a", "b\x00\x00", "\x0e\x1f", "\x7f", "\x85", "\xa0x", "\u2028", "\u3000", "\ufeff", "É", "İ", "\U0001f600", "\xff", "ÿ"]
+    draw = np.random.default_rng(9)
+    texts = ["".join(str(w) + str(draw.choice([" ", " ", "\t", ". ", "\r\n"])) for w in draw.choice(odd, 60)) for _ in range(120)]
+    rows = spark.createDataFrame(rows_of(texts, ("en", None, "", "und")), DOCS)
+    want = brute_counts([("und" if r.lang is None else r.lang or "none", r.text) for r in rows.collect()])
+    got = {(r.lang or "none", r.phrase): r.n for r in collocations.counts(rows, collocations.Settings(least=3)).collect()}
+    assert got == {(lang, p): n for lang in want for p, n in want[lang].items() if n >= 3 or " " not in p}
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3 * 10**12
     table = [("en", 1, "a", 7 * 10**12), ("en", 1, "b", 5 * 10**12), ("en", 2, "a b", big)]
