@@ -159,6 +159,16 @@ def test_phrases_are_ranked(phrases):
     assert collocations.find(phrases.limit(0)).count() == 0
 
 
+def test_keys_are_gone_through_for_one_cycle_only(phrases, monkeypatch):
+    """A step reads the counts of the last cycle to open phrases; all counts are read once, for the longest."""
+    read = []
+    slots = collocations._slot_words
+    monkeypatch.setattr(collocations, "_slot_words", lambda table, bits: read.append(len({f.rpartition("/")[0] for f in table.inputFiles()})) or slots(table, bits))
+    settings = collocations.Settings(least=3, shards=2)
+    assert collocations.counts(phrases, settings).count() and max(read[:-2]) <= settings.shards
+    assert len([n for n in read if n > settings.shards]) <= 1
+
+
 def test_words_hold_any_other_character(spark):
     odd = ["\x00", "a\x00b", "a\x00", "a", "b\x00\x00", "\x0e\x1f", "\x7f", "\x85", "\xa0x", "\u2028", "\u3000", "\ufeff", "É", "İ", "\U0001f600", "\xff", "ÿ"]
     draw = np.random.default_rng(9)
