@@ -1,6 +1,7 @@
 """Channels against a cell-by-cell count written from their definitions."""
 
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -164,3 +165,31 @@ def test_stored_surfaces_join_without_an_exchange(spark, handmade):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
     joined = stored.hint("merge").join(wanted, "pass_id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in joined and "Exchange" not in joined
+
+
+def test_surfaces_of_one_cell_are_written_small_and_unshuffled(spark, handmade):
+    first = jobs.prepare(handmade).where("pass_id = 1").drop("pass_id")
+    located = first.crossJoin(spark.range(60).withColumnRenamed("id", "pass_id"))
+    coefficients = [0.0, 0.0, -0.03, -0.01, 0.5, 0.0, 0.25] + [0.0] * 10
+    scored = surfaces.linear_surfaces(tables.by_game(located), coefficients, 0.5, keys=("pass_id", "game_id"))
+    path = scratch_dir(spark, "surfaces")
+    tables.write_surfaces(scored, path)
+    stored = spark.read.parquet(path)
+    sizes = [f.stat().st_size for f in pathlib.Path(path).rglob("*.parquet")]
+    assert len(sizes) <= 4 and sum(sizes) < 60 * 7072 * 4 / 10
+    assert sorted(map(tuple, stored.select("pass_id", "surface").collect())) == sorted(map(tuple, scored.select("pass_id", "surface").collect()))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_stored_surfaces_are_neither_sorted_nor_shuffled(spark, handmade):
+    located = jobs.prepare(handmade)
+    laid = located.repartition(4, "pass_id").sortWithinPartitions("ball_y", "ball_x")
+    scored = surfaces.linear_surfaces(laid, [0.0, 0.0, 1.0] + [0.0] * 14, 0.0, head="none").select("pass_id", "surface")
+    stored = tables.write_bucketed(scored, scratch_dir(spark, "surfaces"), buckets=4, laid=True, ordered=False, packed=True)
+    wanted = tables.write_bucketed(located.select("pass_id", "dest_y", "dest_x"), scratch_dir(spark, "passes"), buckets=4)
+    found = surfaces.stored_pixel(stored, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    want = {r.pass_id: r.p for r in channels.values_at_destination(located, 3).collect()}
+    got = {r.pass_id: r.p for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
