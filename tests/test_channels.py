@@ -193,3 +193,18 @@ def test_stored_surfaces_are_neither_sorted_nor_shuffled(spark, handmade):
     want = {r.pass_id: r.p for r in channels.values_at_destination(located, 3).collect()}
     got = {r.pass_id: r.p for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+
+
+def test_channels_of_the_ball_are_made_once_per_ball_cell(spark, handmade, monkeypatch):
+    asked, cells = {}, channels.dense_cells
+    monkeypatch.setattr(channels, "dense_cells", lambda passes, numbers, pitch: asked.update({numbers: passes.count()}) or cells(passes, numbers, pitch))
+    many = handmade.crossJoin(spark.range(5).withColumnRenamed("id", "again")).withColumn("pass_id", F.expr("10 * pass_id + again")).drop("again")
+    many = many.withColumn("ball_x_start", F.expr("if(pass_id = 13, cast('NaN' as double), ball_x_start)"))
+    located = jobs.prepare(many.select(handmade.columns))
+    totals = {"n": lambda v, cell: F.count("*"), "s": lambda v, cell: F.sum(F.floor(v.cast("double") * 1e6)), "w": lambda v, cell: F.sum(F.floor(v.cast("double") * 1e6) * cell)}
+    found = sorted(map(str, channels.channel_totals(located, totals).collect()))
+    assert asked == {channels.FIELDS: located.select("ball_y", "ball_x").distinct().count(), channels.COUNTED: located.count()}
+    assert asked[channels.FIELDS] < asked[channels.COUNTED]
+    stack = channels.channel_stack(located).withColumn("cell", F.expr("y * 104 + x"))
+    want = stack.groupBy("pass_id", "channel").agg(*[t(F.col("value"), F.col("cell")).alias(n) for n, t in totals.items()])
+    assert found == sorted(map(str, want.collect()))
