@@ -119,3 +119,17 @@ def test_stream_equals_batch(spark, handmade):
     streaming.append_to(streaming.located_stream(stream), sink, mark).awaitTermination()
     rows = lambda located: sorted(str(r) for r in channels.sparse_channels(located).collect())
     assert rows(tables.read_table(spark, sink)) == rows(prepare(handmade))
+
+
+def test_spread_slots_search_a_list_of_numbers(spark, handmade):
+    from turfgrid.operators.slots import spread_slots
+
+    twice = handmade.withColumn("slots", F.expr("concat(slice(slots, 3, 20), slots)"))  # slot 3 and later stand there twice: the first counts
+    odd = twice.withColumn("slots", F.expr("if(pass_id = 4, null, transform(slots, (s, i) -> if(i = 1, null, s)))"))
+    wide = spread_slots(odd, [5, 1, 77])
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambda slots") <= 1 and "filter(slots" not in plan
+    for r, w in zip(odd.orderBy("pass_id").collect(), wide.orderBy("pass_id").collect(), strict=True):
+        for n in (5, 1, 77):
+            own = next((s for s in r.slots or [] if s and s.slot == n), None)
+            assert repr([w[f"x_player_{n}"], w[f"vy_player_{n}"], w[f"original_pId_player_{n}"]]) == repr([own.x, own.vy, own.orig_id] if own else [None] * 3)
