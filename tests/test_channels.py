@@ -208,3 +208,19 @@ def test_channels_of_the_ball_are_made_once_per_ball_cell(spark, handmade, monke
     stack = channels.channel_stack(located).withColumn("cell", F.expr("y * 104 + x"))
     want = stack.groupBy("pass_id", "channel").agg(*[t(F.col("value"), F.col("cell")).alias(n) for n, t in totals.items()])
     assert found == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("number", channels.DENSE)
+def test_sums_of_a_dense_channel_need_no_row_per_cell(handmade, number):
+    located = prepare(handmade)
+    lost = located.where("pass_id = 1").withColumn("pass_id", F.lit(9).cast("bigint"))
+    lost = lost.withColumns({c: F.lit(None).cast("int") for c in ("ball_y", "ball_x", "ball_step")})
+    located = located.unionByName(lost)
+    one = lambda c: F.lit(1).cast("bigint")
+    floored = lambda v: F.floor(v * 1e6)
+    found = channels.channel_sums(located, number, {"n": (one, one), "s": (floored, one), "w": (floored, lambda c: (c + 1).cast("bigint"))})
+    v, cell = F.floor(F.col("value") * 1e6), (F.col("y") * 104 + F.col("x") + 1).cast("bigint")
+    cells = channels.channel(located, number).groupBy("pass_id")
+    want = cells.agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * cell).alias("w"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert found.count() == 5
