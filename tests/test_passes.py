@@ -7,7 +7,7 @@ from tests.conftest import PASSES
 from turfgrid.operators import channels, slots, validate
 from turfgrid.plans.jobs import prepare
 from turfgrid.session import scratch_dir
-from turfgrid.sources import games, tables
+from turfgrid.sources import fixture, games, tables
 from turfgrid.streaming import passes as streaming
 
 
@@ -133,3 +133,24 @@ def test_spread_slots_search_a_list_of_numbers(spark, handmade):
         for n in (5, 1, 77):
             own = next((s for s in r.slots or [] if s and s.slot == n), None)
             assert repr([w[f"x_player_{n}"], w[f"vy_player_{n}"], w[f"original_pId_player_{n}"]]) == repr([own.x, own.vy, own.orig_id] if own else [None] * 3)
+
+
+def test_slots_of_the_fixture_are_those_of_its_rules(spark):
+    ids = spark.createDataFrame([(None,), (-37,), (0,), (7,), (29,), (35_000_005,), (1 << 40,)], "event_id bigint")
+    fields = ", ".join(
+        f"'{n}', cast({sql} as {'bigint' if n in ('slot', 'orig_id', 'slot_team') else 'double'})" for n, sql in fixture.slot_fields("event_id", "k").items()
+    )
+    want = ids.select(F.expr(f"transform(sequence(1L, {fixture.SLOTS}L), k -> named_struct({fields}))").alias("slots"))
+    found = fixture.passes_from_ids(ids)
+    assert [r.slots for r in found.collect()] == [r.slots for r in want.collect()]
+    # neither the slots nor the passer are worked out by a function of each slot
+    plan = slots.attach_carrier(slots.resolve_passer(found)).select("carrier_vx")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_passes_stay_where_they_are_when_a_game_is_searched(spark):
+    passes = spark.createDataFrame([_pass(i, i % 3, 11 + i % 2) for i in range(1, 41)], PASSES)
+    near, far = (slots.resolve_passer_by_game(passes.repartition(4, "pass_id"), max_broadcast=n) for n in (100, 0))
+    assert sorted((r.pass_id, r.carrier_slot) for r in near.collect()) == sorted((r.pass_id, r.carrier_slot) for r in far.collect())
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
