@@ -151,6 +151,21 @@ def test_slots_of_the_fixture_are_those_of_its_rules(spark):
 def test_passes_stay_where_they_are_when_a_game_is_searched(spark):
     passes = spark.createDataFrame([_pass(i, i % 3, 11 + i % 2) for i in range(1, 41)], PASSES)
     near, far = (slots.resolve_passer_by_game(passes.repartition(4, "pass_id"), max_broadcast=n) for n in (100, 0))
-    assert sorted((r.pass_id, r.carrier_slot) for r in near.collect()) == sorted((r.pass_id, r.carrier_slot) for r in far.collect())
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.pass_id, r.carrier_slot) for r in near.collect()) == sorted((r.pass_id, r.carrier_slot) for r in far.collect())
+
+
+def test_players_of_odd_passes(spark):
+    """No slots, none of a team, positions missing, infinite and off the pitch, velocities missing."""
+    nan, inf = float("nan"), float("inf")
+    seats = [(1, 1, 1, 0.0, 0.0, nan, 1.0), (2, 2, None, 1.0, 1.0, 1.0, 1.0), None, (3, 3, 1, inf, -inf, None, 2.0), (4, 4, 2, nan, 0.0, 1.0, 1.0), (5, 5, 2, 0.0, None, 1.0, 1.0), (6, 6, 2, 99.0, 99.0, 3.0, 4.0)]
+    ends = ("C", 0.0, 0.0, 1.0, 1.0)
+    rows = [(1, 1, 1, 1, *ends, seats), (2, 1, None, 1, *ends, seats), (3, 1, 1, 1, *ends, []), (4, 1, 1, 1, *ends, None)]
+    found = {r.pass_id: r for r in prepare(spark.createDataFrame(rows, PASSES)).collect()}
+    places = lambda players: [(p.cell // 104, p.cell % 104) for p in players]
+    assert places(found[1].att) == [(34, 52), (0, 103)] and places(found[1]["def"]) == [(67, 103)]
+    assert found[2].att == [] and places(found[2]["def"]) == [(34, 52), (0, 103), (67, 103)]
+    assert found[1].att[1].vx is None and found[1].att[0].vx != found[1].att[0].vx and found[1].att[1].vy == 2.0
+    assert (found[3].att, found[3]["def"], found[3].n_att) == ([], [], 0) and found[4].att is None and found[4]["def"] is None
+    assert found[1].att[1].step == ((2 * 103 + 1 - 2 * 103) ** 2 + (1 - 2 * 34) ** 2 - 2) // 8
