@@ -4,12 +4,13 @@ import math
 import pathlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from turfgrid import Pitch
 from turfgrid.functions.cells import missing
-from turfgrid.operators import audit, channels, surfaces
+from turfgrid.operators import audit, channels, row_raster, surfaces
 from turfgrid.operators.audit import as_matrix, channel_slice, nan_channels, pass_audit
 from turfgrid.operators.fit import destination_features
 from turfgrid.operators.slots import resolve_passer
@@ -224,3 +225,29 @@ def test_sums_of_a_dense_channel_need_no_row_per_cell(handmade, number):
     want = cells.agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * cell).alias("w"))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     assert found.count() == 5
+
+
+def test_a_stack_is_reduced_where_it_is_made(handmade):
+    located = prepare(handmade)
+
+    def sums(stacks):
+        return [pa.array(np.nan_to_num(stacks).astype(np.float64).sum(axis=(1, 2, 3)))]
+
+    found = {r.pass_id: r.total for r in channels.dense_row(located, fold=sums, fields="total double").collect()}
+    want = {r.pass_id: np.nan_to_num(np.array(r.stack, dtype=np.float32)).astype(np.float64).sum() for r in channels.dense_row(located).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize(("chosen", "k"), [((1, 2, 13, 14, 15), 5), ((3, 10), 3), ((1, 8), 1)])
+def test_rasters_are_convolved_where_they_are_made(spark, handmade, chosen, k):
+    located = prepare(handmade)
+    i, n = F.col("id"), len(chosen)
+    taps = [(F.floor(i / (n * k * k)), "out_ch"), (F.floor(i / (k * k)) % n, "in_ch"), (F.floor(i / k) % k, "dy"), (i % k, "dx")]
+    weights = spark.range(2 * n * k * k).select(*[c.cast("int").alias(name) for c, name in taps], ((i * 5 % 9 - 4) / F.lit(8.0)).alias("w"))
+    bias = spark.range(2).select(i.cast("int").alias("out_ch"), (i + F.lit(0.25)).alias("b"))
+    found = row_raster.convolved_rows(located, chosen, weights, bias)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = row_raster.focal_conv(row_raster.raster_rows(located, chosen), weights, bias, 68, 104)
+    key = lambda rows: [r.planes for r in sorted(rows, key=lambda r: (r.pass_id, r.y))]
+    assert np.allclose(np.array(key(found.collect())), np.array(key(want.collect())), atol=1e-9)
+    assert found.count() == want.count()

@@ -7,7 +7,7 @@ out by pass (`by_pass`) shuffles nothing; the planner lays them out again before
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,14 @@ MAX_TAPS = 1 << 22
 
 def raster_rows(located: DataFrame, channels: tuple[int, ...] = tuple(range(1, len(CHANNELS) + 1)), pitch: Pitch = Pitch()) -> DataFrame:
     """The given channels of each pass by row, as floats; missing values are 0. The compact pass row travels to the task."""
-    chosen = [c - 1 for c in channels]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, TENSOR_ROWS):
                 part = batch.slice(low, TENSOR_ROWS)
-                planes = np.nan_to_num(raster_batch(part, pitch)[:, chosen]).transpose(0, 2, 1, 3).astype(np.float64)
+                planes = np.nan_to_num(raster_batch(part, pitch, channels)).transpose(0, 2, 1, 3).astype(np.float64)
                 number = pa.array(np.repeat(np.arange(part.num_rows), pitch.rows))
                 y = pa.array(np.tile(np.arange(pitch.rows, dtype=np.int32), part.num_rows))
-                lists = nested_list(nested_list(pa.array(planes.ravel()), pitch.cols), len(chosen))
+                lists = nested_list(nested_list(pa.array(planes.ravel()), pitch.cols), len(channels))
                 yield pa.RecordBatch.from_arrays([part.column("pass_id").take(number), y, lists], ["pass_id", "y", "planes"])
 
     return tensor_input(located, "pass_id").mapInArrow(run, SCHEMA)
@@ -110,6 +108,69 @@ def focal_conv(rows: DataFrame, weights: DataFrame, bias: DataFrame, height: int
     return banded.select("pass_id", "y", convolved(*[f"b{dy}" for dy in range(k)]).alias("planes"))
 
 
+def convolve(planes: np.ndarray, kernel: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Whole rasters [passes, in_ch, rows, cols] through a kernel, as `focal_conv` has it.
+
+    Cells other than 0 send their weighted values to the cells they count for; where many are not 0, whole planes are added up.
+    """
+    n, _, height, cols = planes.shape
+    out_ch, in_ch, k, _ = kernel.shape
+    high, wide = height - k + 1, cols - k + 1
+    total = np.empty((n, out_ch, high, wide))
+    total[:] = shift[:, None, None]
+    set_cells = np.count_nonzero(planes)
+    for dy in range(k) if 16 * set_cells > planes.size else ():
+        for dx in range(k):
+            total += np.einsum("oi,nihw->nohw", kernel[:, :, dy, dx], planes[:, :, dy : dy + high, dx : dx + wide], optimize=True)
+    if 16 * set_cells > planes.size:
+        return total
+    number, ch, y, x = np.nonzero(planes)
+    value = planes[number, ch, y, x].astype(np.float64)
+    for dy in range(k):
+        for dx in range(k):
+            inside = np.flatnonzero((y >= dy) & (y < dy + high) & (x >= dx) & (x < dx + wide))
+            for o in range(out_ch):
+                np.add.at(total, (number[inside], o, y[inside] - dy, x[inside] - dx), value[inside] * kernel[o, ch[inside], dy, dx])
+    return total
+
+
+def convolved_rows(
+    located: DataFrame,
+    channels: tuple[int, ...],
+    weights: DataFrame,
+    bias: DataFrame,
+    pitch: Pitch = Pitch(),
+    fold: Callable[[np.ndarray], list[pa.Array]] | None = None,
+    fields: str = "planes array<array<double>>",
+) -> DataFrame:
+    """`focal_conv` of `raster_rows`, with the raster of a pass made and convolved in one place: nothing is shuffled or sorted.
+
+    A consumer that reduces the rows can do so there: `fold` takes the convolved rasters of some passes, [passes,
+    out_ch, rows, cols], and gives the columns `fields` of their rows, those of a pass after each other.
+    """
+    kernel, shift = load_kernel(weights, bias)
+    out_ch, _, k, _ = kernel.shape
+    high, wide = pitch.rows - k + 1, pitch.cols - k + 1
+
+    def lists(rasters: np.ndarray) -> list[pa.Array]:
+        return [nested_list(nested_list(pa.array(rasters.transpose(0, 2, 1, 3).ravel()), wide), out_ch)]
+
+    columns = fold or lists
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TENSOR_ROWS):
+                part = batch.slice(low, TENSOR_ROWS)
+                rasters = convolve(np.nan_to_num(raster_batch(part, pitch, channels)), kernel, shift)
+                number = pa.array(np.repeat(np.arange(part.num_rows), high))
+                y = pa.array(np.tile(np.arange(high, dtype=np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column("pass_id").take(number), y, *columns(rasters)], names)
+
+    schema = f"pass_id bigint, y int, {fields}"
+    names = located.sparkSession.createDataFrame([], schema).columns
+    return tensor_input(located, "pass_id").mapInArrow(run, schema)
+
+
 def pointwise(rows: DataFrame, weights: DataFrame, bias: DataFrame, height: int, cols: int) -> DataFrame:
     """Weighted sum over channels at each cell: a kernel of one cell."""
     return focal_conv(rows, weights, bias, height, cols)
