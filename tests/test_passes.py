@@ -169,3 +169,20 @@ def test_players_of_odd_passes(spark):
     assert found[1].att[1].vx is None and found[1].att[0].vx != found[1].att[0].vx and found[1].att[1].vy == 2.0
     assert (found[3].att, found[3]["def"], found[3].n_att) == ([], [], 0) and found[4].att is None and found[4]["def"] is None
     assert found[1].att[1].step == ((2 * 103 + 1 - 2 * 103) ** 2 + (1 - 2 * 34) ** 2 - 2) // 8
+
+
+def test_lines_of_game_files_are_not_shuffled(spark, tmp_path):
+    """Files in several splits, with empty lines between; every pass has its row and no line goes to another task."""
+    header = ",".join([*games.PASS_COLUMNS, "original_pId_player_1", "team_id_player_1", "x_player_1", "y_player_1"])
+    for name, n in (("1", 3000), ("2", 17)):
+        lines = [header, ""] + [f"C,{i},1,{i % 50}.5,0,1,1,{i},1,2.0,3.0" + ("\n" if i % 7 == 0 else "") for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        scan = games.scan_passes(spark, str(tmp_path))
+        assert "Exchange hashpartitioning" not in scan._jdf.queryExecution().executedPlan().toString()
+        found = {(r.game_id, r.player_id): r.pass_id for r in scan.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {(f, i): (f - 1 << 36) + i for f, n in ((1, 3000), (2, 17)) for i in range(n)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turfgrid.functions.cells import to_id
 from turfgrid.operators.slots import SLOT_FIELDS, SlotColumns, discover_slots, spread_slots
+from turfgrid.session import broadcast_if_small, scratch_dir
 
 # The scalar columns that are read from a file.
 PASS_COLUMNS = (
@@ -21,6 +22,8 @@ PASS_COLUMNS = (
 
 _SEAT = "struct<slot:bigint,orig_id:bigint,slot_team:bigint,x:double,y:double,vx:double,vy:double>"
 
+MOST_FILES = 50_000  # rows of a broadcast table of files; a row has about 1 KB
+
 # Texts that a pandas reader takes for a missing value.
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -32,11 +35,14 @@ def _read_lines(spark: SparkSession, directory: str | list[str], recursive: bool
     """Non-empty lines of all CSV files of a directory, or of the files of a list, with their file and place: the split's start and the order within it."""
     reader = spark.read.option("pathGlobFilter", "*.csv")
     reader = reader.option("recursiveFileLookup", "true") if recursive else reader
+    # splits keep their limits when cores come or go between two jobs
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return (
         reader.text(directory)
         .select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"))
-        .withColumn("order", F.monotonically_increasing_id())
         .where(F.trim("value") != "")
+        .withColumn("order", F.monotonically_increasing_id())
     )
 
 
@@ -48,12 +54,12 @@ def _with_fields(table: DataFrame, line: str, columns: int, name: str) -> DataFr
     return parsed.withColumn(name, F.array(*[F.col(f"_parsed.c{i}") for i in range(columns)])).drop("_parsed")
 
 
-def _headers(lines: DataFrame) -> tuple[DataFrame, int]:
+def _headers(numbered: DataFrame) -> tuple[DataFrame, int]:
     """Each file's first line as a `header` array, and the width of the widest.
 
     A file without the columns of a pass is an error. Only that width and the faulty files come to the driver.
     """
-    first = lines.where("split_start = 0").groupBy("source_file").agg(F.min_by("value", "order").alias("line"))
+    first = _kept(numbered.where("row = 0").select("source_file", F.col("value").alias("line")), "headers")
     columns = first.agg(F.max(F.size(F.split("line", ",")))).first()[0]
     if not columns:
         raise ValueError("no pass files")
@@ -75,14 +81,24 @@ def _game_of(path) -> Column:
 def _numbered(lines: DataFrame) -> DataFrame:
     """Add `row`: the place of each line in its file, 0 for the header, however the file is split.
 
-    Lines are numbered inside their split and moved by the lines of earlier splits; both come from one shuffle.
+    A split lies in one task, whose lines that are not empty are numbered one after another. So the first number and the size
+    of each split, a row per split, say how far its lines are to be moved; the lines stay where they are.
     """
-    inside = Window.partitionBy("source_file", "split_start").orderBy("order")
-    placed = lines.withColumn("_inside", F.row_number().over(inside) - 1)
-    sizes = placed.groupBy("source_file", "split_start").agg(F.count("*").alias("_lines"))
+    splits = lines.groupBy("source_file", "split_start").agg(F.min("order").alias("_first"), F.count("*").alias("_lines"))
     before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
-    return placed.join(offsets, ["source_file", "split_start"]).withColumn("row", F.col("_before") + F.col("_inside"))
+    offsets = _kept(splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))), "splits")
+    inside = F.col("order") - F.col("_first")
+    other = F.raise_error(F.concat(F.lit("split otherwise than when its lines were counted: "), "source_file")).cast("bigint")
+    row = F.when((inside >= 0) & (inside < F.col("_lines")), F.col("_before") + inside).otherwise(other)
+    return lines.join(offsets, ["source_file", "split_start"], "left").withColumn("row", row).drop("_first", "_lines", "_before")
+
+
+def _kept(table: DataFrame, label: str) -> DataFrame:
+    """A table with a row per file or split, written once; it goes to the tasks whole while it is small."""
+    path = scratch_dir(table.sparkSession, label)
+    table.write.parquet(path)
+    stored = table.sparkSession.read.schema(table.schema).parquet(path)
+    return broadcast_if_small(stored, MOST_FILES)
 
 
 def scan_passes(spark: SparkSession, directory: str | list[str], recursive: bool = False) -> DataFrame:
@@ -92,8 +108,8 @@ def scan_passes(spark: SparkSession, directory: str | list[str], recursive: bool
     of headers. Slots keep the order of their columns in the file. `pass_id` is made of the file's rank by
     path and the row in it: the same for given files, however they are read.
     """
-    lines = _read_lines(spark, directory, recursive)
-    headers, columns = _headers(lines)
+    numbered = _numbered(_read_lines(spark, directory, recursive))
+    headers, columns = _headers(numbered)
     names = [r[0] for r in headers.select(F.explode("header").alias("name")).where("name is not null").distinct().collect()]
     slots = sorted(discover_slots(names), key=lambda s: s.slot)
     used = [*PASS_COLUMNS, *[c for s in slots for c in s.columns.values()]]
@@ -101,8 +117,8 @@ def scan_passes(spark: SparkSession, directory: str | list[str], recursive: bool
     # where each used column stands in a file, 0 if it is not there; a row per file
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_file")) - 1
     places = F.transform(F.array(*[F.lit(c) for c in used]), lambda c: F.array_position("header", c))
-    files = headers.select("source_file", number.alias("_file"), places.alias("_places"))
-    rows = _numbered(lines).where("row > 0").join(files, "source_file")
+    files = _kept(headers.select("source_file", number.alias("_file"), places.alias("_places")), "files")
+    rows = numbered.where("row > 0").join(files, "source_file")
     rows = _with_fields(rows, "value", columns, "_fields")
 
     missing = F.array(*[F.lit(t) for t in MISSING_TEXTS])
@@ -149,7 +165,8 @@ def source_stats(spark: SparkSession, directory: str, recursive: bool = False) -
     return counts.select(_game_of(F.col("source_file")).alias("game_id"), "source_file", "n")
 
 
-def write_games(passes: DataFrame, directory: str, slots: list[int]) -> None:
-    """Write passes as CSV files with wide slot columns, in one folder per game."""
+def write_games(passes: DataFrame, directory: str, slots: list[int], whole: bool = False) -> None:
+    """Write passes as CSV files with wide slot columns, in one folder per game; with `whole` as one file each."""
     wide = spread_slots(passes, slots).drop("pass_id")
+    wide = wide.repartition("game_id") if whole else wide
     wide.write.partitionBy("game_id").option("header", True).mode("append").csv(directory)
