@@ -1,11 +1,14 @@
 """Spelling variants, collocations and packed sequences against brute force."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turfgrid.llm import collocations, packing, variants
@@ -159,6 +162,22 @@ def test_phrases_are_ranked(phrases):
     assert collocations.find(phrases.limit(0)).count() == 0
 
 
+def test_task_holds_little_and_hands_over_small_batches():
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 60_000, 2_000)) for _ in range(300)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    words = list(collocations._count_words(collocations.Settings())(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    opened = SimpleNamespace(value=[np.zeros(1 << 23, np.uint8)] * 2)
+    longer = list(collocations._count_keys(1, opened, collocations.Settings())(iter([batch])))
+    total = lambda batches: sum(b.column("n").to_numpy().sum() for b in batches)
+    assert (total(words), total(longer)) == (300 * 2_000, 300 * (1_999 + 1_998))
+    assert max(b.num_rows for b in words + longer) <= 1 << 16
+
+
 def test_keys_are_gone_through_for_one_cycle_only(phrases, monkeypatch):
     """A step reads the counts of the last cycle to open phrases; all counts are read once, for the longest."""
     read = []
