@@ -1,11 +1,14 @@
 """Near copies, benchmark passages, fingerprints and the pipeline."""
 
+import cProfile
 import hashlib
 import importlib
+import pstats
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from turfgrid.llm import decontamination, graph, ngram_join, spotsigs
@@ -145,6 +148,26 @@ def verbatim(item, text, words=13, shortest=24):
     return any("".join(found[i : i + count]) in plain(text) for i in range(len(found) - count + 1))
 
 
+def test_short_shared_runs_cost_no_call_each():
+    draw = np.random.default_rng(9)
+    words = ["".join(draw.choice(list("abcdefghijkl"), draw.integers(1, 9))) for _ in range(400)]
+    items = [(i, " ".join(draw.choice(words, size))) for i, size in enumerate([3, 40, 12, 13, 200])]
+    index = decontamination.build(items, decontamination.Settings())
+    number = draw.integers(0, len(items), 3_000)
+    start = np.array([draw.integers(0, index.texts[n].points.size) for n in number])
+    end = start + draw.integers(0, 90, number.size)
+    plain = []
+    for n, a, b in zip(number, start, end, strict=True):
+        item = index.texts[n]
+        plain.append(np.count_nonzero(item.ends <= b) - np.count_nonzero(item.begins < a) >= min(13, item.begins.size))
+    assert index.hold(number, start, end).tolist() == plain
+    # 3,000 runs of shared letters, none of which holds all three words
+    shared = decontamination.build([(1, "some lovely words")], decontamination.Settings())
+    calls = cProfile.Profile()
+    found = calls.runcall(decontamination.matches_of, "lovely words zzz " * 3_000, shared)
+    assert not found and pstats.Stats(calls).total_calls < 3_000
+
+
 def test_every_passage_of_thirteen_words_is_found():
     draw = random.Random(3)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(1, 9)))

@@ -30,6 +30,8 @@ from turfgrid.llm import text as T
 
 SCHEMA = "doc_id bigint, item_id bigint, text_start bigint, text_end bigint, edits int, windows int"
 _BITS = 20
+#: places of item n count from n times this
+_ITEM = np.int64(1 << 32)
 
 
 @dataclass(frozen=True)
@@ -91,11 +93,6 @@ class Item:
         begins = np.concatenate([[0], apart]).astype(np.int64)
         return cls(item, points, begins, np.concatenate([apart, [points.size]]).astype(np.int64))
 
-    def holds(self, start: int, end: int, words: int) -> bool:
-        """Whether the places start to end hold `words` whole words, or the whole of an item of fewer."""
-        whole = np.searchsorted(self.ends, end, "right") - np.searchsorted(self.begins, start)
-        return whole >= min(words, self.begins.size)
-
     def reach(self, words: int) -> int:
         """The most places that `words` words of the item take."""
         last = np.minimum(np.arange(self.begins.size) + words, self.begins.size) - 1
@@ -121,6 +118,15 @@ class Index:
     least: np.ndarray
     sizes: np.ndarray
     keep: int
+    begins: np.ndarray
+    ends: np.ndarray
+    wanted: np.ndarray
+
+    def hold(self, number: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which places start to end of items hold as many whole words as are wanted of a passage, or the whole of an item of fewer."""
+        # each item has as many beginnings as ends of words, so those of the items before cancel out
+        whole = np.searchsorted(self.ends, number * _ITEM + end, "right") - np.searchsorted(self.begins, number * _ITEM + start)
+        return whole >= self.wanted[number]
 
 
 def build(items: list[tuple[int, str]], settings: Settings) -> Index:
@@ -155,7 +161,10 @@ def build(items: list[tuple[int, str]], settings: Settings) -> Index:
     keep = 2 * int(sizes.max(initial=0)) + 4 * int(budgets.max(initial=0)) + settings.q
     keep = max([keep, *(t.reach(settings.words) + settings.q + 1 for t in texts)])
     spread = np.concatenate([*within, np.zeros((0, 3), np.int64)])
-    return Index(settings, hashes[order], number[order], offsets[order], spread[order], present, texts, tiny, windows, np.array(starts, np.int64), owners, budgets, np.array([settings.least_shared(m) for m in sizes], np.int64), sizes, keep)
+    least = np.array([settings.least_shared(m) for m in sizes], np.int64)
+    begins, ends = (np.concatenate([*[n * _ITEM + places for n, places in enumerate(lists)], np.zeros(0, np.int64)]) for lists in ([t.begins for t in texts], [t.ends for t in texts]))
+    wanted = np.array([min(settings.words, t.begins.size) for t in texts], np.int64)
+    return Index(settings, hashes[order], number[order], offsets[order], spread[order], present, texts, tiny, windows, np.array(starts, np.int64), owners, budgets, least, sizes, keep, begins, ends, wanted)
 
 
 def align(window: np.ndarray, points: np.ndarray, low: int, width: int) -> tuple[int, int]:
@@ -186,11 +195,10 @@ def _verbatim(points: np.ndarray, edges: np.ndarray, index: Index, number: np.nd
     follows = (np.diff(number) == 0) & (np.diff(place) == 1) & (np.diff(offset) == 1)
     first = np.flatnonzero(np.concatenate([[True], ~follows]))
     last = np.concatenate([first[1:], [number.size]]) - 1
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+    held = index.hold(number[first], offset[first], offset[last] + settings.q)
+    for a, b in zip(first[held].tolist(), last[held].tolist(), strict=True):
         item = index.texts[number[a]]
         low, high = int(offset[a]), int(offset[b]) + settings.q
-        if not item.holds(low, high, settings.words):
-            continue
         start, end = int(place[a]), int(place[b]) + settings.q
         if item.points.size < settings.shortest and not (edges[start] and edges[end]):
             continue
