@@ -186,3 +186,25 @@ def test_lines_of_game_files_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == {(f, i): (f - 1 << 36) + i for f, n in ((1, 3000), (2, 17)) for i in range(n)}
+
+
+def test_lines_are_read_by_the_batch(spark, tmp_path):
+    """Numbers of any spelling come out as `try_cast` has them, in files of different headers, and no expression for each slot is left in the plan."""
+    texts = ["1", " -7.5 ", "+5", "1.", ".5", "1e400", "-1e400", "1e-400", "1d", "2.5F", "0x1p3", "-0x.8P1d", "0x1p5000", "Inf", "-infinity", "+NaN", "NaN", "abc", "1_0", "1e", "٣", "9223372036854775807", "-9223372036854775808", "1e19", "-0.0", "#N/A", "", "2.9", "-2.9"]
+    seats = "original_pId_player_1,team_id_player_1,x_player_1,y_player_1,vx_player_1,vy_player_1"
+    for name, header, line in (("1", f"{HEAD},{seats}", "C,{0},{0},{0},0,1,1,{0},{0},{0},2,3,4"), ("2", f"{seats},{HEAD},original_pId_player_2", "{0},{0},{0},2,3,4,C,{0},{0},{0},0,1,1,6")):
+        (tmp_path / f"{name}.csv").write_text("\n".join([header, *(line.format(t) for t in texts)]))
+    scan = games.scan_passes(spark, str(tmp_path))
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_sort" not in plan and plan.count("cast(") < 20
+    rows = spark.createDataFrame([(i, None if t.strip() in games.MISSING_TEXTS else t.strip()) for i, t in enumerate(texts)], "i int, t string")
+    want = {r.i: r for r in rows.selectExpr("i", "try_cast(t as double) d", "try_cast(try_cast(t as double) as bigint) n").collect()}
+    found = {(r.game_id, r.pass_id % (1 << 36)): r for r in scan.collect()}
+    assert len(found) == 2 * len(texts)
+    for (game, i), r in found.items():
+        assert [s.slot for s in r.slots] == [1, 2][:game] and r.pass_outcome_type == "C"
+        one = r.slots[0]
+        assert repr((r.ball_x_start, one.x)) == repr((want[i].d,) * 2), texts[i]
+        assert (r.player_id, r.team_id, one.orig_id, one.slot_team) == (want[i].n,) * 4, texts[i]
+        assert (one.y, one.vx, one.vy, r.ball_y_end) == (2.0, 3.0, 4.0, 1.0)
+        assert game == 1 or (r.slots[1].orig_id, r.slots[1].x) == (6, None)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +26,9 @@ PASS_COLUMNS = (
     "ball_y_end",
 )
 
+_BALL = ("ball_x_start", "ball_y_start", "ball_x_end", "ball_y_end")
 _SEAT = "struct<slot:bigint,orig_id:bigint,slot_team:bigint,x:double,y:double,vx:double,vy:double>"
+_ROW = f"source_file string, row bigint, _file int, pass_outcome_type string, team_id double, player_id double, {' double, '.join(_BALL)} double, slots array<{_SEAT}>"
 
 MOST_FILES = 50_000  # rows of a broadcast table of files; a row has about 1 KB
 
@@ -46,14 +54,125 @@ def _read_lines(spark: SparkSession, directory: str | list[str], recursive: bool
     )
 
 
-def _with_fields(table: DataFrame, line: str, columns: int, name: str) -> DataFrame:
-    """Add the fields of a CSV line as an array of texts, NULL where empty or absent; a line is parsed once."""
+def _parsed(line: str, columns: int) -> Column:
+    """A CSV line as a struct of texts, NULL where empty or absent."""
     names = ", ".join(f"c{i} string" for i in range(columns))
     trimmed = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = table.withColumn("_parsed", F.from_csv(line, F.lit(names), trimmed))
+    return F.from_csv(line, F.lit(names), trimmed)
+
+
+def _with_fields(table: DataFrame, line: str, columns: int, name: str) -> DataFrame:
+    """Add the fields of a CSV line as an array of texts, NULL where empty or absent; a line is parsed once."""
+    parsed = table.withColumn("_parsed", _parsed(line, columns))
     return parsed.withColumn(name, F.array(*[F.col(f"_parsed.c{i}") for i in range(columns)])).drop("_parsed")
 
 
+_DECIMAL = re.compile(r"[+-]?(NaN|Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?)")
+_HEX = re.compile(r"[+-]?0[xX]([0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?[0-9]+[fFdD]?")
+_NAMED = {"inf": np.inf, "+inf": np.inf, "infinity": np.inf, "+infinity": np.inf, "-inf": -np.inf, "-infinity": -np.inf, "nan": np.nan}
+_SPACE = "".join(map(chr, range(33)))
+
+
+def _double(text: str | None) -> float | None:
+    """A text as `try_cast` to a double takes it."""
+    if text is None:
+        return None
+    text = text.strip(_SPACE)
+    if _DECIMAL.fullmatch(text):
+        return float(text if text.endswith(("NaN", "Infinity")) else text.rstrip("fFdD"))
+    if _HEX.fullmatch(text):
+        try:
+            return float.fromhex(text.rstrip("fFdD") if text[-1] in "fFdD" and "p" in text.lower() else text)
+        except OverflowError:
+            return -np.inf if text.startswith("-") else np.inf
+    return _NAMED.get(text.lower())
+
+
+def _doubles(texts: pa.Array) -> pa.Array:
+    """Texts as `try_cast` to a double takes them; a column of plain numbers is read as a whole."""
+    try:
+        values = pc.cast(texts, pa.float64())
+    except pa.ArrowInvalid:
+        return pa.array([_double(t) for t in texts.to_pylist()], pa.float64())
+    if pc.all(pc.is_finite(values)).as_py() is False:
+        return pa.array([_double(t) for t in texts.to_pylist()], pa.float64())
+    return values
+
+
+def _longs(values: np.ndarray, lacking: np.ndarray) -> pa.Array:
+    """Doubles as `try_cast` to a bigint takes them: cut to whole numbers, NULL where they do not fit."""
+    whole = np.trunc(np.where(np.isnan(values), 2.0**64, values))
+    last = whole >= 2.0**63
+    longs = np.where(last | (whole < -(2.0**63)), 0.0, whole).astype(np.int64)
+    longs[whole == 2.0**63] = np.iinfo(np.int64).max
+    return pa.array(longs, mask=lacking | (whole > 2.0**63) | (whole < -(2.0**63)))
+
+
+def _by_header(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """The rows of a batch by the places of their columns; lines of a file follow each other."""
+    places = batch.column("_places")
+    table = places.flatten().to_numpy().reshape(batch.num_rows, -1)
+    limits = np.append(np.flatnonzero(np.append(True, (table[1:] != table[:-1]).any(axis=1))), batch.num_rows)
+    alike: dict[bytes, list[tuple[int, int]]] = {}
+    for start, end in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+        alike.setdefault(table[start].tobytes(), []).append((start, end))
+    for stretches in alike.values():
+        at = table[stretches[0][0]].tolist()
+        if len(alike) == 1:
+            yield batch, at
+        else:
+            yield batch.take(pa.array(np.concatenate([np.arange(*s) for s in stretches]))), at
+
+
+def _pass_rows(at: dict[str, int], slots: list[SlotColumns]):
+    """Passes from parsed lines, for a batch and one column of it at a time: expressions for each slot are too long a program to be compiled.
+
+    `at` numbers the used columns; `_places` says where each of them stands in a line's file, 0 if it is not there.
+    """
+    missing = pa.array(MISSING_TEXTS)
+
+    def rows(batch: pa.RecordBatch, places: list[int]) -> pa.RecordBatch:
+        fields, n = batch.column("_parsed").flatten(), batch.num_rows
+
+        def text(name: str) -> pa.Array:
+            place = places[at[name]]
+            if not place:
+                return pa.nulls(n, pa.string())
+            found = fields[place - 1]
+            return pc.if_else(pc.is_in(found, value_set=missing), pa.scalar(None, pa.string()), found)
+
+        def placed(s: SlotColumns) -> int:
+            # the passer is sought in the order of the identity columns
+            return places[at[s.columns.get("orig_id") or next(iter(s.columns.values()))]]
+
+        seats = sorted((s for s in slots if placed(s)), key=placed)
+        columns = [pa.array(np.tile(np.array([s.slot for s in seats], np.int64), n))]
+        for field in SLOT_FIELDS[1:]:
+            values, lacking = np.full((n, len(seats)), np.nan), np.ones((n, len(seats)), bool)
+            for i, s in enumerate(seats):
+                if field in s.columns:
+                    numbers = _doubles(text(s.columns[field]))
+                    values[:, i] = numbers.to_numpy(zero_copy_only=False)
+                    lacking[:, i] = numbers.is_null().to_numpy(zero_copy_only=False)
+            values, lacking = values.ravel(), lacking.ravel()
+            columns.append(_longs(values, lacking) if field in ("orig_id", "slot_team") else pa.array(values, mask=lacking))
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * len(seats))
+        seated = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, list(SLOT_FIELDS)))
+        kept = [batch.column(c) for c in ("source_file", "row", "_file")]
+        numbers = [_doubles(text(c)) for c in ("team_id", "player_id", *_BALL)]
+        return pa.RecordBatch.from_arrays([*kept, text("pass_outcome_type"), *numbers, seated], names)
+
+    names = ["source_file", "row", "_file", "pass_outcome_type", "team_id", "player_id", *_BALL, "slots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for part, places in _by_header(batch):
+                    yield rows(part, places)
+
+    return run
+
+
 def _headers(numbered: DataFrame) -> tuple[DataFrame, int]:
     """Each file's first line as a `header` array, and the width of the widest.
 
@@ -116,39 +235,18 @@ def scan_passes(spark: SparkSession, directory: str | list[str], recursive: bool
     at = {name: i for i, name in enumerate(used)}
     # where each used column stands in a file, 0 if it is not there; a row per file
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_file")) - 1
-    places = F.transform(F.array(*[F.lit(c) for c in used]), lambda c: F.array_position("header", c))
+    places = F.transform(F.array(*[F.lit(c) for c in used]), lambda c: F.array_position("header", c).cast("int"))
     files = _kept(headers.select("source_file", number.alias("_file"), places.alias("_places")), "files")
     rows = numbered.where("row > 0").join(files, "source_file")
-    rows = _with_fields(rows, "value", columns, "_fields")
-
-    missing = F.array(*[F.lit(t) for t in MISSING_TEXTS])
-    rows = rows.withColumn("_fields", F.transform("_fields", lambda v: F.when(~F.array_contains(missing, v), v)))
-
-    def text(name: str) -> str:
-        return f"get(_fields, int(get(_places, {at[name]})) - 1)"
-
-    def number_of(name: str) -> str:
-        return f"try_cast({text(name)} as double)"
-
-    def seat(s: SlotColumns) -> str:
-        # the passer is sought in the order of the identity columns
-        order = at[s.columns.get("orig_id") or next(iter(s.columns.values()))]
-        values = [f"'slot', bigint({s.slot})"]
-        for field in SLOT_FIELDS[1:]:
-            kind = "bigint" if field in ("orig_id", "slot_team") else "double"
-            value = f"try_cast({number_of(s.columns[field])} as {kind})" if field in s.columns else f"cast(null as {kind})"
-            values.append(f"'{field}', {value}")
-        return f"named_struct('place', get(_places, {order}), 'seat', named_struct({', '.join(values)}))"
-
-    seats = f"array({', '.join(seat(s) for s in slots)})" if slots else f"cast(array() as array<struct<place:bigint,seat:{_SEAT}>>)"
-    in_order = f"transform(array_sort(filter({seats}, s -> s.place > 0)), s -> s.seat)"
-    return rows.select(
+    parsed = rows.select("source_file", "row", "_file", "_places", _parsed("value", columns).alias("_parsed"))
+    made = parsed.mapInArrow(_pass_rows(at, slots), _ROW)
+    return made.select(
         (F.col("_file") * F.lit(1 << 36) + F.col("row") - 1).alias("pass_id"),
         _game_of(F.col("source_file")).alias("game_id"),
-        *[to_id(F.expr(number_of(c))).alias(c) for c in ("team_id", "player_id")],
-        F.expr(text("pass_outcome_type")).alias("pass_outcome_type"),
-        *[F.expr(number_of(c)).alias(c) for c in ("ball_x_start", "ball_y_start", "ball_x_end", "ball_y_end")],
-        F.expr(in_order).alias("slots"),
+        *[to_id(F.col(c)).alias(c) for c in ("team_id", "player_id")],
+        "pass_outcome_type",
+        *_BALL,
+        "slots",
         "source_file",
     )
 
