@@ -184,3 +184,30 @@ def test_large_kernels_are_refused(spark, monkeypatch):
     weights, bias = surfaces.made_up_weights(spark, (("a", 1, 1, 3),))
     with pytest.raises(ValueError, match="taps"):
         row_raster.load_kernel(weights, bias)
+
+
+@pytest.mark.parametrize("shape", [(9, 12, 3, 2), (5, 5, 1, 4), (17, 26, 6, 5), (32, 5, 2, 1), (68, 104, 4, 3)])
+def test_tiles_are_the_convolution(shape):
+    """Sizes that are no multiple of a tile, several passes, and few tiles at once; in doubles the two ways agree to the last digits."""
+    rows, cols, in_ch, out_ch = shape
+    draw = np.random.default_rng(1)
+    planes, kernel, bias = draw.normal(size=(3, rows, cols, in_ch)), draw.normal(size=(out_ch, in_ch, 5, 5)), draw.normal(size=out_ch)
+    want = np.stack([sum(np.einsum("rci,oi->rco", p[dy : dy + rows - 4, dx : dx + cols - 4], kernel[:, :, dy, dx]) for dy in range(5) for dx in range(5)) for p in planes]) + bias
+    np.testing.assert_allclose(surfaces._convolve(planes, kernel, bias), want, rtol=1e-10, atol=1e-10)
+    np.testing.assert_allclose(surfaces._convolve_tiles(planes, surfaces._tiled(kernel), bias, 5), want, rtol=1e-10, atol=1e-10)
+
+
+def test_network_goes_by_tiles(monkeypatch):
+    """The large kernels of the network are not gone through tap by tap, and a missing value reaches the cells that it reaches tap by tap."""
+    draw = np.random.default_rng(2)
+    net = {name: (draw.normal(size=(o, i, k, k)).astype(np.float32) / (k * i**0.5), draw.normal(size=o).astype(np.float32)) for name, o, i, k in surfaces.NETWORK}
+    stacks = draw.normal(size=(3, len(CHANNELS), Pitch().rows, Pitch().cols)).astype(np.float32)
+    stacks[1, 7, 3, 4] = np.nan
+    taken, convolve = [], surfaces._convolve
+    monkeypatch.setattr(surfaces, "_convolve", lambda planes, kernel, bias: taken.append((kernel.shape[2], len(planes))) or convolve(planes, kernel, bias))
+    got = surfaces.network_logits(stacks, surfaces.tile_network(net))
+    assert {n for k, n in taken if k == 5} == {1}  # the pass with a missing value
+    singly = surfaces.network_logits(stacks, {name: (*layer, None) for name, layer in net.items()})
+    assert 0 < np.isnan(got[1]).sum() < Pitch().cells and not np.isnan(got[[0, 2]]).any()
+    np.testing.assert_array_equal(np.isnan(got), np.isnan(singly))
+    np.testing.assert_allclose(got, singly, rtol=1e-3, atol=1e-3)
