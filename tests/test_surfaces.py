@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from turfgrid.operators import channels, fit, raster, row_raster, surfaces
 from turfgrid.operators.splits import split
 from turfgrid.plans import jobs
 from turfgrid.session import scratch_dir
+from turfgrid.sources import tables
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
@@ -211,3 +213,32 @@ def test_network_goes_by_tiles(monkeypatch):
     assert 0 < np.isnan(got[1]).sum() < Pitch().cells and not np.isnan(got[[0, 2]]).any()
     np.testing.assert_array_equal(np.isnan(got), np.isnan(singly))
     np.testing.assert_allclose(got, singly, rtol=1e-3, atol=1e-3)
+
+
+@pytest.mark.parametrize("w", [[0.0, 0.0, -0.03, -0.01, 0.5, 0.0, 0.25] + [0.0] * 10, [0.3, -0.2, -0.03, 0.0, 0.5, 0.1, 0.25, 0.02, 0.0, 0.1, 0.0, 0.05, 0.01, 0.02, 0.03, 0.04, 0.001], [0.0] * 17], ids=["fields", "most", "none"])
+def test_linear_surfaces_are_sums_of_the_stack(handmade, monkeypatch, w):
+    """Channels without a coefficient are not made, and those of the ball's cell once per ball cell; a missing value counts as 0."""
+    located = jobs.prepare(handmade)
+    twice = located.unionByName(located.withColumn("pass_id", F.col("pass_id") + 100)).coalesce(1).sortWithinPartitions("ball_y", "ball_x")
+    batch = channels.tensor_input(twice, "pass_id").toArrow().combine_chunks().to_batches()[0]
+    stacks = np.nan_to_num(channels.raster_batch(batch, Pitch()))
+    asked, make = [], surfaces.raster_batch
+    monkeypatch.setattr(surfaces, "raster_batch", lambda part, pitch, numbers: asked.append((tuple(numbers), part.num_rows)) or make(part, pitch, numbers))
+    for head in ("none", "sigmoid", "softmax"):
+        want = surfaces._head(np.tensordot(np.array(w), stacks, (0, 1)) + 0.5, head)
+        linear = surfaces._Linear(w, 0.5, head, Pitch())
+        for _ in range(2):
+            np.testing.assert_allclose(linear.surfaces(batch).reshape(want.shape), want, rtol=1e-6, atol=1e-12)
+    balls = len(set(zip(batch.column("ball_y").to_pylist(), batch.column("ball_x").to_pylist(), strict=True)))
+    by_ball = [n for numbers, n in asked if numbers and set(numbers) <= set(channels.FIELDS)]
+    assert by_ball == [balls] * (3 if any(w) else 0)
+    assert {c for numbers, _ in asked for c in numbers} == {c for c in range(1, 18) if w[c - 1]}
+
+
+def test_surfaces_are_stored_without_a_wrap_per_number(spark, handmade, tmp_path):
+    scored = surfaces.linear_surfaces(tables.by_game(jobs.prepare(handmade)), [0.0, 0.0, 1.0] + [0.0] * 14, 0.0, head="none", keys=("pass_id", "game_id"))
+    tables.write_surfaces(scored, str(tmp_path / "surfaces"))
+    for file in (tmp_path / "surfaces").rglob("*.parquet"):
+        assert pq.ParquetFile(file).schema.column(pq.ParquetFile(file).schema.names.index("array")).max_definition_level <= 2
+    assert spark.conf.get("spark.sql.parquet.writeLegacyFormat") == "false"
+    assert spark.read.parquet(str(tmp_path / "surfaces")).selectExpr("size(surface)").distinct().collect() == [(7072,)]
