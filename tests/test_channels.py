@@ -251,3 +251,36 @@ def test_rasters_are_convolved_where_they_are_made(spark, handmade, chosen, k):
     key = lambda rows: [r.planes for r in sorted(rows, key=lambda r: (r.pass_id, r.y))]
     assert np.allclose(np.array(key(found.collect())), np.array(key(want.collect())), atol=1e-9)
     assert found.count() == want.count()
+
+
+def test_planes_are_reduced_where_they_are_made(handmade, monkeypatch):
+    """Each plane's own sum is that of the whole stack, and planes of the ball's cell are made once per ball cell."""
+    located = jobs.prepare(handmade)
+    twice = located.unionByName(located.withColumn("pass_id", F.col("pass_id") + 100))
+
+    def sums(planes):
+        return np.nan_to_num(planes.astype(np.float64)).reshape(len(planes), -1).sum(axis=1)
+
+    got = {r.pass_id: r.sums for r in channels.dense_row(twice, fields="sums array<double>", by_plane=sums).collect()}
+    want = {r.pass_id: [np.nan_to_num(np.array(p, dtype=np.float32)).astype(np.float64).sum() for p in r.stack] for r in channels.dense_row(twice).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=1e-12) for k in got)
+    batch = channels.tensor_input(twice, "pass_id").toArrow().combine_chunks().to_batches()[0]
+    asked, make = [], channels.raster_batch
+    monkeypatch.setattr(channels, "raster_batch", lambda part, pitch, numbers: asked.append((numbers, part.num_rows)) or make(part, pitch, numbers))
+    numbers = channels._plane_numbers(sums, Pitch())
+    found = [numbers(batch.slice(start, 3)) for start in range(0, batch.num_rows, 3)]
+    assert np.allclose(np.concatenate(found), [want[k] for k in batch.column("pass_id").to_pylist()], rtol=1e-12, atol=1e-12)
+    balls = set(zip(batch.column("ball_y").to_pylist(), batch.column("ball_x").to_pylist(), strict=True))
+    assert sum(n for numbers, n in asked if set(numbers) & set(channels.FIELDS)) == len(balls) < batch.num_rows
+
+
+def test_counts_ahead_are_those_of_the_players(handmade):
+    located = jobs.prepare(handmade)
+    batch = channels.tensor_input(located, "pass_id").toArrow().combine_chunks().to_batches()[0]
+    planes = channels.raster_batch(batch, Pitch(), channels.COUNTED)
+    y, x = np.mgrid[0:68, 0:104]
+    step = ((2 * y + 1 - 2 * Pitch().goal_y) ** 2 + (2 * x + 1 - 2 * Pitch().goal_x) ** 2 - 2) // 8
+    for i, row in enumerate(batch.to_pylist()):
+        for c, side in enumerate(("att", "def")):
+            want = sum((step <= p["step"]).astype(int) for p in row[side] if p["step"] <= row["ball_step"])
+            np.testing.assert_array_equal(planes[i, c], want + np.zeros_like(step))
